@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash
+from . import exact_dedup, simhash, toxicity
 from .common import table
 
 
@@ -16,9 +16,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLES = {

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash, toxicity
+from . import exact_dedup, html_extract, simhash, toxicity
 from .common import table
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
@@ -22,12 +26,34 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_html_extraction": op2_html_extraction,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
 }
 
 ORACLES = {
+    # The shared pages all hold one <article>; the SQL reads that tag, which the labeller is not told to do.
+    "op2_html_extraction": r"""
+        WITH a AS (
+            SELECT page_id, url,
+                   regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body
+            FROM pages
+        ), b AS (
+            SELECT page_id, url, string_split(
+                regexp_replace(regexp_replace(regexp_replace(body,
+                    '</?(p|h1)[^>]*>', chr(1), 'g'), '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), chr(1)) AS parts
+            FROM a
+        ), c AS (
+            SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(
+                replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
+                    '&#x27;', ''''), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS parts
+            FROM b
+        )
+        SELECT page_id, url, array_to_string(parts, chr(10)) AS text,
+               length(array_to_string(parts, chr(10))) AS n_chars
+        FROM c
+    """,
     "op4_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, simhash, suffix_dedup, toxicity
+from . import decontaminate, exact_dedup, html_extract, mixing, simhash, suffix_dedup, toxicity
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources at equal shares of the characters, the mix as large as the corpus."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
@@ -29,12 +34,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES = {
@@ -72,4 +83,72 @@ ORACLES = {
                sha AS text_sha256
         FROM d WINDOW w AS (PARTITION BY sha ORDER BY n DESC, doc_id)
     """,
+    "op6_mixing": r"""
+        WITH mass AS (
+            SELECT source, sum(length(text)) AS m FROM documents GROUP BY source
+        ), rates AS (
+            SELECT source, CASE WHEN m > 0 THEN
+                       (SELECT sum(m) FROM mass)::DOUBLE * 1.0
+                       / (SELECT count(*) FROM mass WHERE m > 0)::DOUBLE / m ELSE 1.0 END AS rate
+            FROM mass
+        ), terms AS (
+            SELECT source, j, CASE WHEN j = 0 THEN exp(-rate)
+                       ELSE exp(-rate) * exp(sum(CASE WHEN j = 0 THEN 0 ELSE ln(rate / j) END)
+                            OVER (PARTITION BY source ORDER BY j)) END AS p
+            FROM rates, range(0, 100) t(j)
+        ), cdf AS (
+            SELECT source, j, sum(p) OVER (PARTITION BY source ORDER BY j) AS c FROM terms
+        ), drawn AS (
+            SELECT *, ('0x' || substr(sha256('1:' || doc_id || ':0'), 1, 12))::BIGINT / 281474976710656.0 AS u
+            FROM documents
+        ), times AS (
+            SELECT d.doc_id, any_value(d.text) AS text, any_value(d.lang) AS lang, d.source,
+                   any_value(d.n_chars) AS n_chars, count(*) AS k
+            FROM drawn d JOIN cdf c ON d.source = c.source AND c.c <= d.u
+            GROUP BY d.doc_id, d.source
+        )
+        SELECT doc_id, text, lang, source, n_chars, r::INTEGER AS replica,
+               ('0x' || substr(sha256('1-order:' || doc_id || ':' || r), 1, 12))::BIGINT / 281474976710656.0 AS mix_key
+        FROM times, unnest(range(1, k + 1)) t(r)
+    """,
+    "op10_decontamination": r"""
+        WITH masks(mask, bits) AS (
+            VALUES (0, '11111111'), (1, '1110110111'), (2, '110101101011')
+        ), items AS (
+            SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'),
+                                        lambda x: x <> '') AS w
+            FROM benchmark
+        ), docs AS (
+            SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') AS w FROM documents
+        ), every AS (
+            SELECT * FROM masks
+            UNION ALL SELECT DISTINCT 100 + len(w), repeat('1', len(w)) FROM items WHERE len(w) BETWEEN 5 AND 11
+        ), offsets AS (
+            SELECT mask, length(bits) AS span,
+                   list_filter(range(1, length(bits) + 1), lambda i: substr(bits, i, 1) = '1') AS o
+            FROM every
+        ), item_windows AS (
+            SELECT item_id, p, mask, list_transform(o, lambda i: w[p + i]) AS seed
+            FROM (SELECT item_id, w, unnest(range(0, len(w))) AS p FROM items WHERE len(w) >= 5), offsets
+            WHERE p + span <= len(w) AND (mask < 100 OR span = len(w))
+        ), doc_windows AS (
+            SELECT doc_id, p, mask, list_transform(o, lambda i: w[p + i]) AS seed
+            FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS p FROM docs), offsets
+            WHERE p + span <= len(w)
+        ), hits AS (
+            SELECT DISTINCT d.doc_id, i.item_id, d.p - i.p AS shift
+            FROM doc_windows d JOIN item_windows i ON d.mask = i.mask AND d.seed = i.seed
+        ), aligned AS (
+            SELECT h.doc_id, h.item_id, h.shift, len(i.w) AS n, k, CASE WHEN i.w[k + 1] = d.w[k + shift + 1] THEN 1 ELSE -4 END AS gain
+            FROM hits h JOIN items i USING (item_id) JOIN docs d USING (doc_id), unnest(range(0, len(i.w))) t(k)
+            WHERE k + shift >= 0 AND k + shift < len(d.w)
+        ), sums AS (
+            SELECT *, sum(gain) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k) AS s FROM aligned
+        ), runs AS (
+            SELECT *, s - least(0, coalesce(min(s) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS run FROM sums
+        )
+        SELECT doc_id, item_id, n::INTEGER AS item_tokens, greatest(0, max(run))::INTEGER AS overlap
+        FROM runs GROUP BY doc_id, item_id, n HAVING max(run) >= least(12, n)
+    """,
 }

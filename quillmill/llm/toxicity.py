@@ -49,7 +49,7 @@ def _alphabet() -> np.ndarray:
         codes[97 + i] = 1 + i
     for d in "0123456789":
         codes[ord(d)] = codes[ord(LOOKS_LIKE[d])] if d in LOOKS_LIKE else 27
-    return codes.astype(np.int64)
+    return codes.astype(np.uint8)
 
 
 CODES = _alphabet()
@@ -91,11 +91,12 @@ def terms(codes: np.ndarray, decay: float) -> Iterator[tuple[np.ndarray, np.ndar
 def features(windows: np.ndarray, decay: float) -> tuple[np.ndarray, np.ndarray]:
     """Feature ids and weights, a row for each window of REACH codes; four-letter ids follow the others."""
     ids, weights = [], []
+    windows = windows.astype(np.uint8)
     for s in range(STARTS):
         part = windows[:, s : s + SPAN + 1]
-        flat = np.concatenate([part, np.zeros((len(part), 1), dtype=np.int64)], axis=1)
+        flat = np.concatenate([part, np.zeros((len(part), 1), dtype=np.uint8)], axis=1)
         width = flat.shape[1]
-        for got, valid, w, four in terms(np.concatenate([flat.ravel(), np.zeros(SPAN, dtype=np.int64)]), decay):
+        for got, valid, w, four in terms(np.concatenate([flat.ravel(), np.zeros(SPAN, dtype=np.uint8)]), decay):
             at = np.arange(len(part)) * width
             ids.append(got[at].astype(np.int64) + (LETTERS**3 if four else 0))
             weights.append(np.where(valid[at], w, 0.0))
@@ -131,7 +132,7 @@ class Model:
                 best[doc] = max(best[doc], value)
             held, size = [], 0
 
-        pad = np.zeros(REACH, dtype=np.int64)
+        pad = np.zeros(REACH, dtype=np.uint8)
         for doc, text in enumerate(texts):
             codes = encode(text)
             for at in range(0, max(len(codes), 1), piece):
@@ -159,14 +160,18 @@ class Model:
 
 def newton(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 15) -> np.ndarray:
     """The squared-hinge machine: weights and bias (last), regularised by 1."""
-    z = np.concatenate([z, np.ones((len(z), 1), dtype=z.dtype)], axis=1).astype(np.float64)
-    ridge = np.ones(z.shape[1])
+    ridge = np.ones(z.shape[1] + 1)
     ridge[-1] = 1e-3
-    w = np.zeros(z.shape[1])
+    w = np.zeros(z.shape[1] + 1)
     for _ in range(rounds):
-        active = y * (z @ w) < 1
-        za, ca = z[active], cost[active]
-        new = np.linalg.solve((za * ca[:, None]).T @ za + np.diag(ridge), za.T @ (ca * y[active]))
+        hessian, right = np.diag(ridge), np.zeros(len(w))
+        for a in range(0, len(z), 2048):  # in blocks: no second copy of all features
+            part = np.concatenate([z[a : a + 2048], np.ones((len(z[a : a + 2048]), 1), z.dtype)], axis=1, dtype=float)
+            active = y[a : a + 2048] * (part @ w) < 1
+            part, c = part[active], cost[a : a + 2048][active]
+            hessian = hessian + (part * c[:, None]).T @ part
+            right += part.T @ (c * y[a : a + 2048][active])
+        new = np.linalg.solve(hessian, right)
         if np.abs(new - w).max() < 1e-6:
             return new
         w = new
@@ -186,7 +191,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def cut(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Windows of REACH codes at the positions given."""
-    padded = np.concatenate([codes, np.zeros(REACH, dtype=np.int64)])
+    padded = np.concatenate([codes, np.zeros(REACH, dtype=np.uint8)])
     return padded[np.clip(at, 0, len(codes))[:, None] + np.arange(REACH)]
 
 
@@ -213,7 +218,7 @@ def fit(texts: list[str], labels: list[int], decay: float = 0.8, landmarks: int
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
         flat.logistic = np.array([0.0, np.log(share / (1 - share))])
         return flat
-    codes = [np.concatenate([[0], encode(t)]) for t in texts]
+    codes = [np.concatenate([np.zeros(1, dtype=np.uint8), encode(t)]) for t in texts]
     fold = rng.random(len(y)) < 0.25
     for label in (0, 1):  # both parts see both labels
         own = np.flatnonzero(y == label)
@@ -222,7 +227,7 @@ def fit(texts: list[str], labels: list[int], decay: float = 0.8, landmarks: int
 
     def grams(c: np.ndarray) -> np.ndarray:
         n = len(c) - 4
-        ids = c[:n].copy() if n > 0 else np.zeros(0, dtype=np.int64)
+        ids = c[:n].astype(np.int64) if n > 0 else np.zeros(0, dtype=np.int64)
         for k in range(1, 5):
             ids = ids * LETTERS + c[k : k + n] if n > 0 else ids
         return ids
@@ -247,10 +252,10 @@ def fit(texts: list[str], labels: list[int], decay: float = 0.8, landmarks: int
     if not positives:
         positives = [cut(codes[i], rng.integers(0, len(codes[i]), 4)) for i in np.flatnonzero(learn & toxic)]
     pos = np.unique(np.concatenate(positives), axis=0)
-    pos = pos[rng.permutation(len(pos))[:6000]]
+    pos = pos[rng.permutation(len(pos))[:4000]]
     neg = np.concatenate([cut(codes[i], rng.integers(0, len(codes[i]), 4)) for i in np.flatnonzero(learn & ~toxic)])
     neg = np.unique(neg, axis=0)
-    neg = neg[rng.permutation(len(neg))[:10000]]
+    neg = neg[rng.permutation(len(neg))[:8000]]
     # Windows with little or nothing in them, as at a text's end, are clean.
     short = neg[rng.integers(0, len(neg), len(neg) // 10 + 5)].copy()
     short[np.arange(REACH)[None, :] >= rng.integers(0, 8, len(short))[:, None]] = 0
@@ -265,18 +270,18 @@ def fit(texts: list[str], labels: list[int], decay: float = 0.8, landmarks: int
         )
         ids, weights = features(chosen, decay)
         known, inverse = np.unique(ids, return_inverse=True)
-        phi = np.zeros((len(known), len(chosen)), dtype=np.float32)
+        whole = np.zeros((len(known) + 1, len(chosen)), dtype=np.float32)  # the last row: any other feature
+        phi = whole[:-1]
         np.add.at(phi, (inverse.reshape(ids.shape), np.arange(len(chosen))[:, None]), weights)
         phi /= np.sqrt((phi**2).sum(axis=0)) + 1e-6
         values, vectors = np.linalg.eigh((phi.T @ phi).astype(np.float64))
         whiten = vectors * (1 / np.sqrt(np.maximum(values, 1e-3)))
         row_of = np.full(LETTERS**3 + BUCKETS, len(known), dtype=np.int32)
         row_of[known] = np.arange(len(known))
-        phi0 = np.concatenate([phi, np.zeros((1, len(chosen)), np.float32)])
         z = np.zeros((len(every), len(chosen)), dtype=np.float32)
         for a in range(0, len(every), 64):
             got, w = features(every[a : a + 64], decay)
-            z[a : a + 64] = np.einsum("ij,ijk->ik", w, phi0[row_of[got]])
+            z[a : a + 64] = np.einsum("ij,ijk->ik", w, whole[row_of[got]])
         z = z @ whiten.astype(np.float32)
         cost = np.where(target > 0, len(neg) / (2 * len(pos)), 1.0)
         solved = newton(z, target, cost)
@@ -287,7 +292,7 @@ def fit(texts: list[str], labels: list[int], decay: float = 0.8, landmarks: int
             break
         found, hard = [pos], [neg]
         for i in np.flatnonzero(learn):
-            f = model.windows(np.concatenate([codes[i], np.zeros(REACH, dtype=np.int64)]))
+            f = model.windows(np.concatenate([codes[i], np.zeros(REACH, dtype=np.uint8)]))
             if toxic[i]:
                 top = np.array([int(f.argmax())])
                 if f[top[0]] > -0.2:
@@ -296,7 +301,7 @@ def fit(texts: list[str], labels: list[int], decay: float = 0.8, landmarks: int
                 top = np.argsort(-f)[:2]
                 hard.append(cut(codes[i], top[f[top] > -0.8]))
         pos = np.unique(np.concatenate(found), axis=0)
-        pos = pos[rng.permutation(len(pos))[:8000]]
+        pos = pos[rng.permutation(len(pos))[:5000]]
         neg = np.unique(np.concatenate(hard), axis=0)
     shown = model.profile([texts[i] for i in np.flatnonzero(fold)])
     model.logistic = logistic(shown, y[fold].astype(float))

@@ -281,7 +281,7 @@ def drop_near_copies(
     row_id: str = "doc_id",
     shingle: int = 5,
     similarity: float = 0.8,
-    radius: int = 5,
+    radius: int = 6,
 ) -> DataFrame:
     """The rows of df without near copies: of each group the row with the smallest id stays.
 
@@ -290,13 +290,14 @@ def drop_near_copies(
     radius. A member goes if the Jaccard similarity of its ``shingle``-word shingles with those of the row
     that stays is at least ``similarity``, taken exactly on whole texts; others of the group stay. Rows with
     a null id, null or empty texts stay, and so do rows that repeat the id of the row that stays."""
-    comp, lead = common.fresh(df, "component_", "lead_text_")
+    i, t = common.fresh(df, "key_", "gone_")
     grouped = group(df, text, row_id, radius=radius, features=word_set)
     members = grouped.filter(F.col(row_id).isNotNull() & (F.col(row_id) != F.col("component_id")))
     members = members.select(F.col(row_id).alias("member"), F.col("component_id").alias("leader")).distinct()
-    n = common.partitions(df)
-    bodies = df.select(F.col(row_id).cast("long").alias("i"), F.col(text).alias("t"))
-    bodies = bodies.filter("t is not null and t <> ''").repartition(n, "i")
+    members = common.materialise(members, "simhash-members")
+    # One exchange of the rows serves the leaders, the members and the result.
+    dealt = df.withColumn(i, F.col(row_id).cast("long")).repartition(i)
+    bodies = dealt.select(F.col(i).alias("i"), F.col(text).alias("t")).filter("t <> ''")
     leaders = members.select(F.col("leader").alias("l")).distinct().join(bodies, F.col("l") == F.col("i"))
     leaders = leaders.groupBy("l").agg(F.min("t").alias("leader_text"))
     theirs = members.join(bodies, F.col("member") == F.col("i")).select("member", "leader", "t")
@@ -314,5 +315,5 @@ def drop_near_copies(
             yield pdf[["member"]][keep]
 
     pairs = theirs.join(leaders, F.col("leader") == F.col("l")).select("member", "t", "leader_text")
-    gone = pairs.mapInPandas(resemblance, "member long").distinct()
-    return df.join(gone, df[row_id].cast("long") == gone["member"], "left_anti").select(df.columns)
+    gone = pairs.mapInPandas(resemblance, "member long").distinct().toDF(t)
+    return dealt.join(gone, F.col(i) == F.col(t), "left_anti").select(df.columns)

@@ -36,34 +36,49 @@ FAMILIES = {
 WORD = {"latin": r"[A-Z][\p{IsLatin}’'-]+", "cyrillic": r"\p{IsCyrillic}+", "greek": r"\p{IsGreek}+"}
 
 
-def _given(script: str, gender: str | None = None) -> str:
-    names = [n for (s, g), ns in NAMES.items() if s == script and gender in (None, g) for n in ns.split()]
-    return "|".join(x for n in names for x in (n, n.upper()))
+#: Not inside a word or a number: what stands before and behind a mention.
+START, END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 
 
-#: Types in the order in which they are tried at a place. A name is a given name and a family name.
+def _trie(names: list[str]) -> str:
+    """One pattern for the names that reads every character once."""
+    tails: dict[str, list[str]] = {}
+    for n in sorted(set(names)):
+        tails.setdefault(n[:1], []).append(n[1:])
+    alternatives = [c + (_trie(rest) if rest != [""] else "") for c, rest in tails.items() if c]
+    return f"(?:{'|'.join(alternatives)})" + "?" * ("" in tails)
+
+
+def _given(script: str) -> str:
+    return _trie([x for (s, _), ns in NAMES.items() if s == script for n in ns.split() for x in (n, n.upper())])
+
+
+#: Types in the order in which they are tried at a place. A name is a given name and a family name. All but
+#: addresses start where no word or number goes on, which is looked at once for all of them.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9.-]{1,190}\.[A-Za-z]{2,24}",
-    "key": r"\bAKIA[0-9A-Z]{16}\b",
-    "secret": r"\b(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}\b",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b",
-    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    "ip": r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b",
-    "card": r"\b[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}\b",
-    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}\b",
-    **{f"name_{s}": rf"\b(?:{_given(s)})[  ](?:{WORD[s]})\b" for s in FAMILIES},
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9.-]{1,190}\.[A-Za-z]{2,24}",
+    "key": r"AKIA[0-9A-Z]{16}",
+    "secret": r"(?=[0-9a-f]{32})(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,64}+",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "ip": r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])",
+    "card": r"[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}",
+    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}",
+    **{f"name_{s}": _given(s) + "[ \u00a0](?:" + WORD[s] + ")" for s in FAMILIES},
 }
-FLAGS = "(?U)"
-EVERY = FLAGS + "|".join(f"(?:{p})" for p in PATTERNS.values())
+_OTHERS = "|".join(f"(?:{p})" for t, p in PATTERNS.items() if t != "email")
+EVERY = f"{PATTERNS['email']}|{START}(?:{_OTHERS}){END}"
+#: A text that has neither of these has no mention: cheap to tell.
+HINTS = ("[0-9@]", START + "(?:" + "|".join(_given(s) for s in FAMILIES) + ")[ \u00a0]")
 DIGIT_TYPES = ("ssn", "card", "phone")
 
 
 def kind(mention: Column) -> Column:
     """The type of a mention: the first pattern that it matches as a whole."""
     first, *rest = PATTERNS.items()
-    out = F.when(mention.rlike(f"{FLAGS}^(?:{first[1]})$"), first[0])
+    out = F.when(mention.rlike(f"^(?:{first[1]})$"), first[0])
     for name, pattern in rest:
-        out = out.when(mention.rlike(f"{FLAGS}^(?:{pattern})$"), name)
+        out = out.when(mention.rlike(f"^(?:{pattern})$"), name)
     return out.otherwise("secret")
 
 
@@ -226,23 +241,20 @@ def replace(df: DataFrame, key: str, text: str = "text", row_id: str = "doc_id")
     and rows that repeat an id or a text are replaced like any other, equal mentions alike. An empty table
     gives an empty result. If df has a column mentions, the new one gets a leading underscore."""
     (mentions,) = common.fresh(df, "mentions")
-    found, row, link = common.fresh(df, "pii_found_", "pii_row_", "pii_link_")
+    row, link, put = common.fresh(df, "pii_row_", "pii_link_", "pii_put_")
     body = F.coalesce(F.col(text), F.lit(""))
-    marked = df.withColumn(found, F.regexp_extract_all(body, F.lit(EVERY), F.lit(0)))
-    hit = marked.filter(F.size(found) > 0).withColumn(row, F.xxhash64(F.col(row_id).cast("string"), F.col(text)))
-    hit = hit.withColumn(row, F.struct(F.col(row).alias("h"), F.length(text).alias("n"), F.col(row_id).cast("string").alias("i")))
-    each = hit.select(F.col(row), F.posexplode(found).alias("at", "mention"))
+    keyed = df.withColumn(row, F.concat_ws(":", F.xxhash64(F.col(text)).cast("string"), F.length(text).cast("string"), F.col(row_id).cast("string")))
+    hinted = body.rlike(HINTS[0]) | body.rlike(HINTS[1])
+    each = keyed.filter(hinted).select(F.col(row).alias("row"), F.posexplode(F.regexp_extract_all(body, F.lit(EVERY), F.lit(0))).alias("at", "mention"))
     each = each.withColumn("type", kind(F.col("mention")))
-    each = each.withColumn("entity", canonical(F.col("type"), F.col("mention")))
-    each = common.materialise(each.select(F.col(row).alias("row"), "at", "mention", "type", "entity"), "pii-mentions")
+    each = common.materialise(each.withColumn("entity", canonical(F.col("type"), F.col("mention"))), "pii-mentions")
     table = mapping(each.select("type", "entity"), key)
-    put = each.join(table, ["type", "entity"]).select("row", "at", dress(F.col("type"), F.col("mention"), F.col("new")).alias("new"))
-    put = put.groupBy(F.col("row").alias(link)).agg(F.array_sort(F.collect_set(F.struct("at", "new"))).alias("put"))
+    new = each.join(table, ["type", "entity"]).select("row", "at", dress(F.col("type"), F.col("mention"), F.col("new")).alias("new"))
+    new = new.groupBy(F.col("row").alias(link)).agg(F.array_sort(F.collect_set(F.struct("at", "new"))).alias(put))
+    joined = keyed.join(new, F.col(row) == F.col(link), "left")
     pieces = F.split(F.col(text), EVERY, -1)
-    joined = hit.join(put, F.col(row).eqNullSafe(F.col(link)))
-    whole = F.zip_with(pieces, F.col("put"), lambda piece, p: F.concat(piece, F.coalesce(p["new"], F.lit(""))))
-    changed = joined.select(
-        *[F.array_join(whole, "").alias(c) if c == text else F.col(c) for c in df.columns], F.size(found).alias(mentions)
+    whole = F.zip_with(pieces, F.col(put), lambda piece, p: F.concat(piece, F.coalesce(p["new"], F.lit(""))))
+    changed = F.when(F.col(put).isNull(), F.col(text)).otherwise(F.array_join(whole, ""))
+    return joined.select(
+        *[changed.alias(c) if c == text else F.col(c) for c in df.columns], F.coalesce(F.size(put), F.lit(0)).alias(mentions)
     )
-    rest = marked.filter(F.size(found) == 0).select(*df.columns, F.lit(0).alias(mentions))
-    return changed.unionByName(rest)

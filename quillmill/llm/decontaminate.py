@@ -71,7 +71,7 @@ def overlaps(
     short = bench.filter(F.size("item_words") < longest).select(F.size("item_words").alias("n")).distinct()
     lengths = sorted(r.n for r in short.collect())  # fewer than the longest mask has places
     every = (*masks, *("1" * n for n in lengths))
-    words = docs.select(F.col(row_id).cast("long").alias("id"), F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SPLIT).alias("words"))
+    words = docs.select(F.coalesce(F.col(row_id).cast("long"), F.lit(common.LONG_MIN)).alias("id"), F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SPLIT).alias("words"))
     # A text that begins or ends with a separator has an empty token there; it matches no item's token.
     at = words.filter(F.size("words") >= min_tokens).select(
         "id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - min_tokens)).alias("at")
@@ -97,7 +97,7 @@ def overlaps(
     )
     best = scored.groupBy("id", "item", "item_tokens").agg(F.max("overlap").alias("overlap"))
     best = best.filter(F.col("overlap") >= F.least(F.lit(min_score), F.col("item_tokens")))
-    return best.select(F.col("id").alias(row_id), F.col("item").alias(item_id), "item_tokens", "overlap")
+    return best.select(F.when(F.col("id") != common.LONG_MIN, F.col("id")).alias(row_id), F.col("item").alias(item_id), "item_tokens", "overlap")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", row_id: str = "doc_id", **options) -> DataFrame:

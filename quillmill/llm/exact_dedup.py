@@ -36,7 +36,7 @@ def assign(
 
     Of rows whose normalised texts are equal, that with the longest original text (in code points) stays,
     then that with the smallest id. A null text counts as empty, so null and blank texts form one group.
-    Rows with a null id count in their group but stay only where the group has no other id. Of rows that
+    Rows with a null id count in their group but stay only where no row with an id is as long. Of rows that
     repeat the id of the one that stays, exactly one is kept. An empty table gives an empty result. Other
     columns of df are not looked at, whatever their names.
     """

@@ -281,7 +281,7 @@ def drop_near_copies(
     row_id: str = "doc_id",
     shingle: int = 5,
     similarity: float = 0.8,
-    radius: int = 6,
+    radius: int = 7,
 ) -> DataFrame:
     """The rows of df without near copies: of each group the row with the smallest id stays.
 

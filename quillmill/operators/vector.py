@@ -82,7 +82,14 @@ def hashed_embedding(df: DataFrame, row_id: str, text: str, dims: int = 256) ->
     tokens = df.select(F.col(row_id).alias("id"), F.explode_outer(tokenize(F.col(text))).alias("w"))
     at = F.when(F.col("w").isNotNull(), F.pmod(F.conv(F.substr(F.md5("w"), F.lit(1), F.lit(8)), 16, 10).cast("long"), F.lit(dims)).cast("int"))
     counts = tokens.select("id", at.alias("at")).groupBy("id", "at").agg(F.count("at").cast("double").alias("n"))
-    by_doc = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "n")))).alias("m"))
-    norm = F.sqrt(F.aggregate(F.map_values("m"), F.lit(0.0), lambda s, x: s + x * x))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)) / F.when(norm > 0, norm).otherwise(1.0))
-    return by_doc.select("id", dense.alias("vector"))
+    by_doc = counts.groupBy("id").agg(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "n"))).alias("m"))
+
+    @F.pandas_udf("array<double>")
+    def dense(places: pd.Series, values: pd.Series) -> pd.Series:
+        out = np.zeros((len(places), dims))
+        for row, at, n in zip(out, places, values):
+            row[np.asarray(at, dtype=int)] = n
+        norms = np.linalg.norm(out, axis=1, keepdims=True)
+        return pd.Series(list(out / np.where(norms > 0, norms, 1)))
+
+    return by_doc.select("id", dense(F.transform("m", lambda x: x["at"]), F.transform("m", lambda x: x["n"])).alias("vector"))

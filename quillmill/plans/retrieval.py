@@ -62,7 +62,7 @@ FUSE_SQL = """
 
 
 def _index(spark, sf):
-    return bm25.build(table(spark, sf, "documents"), "doc_id", "text")
+    return bm25.build(table(spark, sf, "documents"), "doc_id", "text", persist=True)
 
 
 def _questions(spark, sf):

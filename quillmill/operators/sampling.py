@@ -36,7 +36,7 @@ def diverse(df: DataFrame, quotas: DataFrame, stratum: str, file: str, key: str,
     in_file = Window.partitionBy(stratum, file).orderBy("h_", key)
     rows = df.withColumn("h_", shuffled(seed, key)).withColumn("of_file_", F.row_number().over(in_file))
     order = Window.partitionBy(stratum).orderBy(F.when(F.col("of_file_") == 1, 0).otherwise(1), "h_", key)
-    ranked = rows.withColumn("nth_", F.row_number().over(order)).join(F.broadcast(quotas), stratum)
+    ranked = rows.withColumn("nth_", F.row_number().over(order)).join(quotas, stratum)
     return ranked.filter("nth_ <= quota").select(df.columns)
 
 

@@ -93,21 +93,25 @@ def fingerprints(df: DataFrame, text: str, row_id: str, features) -> DataFrame:
     return src.mapInPandas(run, "id long, fp long")
 
 
-def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links within ``left``, or between left and right, by union-find.
-    Distances are taken a row at a time against the members whose tree is another one."""
-    nodes = left if right is None else np.concatenate([left, right])
-    root = np.arange(len(nodes))
-    edges = []
-    cut = 0 if right is None else len(left)
-    for i in range(len(left)):
-        start = cut or i + 1
-        near = np.flatnonzero(np.bitwise_count(nodes[start:] ^ nodes[i]) <= radius) + start
-        for j in near[root[near] != root[i]].tolist():
-            if root[j] != root[i]:
-                root[root == root[j]] = root[i]
-                edges.append((i, j))
-    return [(int(nodes[i]), int(nodes[j])) for i, j in edges]
+def forest(nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges of a minimum spanning forest of the links among the nodes (Prim's algorithm, a row of distances
+    at a time): what is linked is linked through the shortest distances."""
+    n = len(nodes)
+    near = np.full(n, 255, dtype=np.uint8)
+    via = np.zeros(n, dtype=np.int64)
+    outside = np.ones(n, dtype=bool)
+    edges, at = [], 0
+    for _ in range(n - 1):
+        outside[at] = False
+        d = np.bitwise_count(nodes ^ nodes[at]).astype(np.uint8)
+        closer = outside & (d < near)
+        near[closer], via[closer] = d[closer], at
+        at = int(np.where(outside, near, 255).argmin())
+        if not outside[at]:
+            at = int(outside.argmax())
+        elif near[at] <= radius:
+            edges.append((int(nodes[via[at]]), int(nodes[at])))
+    return edges
 
 
 def links(fps: DataFrame, radius: int, block: int = 2048) -> DataFrame:
@@ -141,7 +145,7 @@ def links(fps: DataFrame, radius: int, block: int = 2048) -> DataFrame:
                 yield solve(np.concatenate([x["fp"].to_numpy() for x in held]))
 
         def solve(members: np.ndarray) -> pd.DataFrame:
-            found = forest(members.view(np.uint64), None, radius)
+            found = forest(members.view(np.uint64), radius)
             return frame(found)
 
         def frame(found: list[tuple[int, int]]) -> pd.DataFrame:
@@ -190,14 +194,11 @@ def links(fps: DataFrame, radius: int, block: int = 2048) -> DataFrame:
         )
         # Block i of m meets block j for all j: it is sent once for each unordered pair it belongs to.
         sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "t", "k", "fp", "at", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j")
+            "t", "k", "fp", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j")
         )
 
         def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-            i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-            fp = pdf["fp"].to_numpy().view(np.uint64)
-            inside = (pdf["at"] == i).to_numpy()
-            found = forest(fp, None, radius) if i == j else forest(fp[inside], fp[~inside], radius)
+            found = forest(pdf["fp"].to_numpy().view(np.uint64), radius)
             pair = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             return pd.DataFrame({"a": pair[:, 0], "b": pair[:, 1]})
 
@@ -255,20 +256,26 @@ def group(
     component of their fingerprint; a component without any id has null. Repeated rows come back once each.
     An empty table gives an empty result. Other columns are not looked at."""
     shape = features or (lambda t: shingles(words(t), shingle))
-    rows = common.materialise(fingerprints(df, text, row_id, shape), "simhash-rows")
+    rows, by_fp = linked_rows(df, text, row_id, shape, radius, block)
+    return rows.join(by_fp.select("fp", "component_id"), "fp").select(
+        F.col("id").alias(row_id),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
+def linked_rows(df: DataFrame, text: str, row_id: str, features, radius: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, fp) and fingerprints with the component each belongs to (fp, component_id)."""
+    rows = common.materialise(fingerprints(df, text, row_id, features), "simhash-rows")
     distinct = rows.groupBy("fp").agg(F.min("id").alias("low"))
     distinct = common.materialise(distinct, "simhash-distinct")
-    linked = components(links(distinct.select("fp"), radius, block))
+    edges = common.materialise(links(distinct.select("fp"), radius, block), "simhash-edges")
+    linked = components(edges)
     placed = distinct.join(linked, distinct["fp"] == linked["node"], "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root")
     )
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = placed.join(lowest, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(
-        F.col("id").alias(row_id),
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id",
-    )
+    return rows, placed.join(lowest, "root").select("fp", "component_id")
 
 
 def word_set(text: str | None) -> list[bytes]:
@@ -282,38 +289,51 @@ def drop_near_copies(
     shingle: int = 5,
     similarity: float = 0.8,
     radius: int = 7,
+    rounds: int = 4,
+    block: int = 2048,
 ) -> DataFrame:
     """The rows of df without near copies: of each group the row with the smallest id stays.
 
-    Candidates are groups by the SimHash of each text's set of words: a few replaced words move that far
+    Candidates are components by the SimHash of each text's set of words: a few replaced words move that far
     fewer bits than they move of a shingle fingerprint, so texts at the similarity asked for come within the
-    radius. A member goes if the Jaccard similarity of its ``shingle``-word shingles with those of the row
-    that stays is at least ``similarity``, taken exactly on whole texts; others of the group stay. Rows with
-    a null id, null or empty texts stay, and so do rows that repeat the id of the row that stays."""
-    i, t = common.fresh(df, "key_", "gone_")
-    grouped = group(df, text, row_id, radius=radius, features=word_set)
-    members = grouped.filter(F.col(row_id).isNotNull() & (F.col(row_id) != F.col("component_id")))
-    members = members.select(F.col(row_id).alias("member"), F.col("component_id").alias("leader")).distinct()
+    radius. In each round the first row of a component is its pivot; rows whose ``shingle``-word shingles have
+    a Jaccard similarity of at least ``similarity`` with the pivot's, taken exactly on whole texts, go, and the
+    others meet again in the next round. What resembles none of its component's first ``rounds`` pivots
+    stays. Rows with a null id and null or empty texts stay; so do rows that
+    repeat the id of a row that stays."""
+    i, gone = common.fresh(df, "key_", "gone_")
+    rows, by_fp = linked_rows(df, text, row_id, word_set, radius, block)
+    placed = rows.filter("id is not null").join(by_fp, "fp").select("id", "fp", F.col("component_id").alias("comp"))
+    sizes = placed.groupBy("comp").agg(F.countDistinct("id").alias("n")).filter("n > 1").select("comp")
+    bodies = df.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("t")).filter("t <> ''")
+    members = placed.join(sizes, "comp").distinct().join(bodies, "id").dropDuplicates(["id"])
     members = common.materialise(members, "simhash-members")
-    # One exchange of the rows serves the leaders, the members and the result.
-    dealt = df.withColumn(i, F.col(row_id).cast("long")).repartition(i)
-    bodies = dealt.select(F.col(i).alias("i"), F.col(text).alias("t")).filter("t <> ''")
-    leaders = members.select(F.col("leader").alias("l")).distinct().join(bodies, F.col("l") == F.col("i"))
-    leaders = leaders.groupBy("l").agg(F.min("t").alias("leader_text"))
-    theirs = members.join(bodies, F.col("member") == F.col("i")).select("member", "leader", "t")
-
-    def resemblance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    open_, gone_rows = members, None
+
+    def resembling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, ours = None, set()
         for pdf in batches:
             keep = []
-            for t, lead_text in zip(pdf["t"], pdf["leader_text"]):
-                if lead_text != last:
-                    last, ours = lead_text, set(shingles(words(lead_text), shingle))
+            for t, pivot_text in zip(pdf["t"], pdf["pivot_text"]):
+                if pivot_text != last:
+                    last, ours = pivot_text, set(shingles(words(pivot_text), shingle))
                 own = set(shingles(words(t), shingle))
                 both = len(own & ours)
                 keep.append(both >= similarity * (len(own) + len(ours) - both) and both > 0)
-            yield pdf[["member"]][keep]
+            yield pdf[["id", "pivot"]][keep]
 
-    pairs = theirs.join(leaders, F.col("leader") == F.col("l")).select("member", "t", "leader_text")
-    gone = pairs.mapInPandas(resemblance, "member long").distinct().toDF(t)
-    return dealt.join(gone, F.col(i) == F.col(t), "left_anti").select(df.columns)
+    for _ in range(rounds):
+        pivots = open_.groupBy("comp").agg(F.min("id").alias("pivot"))
+        texts = pivots.join(open_.select(F.col("id").alias("pivot"), F.col("t").alias("pivot_text")), "pivot")
+        pairs = open_.select("id", "comp", "t").join(texts, "comp").select("id", "pivot", "t", "pivot_text")
+        found = common.materialise(pairs.mapInPandas(resembling, "id long, pivot long"), "simhash-found")
+        gone_rows = found if gone_rows is None else gone_rows.unionByName(found)
+        done = found.select("id").unionByName(pivots.select(F.col("pivot").alias("id"))).distinct()
+        rest = open_.join(done, "id", "left_anti")
+        still = rest.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("comp")
+        open_ = common.materialise(rest.join(still, "comp").select(open_.columns), "simhash-open")
+        if not open_.limit(1).count():
+            break
+    out = gone_rows.filter("id <> pivot").select(F.col("id").alias(gone)).distinct()
+    keyed = df.withColumn(i, F.col(row_id).cast("long"))
+    return keyed.join(out, F.col(i) == F.col(gone), "left_anti").select(df.columns)

@@ -322,21 +322,34 @@ def remove_repeats(
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
+            rows, more = [], []
             for kid, seq, t in zip(pdf["kid"], pdf["seq"], pdf["t"]):
                 at, h, first, last = anchors(as_bytes(t), width, gram)
-                if len(at):
-                    # The anchor's place with its windows' reach to the left: position, high, low.
-                    packed = at << 16 | (at - first) << 8 | (at - last)
-                    rows.append((np.full(len(at), kid), np.full(len(at), seq), packed, h.view(np.int64)))
+                if not len(at):
+                    continue
+                # The anchor's place with its windows' reach to the left: position, high, low.
+                packed = at << 16 | (at - first) << 8 | (at - last)
+                distinct, own, where = np.unique(h, return_index=True, return_inverse=True)
+                own_more: list = [None] * len(distinct)
+                if len(distinct) < len(h):  # a text of one repeated phrase has few grams: one row for each
+                    order = np.argsort(where, kind="stable")
+                    cuts = np.flatnonzero(np.diff(where[order])) + 1
+                    for k, places in enumerate(np.split(order, cuts)):
+                        if len(places) > 1:
+                            own_more[k] = packed[places[1:]]
+                more += own_more
+                n = len(distinct)
+                rows.append((np.full(n, kid), np.full(n, seq), packed[own], distinct.view(np.int64)))
             if rows:
                 kids, seqs, packed, hashes = (np.concatenate(x) for x in zip(*rows))
-                yield pd.DataFrame({"kid": kids, "seq": seqs, "at": packed, "h": hashes})
+                yield pd.DataFrame({"kid": kids, "seq": seqs, "at": packed, "more": more, "h": hashes})
 
-    found = docs.mapInPandas(find, "kid long, seq long, at long, h long")
-    counted = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("n > 1")
+    found = docs.mapInPandas(find, "kid long, seq long, at long, more array<long>, h long")
+    here = F.lit(1) + F.coalesce(F.size("more"), F.lit(0))
+    counted = found.withColumn("n", F.sum(here).over(Window.partitionBy("h"))).filter("n > 1")
+    places = F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<long>")))
     wanted = counted.groupBy("kid").agg(
-        F.collect_list(F.struct("seq", "at", (F.col("n") > hot).alias("hot"))).alias("wanted")
+        F.collect_list(F.struct("seq", places.alias("at"), (F.col("n") > hot).alias("hot"))).alias("wanted")
     )
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -349,11 +362,10 @@ def remove_repeats(
         for pdf in batches:
             for kid, seq, t, rows in zip(pdf["kid"], pdf["seq"], pdf["t"], pdf["wanted"]):
                 data = t.encode("utf-8", "surrogatepass")
-                for row in rows:
-                    if row["seq"] != seq:
-                        continue
-                    at, high, low = row["at"] >> 16, row["at"] >> 8 & 255, row["at"] & 255
-                    if row["hot"]:
+                for packed, is_hot in ((x, row["hot"]) for row in rows if row["seq"] == seq for x in row["at"]):
+                    packed = int(packed)
+                    at, high, low = packed >> 16, packed >> 8 & 255, packed & 255
+                    if is_hot:
                         for a in range(low, high + 1):
                             whole = data[at - a : at - a + width]
                             dest = xxhash.xxh64_intdigest(whole) % parts
@@ -362,7 +374,7 @@ def remove_repeats(
                         dest = xxhash.xxh64_intdigest(data[at : at + gram]) % parts
                         suffix, before = data[at : at + width - low], data[at - high : at][::-1]
                         held[dest].append((suffix, before, low, high, kid, seq, at))
-                    size += high - low + 1 if row["hot"] else 1
+                    size += high - low + 1 if is_hot else 1
                 if size >= run_entries:
                     yield flush()
                     held.clear()

@@ -216,8 +216,11 @@ def mapping(entities: DataFrame, key: str, rounds: int = 40) -> DataFrame:
     entities = common.materialise(entities.distinct(), "pii-entities")
     open_ = entities.withColumn("attempt", F.lit(0))
     done = None
-    for round_ in range(rounds):
-        drawn = open_.withColumn("new", surrogate(key, F.col("type"), F.col("entity"), F.col("attempt")))
+    for _ in range(rounds):
+        # Drawing is the costly part: once for each entity, dealt over all tasks however small the table.
+        drawn = open_.repartition(common.partitions(entities), "entity")
+        drawn = drawn.withColumn("new", surrogate(key, F.col("type"), F.col("entity"), F.col("attempt")))
+        drawn = common.materialise(drawn, "pii-candidates")
         taken = entities.select("type", F.col("entity").alias("new"))
         if done is not None:
             taken = taken.unionByName(done.select("type", "new"))

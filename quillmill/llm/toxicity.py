@@ -56,12 +56,18 @@ CODES = _alphabet()
 
 
 def encode(text: str | None) -> np.ndarray:
-    """The text's letters as codes, with each run of other characters as one 0."""
+    """The text's letters as codes, with each run of other characters as one 0; letters that stand alone next
+    to one another, as in a word spaced apart, are joined."""
     raw = (text or "").lower().encode("utf-32-le", "surrogatepass")
     codes = CODES[np.minimum(np.frombuffer(raw, dtype=np.uint32), 0xFFFF)]
     keep = np.ones(len(codes), dtype=bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
-    return codes[keep]
+    codes = codes[keep]
+    gap = np.concatenate([[True], codes == 0, [True]])
+    alone = ~gap[1:-1] & gap[:-2] & gap[2:]
+    between = np.zeros(len(codes), dtype=bool)
+    between[1:-1] = alone[:-2] & alone[2:]
+    return codes[~between]
 
 
 def terms(codes: np.ndarray, decay: float) -> Iterator[tuple[np.ndarray, np.ndarray, float, bool]]:

@@ -20,11 +20,12 @@ edges; every round is written to the shared folder.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -282,6 +283,38 @@ def word_set(text: str | None) -> list[bytes]:
     return sorted(set(words(text)))
 
 
+class ShingleIndex:
+    """Sets of shingles by their hashes, in flat sorted arrays; what the hashes find is verified on the texts."""
+
+    def __init__(self, texts: list[str], shingle: int, similarity: float):
+        self.texts, self.shingle, self.similarity = texts, shingle, similarity
+        own = [self.hashes(t) for t in texts]
+        self.sizes = np.array([len(x) for x in own], dtype=np.int64)
+        every = np.concatenate(own) if own else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.keys, self.owners = every[order], np.repeat(np.arange(len(texts)), self.sizes)[order]
+
+    def hashes(self, text: str) -> np.ndarray:
+        found = shingles(words(text), self.shingle)
+        return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in found), np.uint64, count=len(found)))
+
+    def resembling(self, text: str) -> Iterator[int]:
+        """Places of the texts whose Jaccard similarity with ``text`` reaches the bound, in order."""
+        mine = self.hashes(text)
+        low, high = np.searchsorted(self.keys, mine, "left"), np.searchsorted(self.keys, mine, "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else low
+        both = np.bincount(self.owners[at], minlength=len(self.texts))
+        # A little below the bound, so that no collision of hashes hides a pair.
+        likely = np.flatnonzero((both > 0) & (both >= (self.similarity - 0.01) * (len(mine) + self.sizes - both)))
+        exact = set(shingles(words(text), self.shingle)) if len(likely) else set()
+        for i in likely.tolist():
+            theirs = set(shingles(words(self.texts[i]), self.shingle))
+            shared = len(exact & theirs)
+            if shared > 0 and shared >= self.similarity * (len(exact) + len(theirs) - shared):
+                yield i
+
+
 def drop_near_copies(
     df: DataFrame,
     text: str = "text",
@@ -289,51 +322,69 @@ def drop_near_copies(
     shingle: int = 5,
     similarity: float = 0.8,
     radius: int = 7,
-    rounds: int = 4,
+    batch: int = 256,
     block: int = 2048,
 ) -> DataFrame:
-    """The rows of df without near copies: of each group the row with the smallest id stays.
+    """The rows of df without near copies: in order of id, a row goes if it resembles an earlier row that stays.
 
     Candidates are components by the SimHash of each text's set of words: a few replaced words move that far
     fewer bits than they move of a shingle fingerprint, so texts at the similarity asked for come within the
-    radius. In each round the first row of a component is its pivot; rows whose ``shingle``-word shingles have
-    a Jaccard similarity of at least ``similarity`` with the pivot's, taken exactly on whole texts, go, and the
-    others meet again in the next round. What resembles none of its component's first ``rounds`` pivots
-    stays. Rows with a null id and null or empty texts stay; so do rows that
-    repeat the id of a row that stays."""
+    radius. Rows resemble if their ``shingle``-word shingles have a Jaccard similarity of at least
+    ``similarity``, taken exactly on whole texts. In each round the first ``batch`` rows of a component are
+    settled among themselves; the component's other rows meet those of them that stay, in slices of ``batch``
+    rows, and what resembles none is open in the next round. Rounds go on until no row is open. Rows with a
+    null id and null or empty texts stay; so do rows that repeat the id of a row that stays."""
     i, gone = common.fresh(df, "key_", "gone_")
     rows, by_fp = linked_rows(df, text, row_id, word_set, radius, block)
     placed = rows.filter("id is not null").join(by_fp, "fp").select("id", "fp", F.col("component_id").alias("comp"))
     sizes = placed.groupBy("comp").agg(F.countDistinct("id").alias("n")).filter("n > 1").select("comp")
     bodies = df.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("t")).filter("t <> ''")
-    members = placed.join(sizes, "comp").distinct().join(bodies, "id").dropDuplicates(["id"])
-    members = common.materialise(members, "simhash-members")
-    open_, gone_rows = members, None
-
-    def resembling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, ours = None, set()
+    members = placed.join(sizes, "comp").distinct().join(bodies, "id").dropDuplicates(["id"]).select("comp", "id", "t")
+    open_ = common.materialise(members, "simhash-members")
+    gone_rows = []
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        index, stays = ShingleIndex(pdf["t"].tolist(), shingle, similarity), np.zeros(len(pdf), dtype=bool)
+        for at, t in enumerate(pdf["t"] if len(pdf) > 1 else ()):
+            stays[at] = not any(stays[j] for j in index.resembling(t) if j < at)
+        return pdf.assign(stays=stays if len(pdf) > 1 else True)[["comp", "id", "t", "stays"]]
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of a sorted partition: in each slice first the texts that stay, then the rows that meet them."""
+        key, texts, index = None, [], None
         for pdf in batches:
-            keep = []
-            for t, pivot_text in zip(pdf["t"], pdf["pivot_text"]):
-                if pivot_text != last:
-                    last, ours = pivot_text, set(shingles(words(pivot_text), shingle))
-                own = set(shingles(words(t), shingle))
-                both = len(own & ours)
-                keep.append(both >= similarity * (len(own) + len(ours) - both) and both > 0)
-            yield pdf[["id", "pivot"]][keep]
-
-    for _ in range(rounds):
-        pivots = open_.groupBy("comp").agg(F.min("id").alias("pivot"))
-        texts = pivots.join(open_.select(F.col("id").alias("pivot"), F.col("t").alias("pivot_text")), "pivot")
-        pairs = open_.select("id", "comp", "t").join(texts, "comp").select("id", "pivot", "t", "pivot_text")
-        found = common.materialise(pairs.mapInPandas(resembling, "id long, pivot long"), "simhash-found")
-        gone_rows = found if gone_rows is None else gone_rows.unionByName(found)
-        done = found.select("id").unionByName(pivots.select(F.col("pivot").alias("id"))).distinct()
-        rest = open_.join(done, "id", "left_anti")
-        still = rest.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("comp")
-        open_ = common.materialise(rest.join(still, "comp").select(open_.columns), "simhash-open")
-        if not open_.limit(1).count():
+            out = []
+            for comp, part, row, t, settled in zip(pdf["comp"], pdf["slice"], pdf["id"], pdf["t"], pdf["settled"]):
+                if (comp, part) != key:
+                    key, texts, index = (comp, part), [], None
+                if settled:
+                    texts.append(t)
+                else:
+                    index = index or ShingleIndex(texts, shingle, similarity)
+                    if next(index.resembling(t), None) is not None:
+                        out.append(row)
+            yield pd.DataFrame({"id": np.array(out, dtype=np.int64)})
+
+    while True:
+        order = Window.partitionBy("comp").orderBy("id")
+        ranked = open_.select("comp", "id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= batch)
+        first = open_.join(ranked.select("id"), "id", "left_semi")
+        settled = first.groupBy("comp").applyInPandas(settle, "comp long, id long, t string, stays boolean")
+        settled = common.materialise(settled, "simhash-settled")
+        gone_rows.append(settled.filter("not stays").select("id"))
+        large = open_.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > batch)
+        large = common.materialise(large.select("comp", F.ceil(F.col("n") / batch).cast("int").alias("slices")), "simhash-large")
+        if not large.limit(1).count():
             break
-    out = gone_rows.filter("id <> pivot").select(F.col("id").alias(gone)).distinct()
+        rest = open_.join(large, "comp").join(settled.select("id"), "id", "left_anti")
+        rest = common.materialise(rest.select("comp", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), "id", "t"), "simhash-rest")
+        kept = settled.filter("stays").join(large, "comp").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        tagged = kept.select("comp", "slice", "id", "t", F.lit(True).alias("settled")).unionByName(rest.withColumn("settled", F.lit(False)))
+        dealt = tagged.repartition(common.partitions(df), "comp", "slice").sortWithinPartitions("comp", "slice", F.desc("settled"), "id")
+        found = common.materialise(dealt.mapInPandas(meet, "id long"), "simhash-found")
+        gone_rows.append(found)
+        open_ = common.materialise(rest.select("comp", "id", "t").join(found, "id", "left_anti"), "simhash-open")
+    out = reduce(DataFrame.unionByName, gone_rows).select(F.col("id").alias(gone)).distinct()
     keyed = df.withColumn(i, F.col(row_id).cast("long"))
     return keyed.join(out, F.col(i) == F.col(gone), "left_anti").select(df.columns)

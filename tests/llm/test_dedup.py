@@ -131,6 +131,33 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted(r.member for r in got.collect()) == ["b", "d", "e", "f", "g"]
 
 
+def brute_near(docs, similarity=0.8):
+    kept, stay = [], []
+    for i, t in sorted(docs):
+        w = t.encode().lower().split()
+        own = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+        if not any(len(own & x) >= similarity * len(own | x) for x in kept):
+            kept.append(own)
+            stay.append(i)
+    return stay
+
+
+@pytest.mark.parametrize("batch", [256, 3])
+def test_families_of_one_component_are_all_compared(spark, batch):
+    """Rows with one set of words are one component; more families in it than any fixed number of pivots."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(120)]
+    docs = []
+    for family in range(12):
+        base = rng.sample(vocabulary, len(vocabulary))
+        for copy in range(3):
+            own = list(base)
+            own[copy * 30 + 5], own[copy * 30 + 6] = own[copy * 30 + 6], own[copy * 30 + 5]
+            docs.append((100 * copy + family, " ".join(own)))
+    got = simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string"), batch=batch)
+    assert sorted(r.doc_id for r in got.collect()) == brute_near(docs) == list(range(12))
+
+
 def brute_repeats(docs, width=100):
     seen, out = set(), []
     for i, t in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or "")):

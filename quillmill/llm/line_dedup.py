@@ -3,6 +3,7 @@
 A rolling hash over the hashes of the last ``window`` lines decides where a chunk ends, so chunk borders
 depend on the lines around them alone: a passage that is shifted by other lines falls into the same chunks.
 Equal chunks of several lines are found by grouping on digest and whole bytes; all but the first go.
+Passages of a few lines rarely fill a chunk: they are found as runs of repeated pairs of consecutive lines.
 """
 
 from __future__ import annotations
@@ -70,6 +71,42 @@ def repeated_chunks(df: DataFrame, text: str, row_id: str, digest, **shape) -> D
     return marks.groupBy("kid").agg(F.collect_set("key").alias("gone"))
 
 
+def pair_keys(lines: list[str]) -> list[bytes]:
+    """A cryptographic digest of each two consecutive lines."""
+    one = [hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in lines]
+    return [hashlib.blake2b(a + b, digest_size=16).digest() for a, b in zip(one, one[1:])]
+
+
+def repeated_pairs(src: DataFrame) -> DataFrame:
+    """(kid, pairs): for each id the keys of two consecutive lines that an earlier id holds."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(kid, key) for kid, t in zip(pdf["kid"], pdf["t"]) for key in set(pair_keys(t.split("\n")))]
+            yield pd.DataFrame(rows, columns=["kid", "pair"])
+
+    pairs = src.mapInPandas(cut, "kid long, pair binary")
+    shared = pairs.groupBy("pair").agg(F.min("kid").alias("keeper"), F.max("kid").alias("last")).filter("last > keeper")
+    shared = common.materialise(shared.select("pair", "keeper"), "line-pairs")
+    marks = pairs.join(shared, "pair").filter("kid <> keeper")
+    return marks.groupBy("kid").agg(F.collect_set("pair").alias("pairs"))
+
+
+def repeated_passages(lines: list[str], earlier: set[bytes], above: int) -> Iterator[range]:
+    """Lines of each longest run of repeated pairs, if it has more than ``above`` words. A pair repeats if an
+    earlier document holds it or if it stands before in this one without overlap."""
+    first, start = {}, None
+    keys = pair_keys(lines)
+    for i in range(len(keys) + 1):
+        again = i < len(keys) and (i - first.setdefault(keys[i], i) >= 2 or keys[i] in earlier)
+        if again and start is None:
+            start = i
+        elif not again and start is not None:
+            if sum(len(x.split()) for x in lines[start : i + 1]) > above:
+                yield range(start, i + 1)
+            start = None
+
+
 def remove_repeats(
     df: DataFrame,
     text: str = "text",
@@ -78,35 +115,46 @@ def remove_repeats(
     every: int = 4,
     longest: int = 64,
     digest=strong,
+    passage_words: int | None = None,
 ) -> DataFrame:
     """One row per row of df: id, n_lines, n_removed (lines), kept_sha256 and the remaining text.
 
     Of equal chunks of two lines or more the one in the document with the smallest id stays, in that document
-    the first. Null and empty texts have no lines. Rows with a null id come before all others; rows that
+    the first. With ``passage_words`` passages that chunk borders do not fit go as well: every run of repeated
+    pairs of consecutive lines that has more than so many words. Null and empty texts have no lines. Rows with a null id come before all others; rows that
     share an id count as one document. A last line without an end is a line like any other. An empty table
     gives an empty result."""
     shape = {"window": window, "every": every, "longest": longest}
     gone = repeated_chunks(df, text, row_id, digest, **shape)
     src = df.select(F.coalesce(F.col(row_id).cast("long"), F.lit(common.LONG_MIN)).alias("kid"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
+    joined = src.join(gone, "kid", "left")
+    if passage_words is None:
+        joined = joined.withColumn("pairs", F.lit(None).cast("array<binary>"))
+    else:
+        joined = joined.join(repeated_pairs(src), "kid", "left")
+
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for kid, t, keys in zip(pdf["kid"], pdf["t"], pdf["gone"]):
+            for kid, t, keys, pairs in zip(pdf["kid"], pdf["t"], pdf["gone"], pdf["pairs"]):
                 drop = set(keys) if keys is not None else set()
-                kept, seen, lines = [], set(), 0
-                for _, own in chunks(t, **shape):
-                    lines += len(own)
+                seen, lines, out = set(), [], set()
+                for start, own in chunks(t, **shape):
+                    lines += own
                     if len(own) > 1:
                         body = "\n".join(own)
                         key = digest(body.encode("utf-8", "surrogatepass"))
                         if key in drop or f"{key}:{body}" in drop or body in seen:
-                            continue
+                            out.update(range(start, start + len(own)))
                         seen.add(body)
-                    kept += own
+                if passage_words is not None:
+                    for passage in repeated_passages(lines, set(pairs) if pairs is not None else set(), passage_words):
+                        out.update(passage)
+                kept = [x for i, x in enumerate(lines) if i not in out]
                 left = "\n".join(kept)
-                rows.append((kid, lines, lines - len(kept), hashlib.sha256(left.encode("utf-8", "surrogatepass")).hexdigest(), left))
+                rows.append((kid, len(lines), len(lines) - len(kept), hashlib.sha256(left.encode("utf-8", "surrogatepass")).hexdigest(), left))
             yield pd.DataFrame(rows, columns=["kid", "n_lines", "n_removed", "kept_sha256", "text"])
 
-    done = src.join(gone, "kid", "left").mapInPandas(rest, "kid long, n_lines long, n_removed long, kept_sha256 string, text string")
+    done = joined.mapInPandas(rest, "kid long, n_lines long, n_removed long, kept_sha256 string, text string")
     return done.select(F.when(F.col("kid") != common.LONG_MIN, F.col("kid")).alias(row_id), "n_lines", "n_removed", "kept_sha256", "text")

@@ -18,7 +18,7 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return line_dedup.remove_repeats(table(spark, sf_dir, "documents"), passage_words=50)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,6 +242,28 @@ def test_repeated_line_chunks_match_brute_force(spark, digest):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == expected
 
 
+def test_short_passages_inside_different_documents_go(spark, tmp_path):
+    from quillmill.llm import queries
+
+    rng = random.Random(9)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+    passages = [[line() for _ in range(2 + n % 5)] for n in range(20)]
+    docs, expected = [(-1, "a\nb\n" + line())], {-1: 0}
+    for i in range(60):
+        head, tail = [line() for _ in range(rng.randint(1, 6))], [line() for _ in range(rng.randint(1, 6))]
+        docs.append((i, "\n".join(head + passages[i % 20] + tail)))
+        expected[i] = len(passages[i % 20]) if i >= 20 else 0
+    own = [line(), line()]
+    docs += [(70, "\n".join([*own, line(), *own])), (71, "a\nb\n" + line())]
+    expected |= {70: 2, 71: 0}
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    for i, t in docs[:-2]:
+        gone = set(passages[i % 20]) if i >= 20 else set()
+        assert got[i].text == "\n".join(x for x in t.split("\n") if x not in gone)
+    assert {i: r.n_removed for i, r in got.items()} == expected
+
+
 def test_chunk_borders_resist_shifts():
     lines = [f"row {i}" for i in range(400)]
     a = {tuple(x) for _, x in line_dedup.chunks("\n".join(lines), 2, 4, 64)}

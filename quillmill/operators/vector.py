@@ -54,8 +54,9 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str = "id",
     return _ranked(c.mapInPandas(blocks, "qid long, id long, distance double"), k)
 
 
-def signatures(df: DataFrame, vector: str, dims: int, bits: int = 8, tables: int = 8, seed: int = 1) -> DataFrame:
-    """df with (table, bucket): the signs of random projections, for each of several tables."""
+def signatures(df: DataFrame, vector: str, dims: int, bits: int = 8, tables: int = 8, seed: int = 1, probe: bool = False) -> DataFrame:
+    """df with (table, bucket): the signs of random projections, for each of several tables; with ``probe``
+    also the buckets that differ in one sign."""
     planes = np.random.default_rng(seed).standard_normal((dims, tables * bits))
 
     @F.pandas_udf("array<int>")
@@ -65,13 +66,18 @@ def signatures(df: DataFrame, vector: str, dims: int, bits: int = 8, tables: int
         signs = np.stack(vectors.to_numpy()).astype(float) @ planes > 0
         return pd.Series(list(signs.reshape(-1, tables, bits) @ (1 << np.arange(bits))))
 
-    return df.select("*", F.posexplode(codes(vector)).alias("table", "bucket"))
+    own = df.select("*", F.posexplode(codes(vector)).alias("table", "bucket"))
+    if not probe:
+        return own
+    near = F.array("bucket", *(F.col("bucket").bitwiseXOR(F.lit(1 << b)) for b in range(bits)))
+    return own.withColumn("bucket", F.explode(near))
 
 
-def approximate_top_k(corpus: DataFrame, queries: DataFrame, k: int, dims: int, **options) -> DataFrame:
-    """Like top_k() on (id, vector) and (qid, vector), among rows that share a bucket with the query."""
+def approximate_top_k(corpus: DataFrame, queries: DataFrame, k: int, dims: int, probe: bool = False, **options) -> DataFrame:
+    """Like top_k() on (id, vector) and (qid, vector), among rows that share a bucket with the query; with
+    ``probe`` also rows whose bucket differs from the query's in one sign."""
     c = signatures(corpus.select("id", "vector"), "vector", dims, **options).select("id", "table", "bucket")
-    q = signatures(queries.select("qid", "vector"), "vector", dims, **options).select("qid", "table", "bucket")
+    q = signatures(queries.select("qid", "vector"), "vector", dims, probe=probe, **options).select("qid", "table", "bucket")
     pairs = c.join(q, ["table", "bucket"]).select("qid", "id").distinct()
     full = pairs.join(corpus.select("id", F.col("vector").alias("v")), "id").join(queries.select("qid", F.col("vector").alias("qv")), "qid")
     return _ranked(full.select("qid", "id", distance(F.col("v"), F.col("qv")).alias("distance")), k)

@@ -128,6 +128,22 @@ def test_vectors_exact_and_approximate(spark):
     assert len(near & want) / len(want) >= 0.9
 
 
+def test_registered_candidates_reach_the_recall(spark, tmp_path):
+    """On unit vectors without structure, the hardest case, as the embeddings table has them."""
+    from quillmill.plans import retrieval
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(600):
+        v = [rng.gauss(0, 1) for _ in range(64)]
+        norm = math.sqrt(sum(x * x for x in v))
+        rows.append((i, [x / norm for x in v]))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.qid, r.id) for r in retrieval.lsh_candidates(spark, str(tmp_path)).collect()}
+    want = {(r.qid, r.id) for r in retrieval.vector_topk(spark, str(tmp_path)).collect()}
+    assert len(got & want) / len(want) >= 0.9
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 8), unique=True, max_size=6), min_size=1, max_size=3), st.randoms())
 def test_fusion_does_not_depend_on_row_order(spark, arms, rnd):

@@ -26,7 +26,7 @@ NAMES = {
     ("greek", "f"): "Αθηνά Άννα Γεωργία Δήμητρα Ειρήνη Ελένη Κατερίνα Μαρία Σοφία Χριστίνα",
     ("greek", "m"): "Αλέξανδρος Ανδρέας Γιώργος Δημήτρης Θανάσης Ιωάννης Κώστας Νίκος Παύλος Πέτρος",
 }
-#: Family names by script, after a given name or a title.
+#: Family names by script that are handed out; any word of the script after a given name is recognised.
 FAMILIES = {
     "latin": "Adler Baker Becker Carter Costa Dubois Fischer Garcia Hansen Keller Lambert Lopez Marino Meyer Moreau "
     "Moreno Novak Olsen Parker Rossi Schmidt Silva Sommer Taylor Turner Vidal Wagner Walker Weber Young",
@@ -58,11 +58,11 @@ def _given(script: str) -> str:
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9.-]{1,190}\.[A-Za-z]{2,24}",
     "key": r"AKIA[0-9A-Z]{16}",
-    "secret": r"(?=[0-9a-f]{32})(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,64}+",
+    "secret": r"(?=[0-9a-fA-F]{32})(?=[0-9]*+[a-fA-F])(?=[a-fA-F]*+[0-9])[0-9a-fA-F]{32,64}+",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "ip": r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])",
-    "card": r"[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}",
+    "card": r"[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5}",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}",
     **{f"name_{s}": _given(s) + "[ \u00a0](?:" + WORD[s] + ")" for s in FAMILIES},
 }

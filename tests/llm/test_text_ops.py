@@ -51,6 +51,17 @@ def test_surrogates_keep_type_format_gender_and_script_and_tell_entities_apart(s
     assert int("".join(str(int(c, 36)) for c in whole[4:] + whole[:4])) % 97 == 1
 
 
+def test_upper_case_secrets_and_cards_of_fifteen_digits_are_replaced(spark):
+    secret, card = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "3782 822463 10005"
+    rows = [(1, f'TOKEN = "{secret.upper()}"'), (2, f'token = "{secret}"'), (3, card), (4, card.replace(" ", ""))]
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    assert all(r.mentions == 1 for r in got.values())
+    new = re.fullmatch(r'token = "([0-9a-f]{40})"', got[2].text)[1]
+    assert new != secret and got[1].text == f'TOKEN = "{new.upper()}"'
+    assert re.fullmatch(r"\d{4} \d{6} \d{5}", got[3].text) and got[3].text != card
+    assert got[3].text.replace(" ", "") == got[4].text and luhn(got[4].text)
+
+
 def test_surrogates_never_collide_nor_hit_a_real_entity(spark):
     people = [f"{g} {f}" for g in pii.NAMES["latin", "f"].split() for f in pii.FAMILIES["latin"].split()][:300]
     df = spark.createDataFrame([("name_latin", p.lower()) for p in people], "type string, entity string")

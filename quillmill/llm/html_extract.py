@@ -41,12 +41,16 @@ CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
     "th": ("td", "th"), "option": ("option",),
 }
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW}|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
+#: The elements above, and an open one of which is looked for no further up than the next of these.
+SCOPE = frozenset("div article section table ul ol body".split())
+BIT = {t: 1 << i for i, t in enumerate(sorted({t for ts in CLOSES.values() for t in ts}))}
+CLOSE_BITS = {t: sum(BIT[x] for x in ts) for t, ts in CLOSES.items()}
+HIDE = {t: re.compile(rf"</{t}\s*>", re.I) for t in [*RAW.split("|"), "title"]}
+#: A tag as far as it goes without a second look at any character: name, attributes, and ">" if it ends.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>?)")
+ATTRIBUTE = re.compile(
+    r"(?<![\w-])(class|id|role|aria-label|itemprop|hidden|style)(?![\w-])\s*+(?:=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?", re.I
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop|hidden|style)\s*=?\s*(\"[^\"]*\"|'[^']*'|[^\s>]*)", re.I)
 WORD = re.compile(r"\w+")
 
 DIMS = 96
@@ -54,25 +58,70 @@ TEXT_DIMS = 16
 SHAPE = 8
 WIDTH = DIMS + TEXT_DIMS + SHAPE
 HIDDEN = 24
+#: Blocks that are read at once; the network's state goes on from one run to the next.
+RUN = 4096
+
+
+@lru_cache(maxsize=1 << 14)
+def slot(word: str) -> tuple[int, float]:
+    h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+    return h >> 1, 1.0 if h & 1 else -1.0
+
+
+def put(v: np.ndarray, word: str) -> None:
+    for salt in ("", "2:"):
+        h, sign = slot(salt + word)
+        v[h % DIMS] += sign
+
+
+class Element:
+    """An open element and, through its parent, its tag path. vector holds the distinct words of the path: its
+    tags and the words of class, id and role; an element that adds none shares its parent's."""
+
+    __slots__ = ("parent", "tag", "words", "new", "vector", "mask", "depth", "prose", "main")
+
+    def __init__(self, parent: Element | None, tag: str, words: list[str], known: dict[str, int]):
+        self.parent, self.tag, self.words = parent, tag, words
+        self.depth = parent.depth + 1 if parent else 1
+        self.mask = (parent.mask if parent and tag not in SCOPE else 0) | BIT.get(tag, 0)
+        self.prose = tag == "p" or bool(parent and parent.prose)
+        self.main = tag in ("article", "main") or bool(parent and parent.main)
+        self.new = [w for w in dict.fromkeys(words) if not known.get(w)]
+        for w in words:
+            known[w] = known.get(w, 0) + 1
+        above = parent.vector if parent else NOTHING
+        if self.new:
+            above = above.copy()
+            for w in self.new:
+                put(above, w)
+        self.vector = above
+
+
+NOTHING = np.zeros(DIMS, dtype=np.float32)
 
 
 class Block:
-    __slots__ = ("parts", "path", "marks", "linked")
+    __slots__ = ("parts", "element", "linked")
 
-    def __init__(self, path: tuple[str, ...], marks: tuple[str, ...]):
-        self.parts, self.path, self.marks, self.linked = [], path, marks, 0
+    def __init__(self, element: Element | None):
+        self.parts, self.element, self.linked = [], element, 0
 
 
 def blocks(page: str | None) -> list[tuple[str, Block]]:
     """The page's non-empty blocks in order, with their text: character references decoded, white space
-    turned into single spaces."""
+    turned into single spaces.
+
+    The page is read once, from left to right. A tag whose quote is never closed ends at the next ">"; a tag
+    that does not end before the page does is left out with what it holds, but a "<" behind the page's last
+    ">" is text, as is one that no letter, "/", "!" or "?" follows."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    path: tuple[str, ...] = ()
-    marks: tuple[str, ...] = ()
+    top: Element | None = None
+    known: dict[str, int] = {}
+    opened: dict[str, int] = {}
     block: Block | None = None
     links = 0
+    last = page.rfind(">")
 
     def text(piece: str) -> None:
         nonlocal block
@@ -81,93 +130,108 @@ def blocks(page: str | None) -> list[tuple[str, Block]]:
         if block is None:
             if not piece.strip():
                 return
-            block = Block(path, marks)
+            block = Block(top)
             out.append(block)
         block.parts.append(piece)
         if links:
             block.linked += len(piece)
 
-    def rebuild() -> None:
-        nonlocal path, marks
-        path = tuple(t for t, _ in stack)
-        marks = tuple(m for _, own in stack for m in own)
+    def pop() -> str:
+        nonlocal top
+        gone, top = top, top.parent
+        for w in gone.words:
+            known[w] -= 1
+        opened[gone.tag] -= 1
+        return gone.tag
 
     at = 0
-    for m in TOKEN.finditer(page):
-        text(page[at : m.start()])
+    while True:
+        start = page.find("<", at)
+        if start < 0 or start > last:
+            comment = page.find("<!--", at) if start >= 0 else -1
+            text(page[at:] if comment < 0 else page[at:comment])
+            break
+        if page.startswith("<!--", start) or page.startswith("<![CDATA[", start):
+            text(page[at:start])
+            close = "-->" if page.startswith("<!--", start) else "]]>"
+            at = page.find(close, start + 4) + len(close)
+            if at < len(close):
+                break
+            continue
+        if page[start + 1 : start + 2] in ("!", "?"):
+            text(page[at:start])
+            at = page.find(">", start) + 1
+            continue
+        m = TAG.match(page, start)
+        if not m:
+            text(page[at : start + 1])
+            at = start + 1
+            continue
+        text(page[at:start])
         at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
-            if m[1]:
-                block = None if m[1].lower() == "title" else block
+        if not m[4]:
+            at = page.find(">", at) + 1
+            if not at:
+                break
+        tag = m[2].lower()
+        own_end = m[3].rstrip().endswith("/")
+        if tag in HIDE and not m[1]:
+            if tag == "title":
+                block = None
+            if not (own_end and tag in ("svg", "math")):
+                closing = HIDE[tag].search(page, at)
+                if not closing:
+                    break
+                at = closing.end()
             continue
         if tag == "br":
             text(" ")
             continue
         if tag in INLINE:
             if tag == "a":
-                links = 0 if m[2] else 1
+                links = 0 if m[1] else 1
             continue
         block, links = None, 0
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    rebuild()
-                    break
+        if m[1]:
+            if opened.get(tag):
+                while pop() != tag:
+                    pass
             continue
-        for old in CLOSES.get(tag, ()):
-            scope = len(stack) - 1
-            while scope >= 0 and stack[scope][0] not in ("div", "article", "section", "table", "ul", "ol", "body"):
-                if stack[scope][0] == old:
-                    del stack[scope:]
-                    break
-                scope -= 1
-        if tag not in VOID and not m[4].rstrip().endswith("/"):
-            own = [tag]
-            for name, value in ATTRIBUTE.findall(m[4]):
+        bits = CLOSE_BITS.get(tag, 0)
+        while top is not None and top.mask & bits:
+            pop()
+        if tag not in VOID and not own_end:
+            words = [tag]
+            for name, value in ATTRIBUTE.findall(m[3]):
                 if name.lower() in ("hidden", "style"):
                     if name.lower() == "hidden" or re.search(r"display\s*:\s*none", value, re.I):
-                        own.append("hidden")
+                        words.append("hidden")
                 else:
-                    own += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            stack.append((tag, tuple(own[:24])))
-        rebuild()
-    text(page[at:])
+                    words += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+            top = Element(top, tag, words, known)
+            opened[tag] = opened.get(tag, 0) + 1
     found = ((" ".join(entities.unescape("".join(b.parts)).split()), b) for b in out)
     return [(t, b) for t, b in found if t]
 
 
-@lru_cache(maxsize=1 << 14)
-def slot(word: str) -> tuple[int, float]:
-    h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-    return h >> 1, 1.0 if h & 1 else -1.0
-
-
-@lru_cache(maxsize=1 << 14)
-def path_vector(marks: tuple[str, ...], leaf: str) -> np.ndarray:
-    v = np.zeros(DIMS, dtype=np.float32)
-    for word in {*marks, "leaf:" + leaf}:
-        for salt in ("", "2:"):
-            h, sign = slot(salt + word)
-            v[h % DIMS] += sign
-    return v
-
-
-def vectors(page: list[tuple[str, Block]]) -> np.ndarray:
-    """One row per block."""
-    out = np.zeros((len(page), WIDTH), dtype=np.float32)
-    for i, (text, b) in enumerate(page):
-        out[i, :DIMS] = path_vector(b.marks, b.path[-1] if b.path else "")
-        words = WORD.findall(text[:4000].lower())
-        for word in words[:200]:
+def vectors(page: list[tuple[str, Block]], first: int = 0, stop: int | None = None) -> np.ndarray:
+    """One row for each of the page's blocks from first to stop. All words of a block count."""
+    part = page[first:stop]
+    out = np.zeros((len(part), WIDTH), dtype=np.float32)
+    for i, (text, b) in enumerate(part):
+        e = b.element
+        if e is not None:
+            out[i, :DIMS] = e.vector
+        put(out[i], "leaf:" + (e.tag if e is not None else ""))
+        words = WORD.findall(text.lower())
+        for word in words:
             h, sign = slot(word)
             out[i, DIMS + h % TEXT_DIMS] += sign
         out[i, DIMS : DIMS + TEXT_DIMS] /= np.sqrt(len(words) + 1.0)
         total = sum(map(len, b.parts)) + 1e-9
         out[i, DIMS + TEXT_DIMS :] = (
             np.log1p(len(text)) / 4 - 1, min(1.0, b.linked / total), len(text) < 40, text[-1:] in ".!?\"'»”",
-            i / len(page), len(b.path) / 8, "p" in b.path, any(t in b.path for t in ("article", "main")),
+            (first + i) / len(page), np.log1p(e.depth) / 2 if e else 0.0, bool(e and e.prose), bool(e and e.main),
         )
     return out
 
@@ -190,16 +254,17 @@ class Network:
             self.p["c" + d] = bias
         self.p |= {"o": shape(2 * HIDDEN, 1), "q": np.zeros(1, dtype=np.float32)}
 
-    def run(self, x: np.ndarray, mask: np.ndarray, d: str, tape: list | None = None) -> np.ndarray:
+    def run(self, x: np.ndarray, mask: np.ndarray, d: str, tape: list | None = None, state=None) -> tuple[np.ndarray, tuple]:
+        """The hidden state at each step in direction d (f or b), and the state to go on from."""
         steps, n, _ = x.shape
         z = x.reshape(steps * n, -1) @ self.p["x" + d] + self.p["c" + d]
         z = z.reshape(steps, n, -1)
-        h = np.zeros((n, HIDDEN), dtype=np.float32)
-        c = h.copy()
+        h, c = state or (np.zeros((n, HIDDEN), dtype=np.float32), np.zeros((n, HIDDEN), dtype=np.float32))
         out = np.zeros((steps, n, HIDDEN), dtype=np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             g = z[t] + h @ self.p["h" + d]
-            i, f, o = (sigmoid(g[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
+            gates = sigmoid(g[:, : 3 * HIDDEN])
+            i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
             u = np.tanh(g[:, 3 * HIDDEN :])
             m = mask[t][:, None]
             new_c = (f * c + i * u) * m
@@ -208,15 +273,11 @@ class Network:
                 tape.append((t, h, c, i, f, o, u, tc, m))
             h, c = o * tc * m, new_c
             out[t] = h
-        return out
-
-    def forward(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self.run(x, mask, "f"), self.run(x, mask, "b")], axis=2)
-        return sigmoid((both @ self.p["o"])[:, :, 0] + self.p["q"])
+        return out, (h, c)
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         tapes = {"f": [], "b": []}
-        both = np.concatenate([self.run(x, mask, d, tapes[d]) for d in "fb"], axis=2)
+        both = np.concatenate([self.run(x, mask, d, tapes[d])[0] for d in "fb"], axis=2)
         p = sigmoid((both @ self.p["o"])[:, :, 0] + self.p["q"])
         delta = ((p - y) * mask / mask.sum()).astype(np.float32)
         g = {"o": np.einsum("tnh,tn->h", both, delta)[:, None], "q": delta.sum(keepdims=True).reshape(1)}
@@ -238,27 +299,37 @@ class Network:
             g |= {"x" + d: x.reshape(-1, WIDTH).T @ flat, "h" + d: gh, "c" + d: flat.sum(axis=0)}
         return g
 
-    def label(self, pages: list[list[tuple[str, Block]]], window: int = 4096) -> list[np.ndarray]:
-        """The probability of every block of every page; pages of like length run together. A page of more
-        blocks than the window is read window by window, so memory stays bounded."""
+    def label(self, pages: list[list[tuple[str, Block]]], run: int = RUN) -> list[np.ndarray]:
+        """The probability of every block of every page; pages of like length go together. Each direction reads
+        ``run`` blocks at a time and hands its state on, so memory stays bounded and the labels are those of one
+        reading of the whole page."""
         out: list[np.ndarray] = [np.zeros(len(p)) for p in pages]
-        parts = [(k, a, p[a : a + window]) for k, p in enumerate(pages) for a in range(0, len(p), window)]
-        parts.sort(key=lambda x: len(x[2]))
+        order = sorted(range(len(pages)), key=lambda k: len(pages[k]))
         a = 0
-        while a < len(parts):
+        while a < len(order):
             b = a + 1
-            while b < len(parts) and b - a < 128 and (b - a + 1) * len(parts[b][2]) <= 16384:
+            while b < len(order) and b - a < 128 and (b - a + 1) * len(pages[order[b]]) <= 4 * run:
                 b += 1
-            x, mask = stack([vectors(p) for _, _, p in parts[a:b]])
-            p = self.forward(x, mask)
-            for j, (k, at, part) in enumerate(parts[a:b]):
-                out[k][at : at + len(part)] = p[: len(part), j]
+            group = [pages[k] for k in order[a:b]]
+            steps = len(group[-1])
+            logits = np.zeros((steps, len(group)), dtype=np.float32)
+            starts = range(0, steps, run)
+            kept = stack([vectors(p) for p in group]) if steps <= run else None
+            for k, d in enumerate("fb"):
+                state = None
+                for at in starts if d == "f" else reversed(starts):
+                    x, mask = kept or stack([vectors(p, at, at + run) for p in group], min(run, steps - at))
+                    hidden, state = self.run(x, mask, d, state=state)
+                    logits[at : at + len(x)] += hidden @ self.p["o"][k * HIDDEN : (k + 1) * HIDDEN, 0]
+            p = sigmoid(logits + self.p["q"])
+            for j, k in enumerate(order[a:b]):
+                out[k] = p[: len(pages[k]), j]
             a = b
         return out
 
 
-def stack(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    steps = max(map(len, rows))
+def stack(rows: list[np.ndarray], steps: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    steps = max(steps, *map(len, rows))
     x = np.zeros((steps, len(rows), WIDTH), dtype=np.float32)
     mask = np.zeros((steps, len(rows)), dtype=np.float32)
     for j, r in enumerate(rows):
@@ -282,7 +353,9 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[str]]:
         return " ".join(sentence(3, 14) for _ in range(rng.integers(2, 7))) if long else sentence(1, 5)
 
     def link_list(n: int) -> str:
-        return "<ul>" + "".join(f'<li><a href="/{word()}">{word()}{pick("", " " + word())}</a></li>' for _ in range(n)) + "</ul>"
+        kind, long = pick("ul", "ul", "ol"), rng.random() < 0.4
+        label = lambda: sentence(2, 6) if long else word() + pick("", " " + word())
+        return f"<{kind}>" + "".join(f'<li><a href="/{word()}">{label()}</a></li>' for _ in range(n)) + f"</{kind}>"
 
     def hold(names: list[str], tags: list[str], inner: str) -> str:
         """Names the part in one of several ways, at times not at all."""
@@ -296,12 +369,12 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[str]]:
     noise = {
         "nav": lambda: hold(["nav", "menu", "navbar", "breadcrumb"], ["nav", "nav", "div"], link_list(rng.integers(3, 9))),
         "header": lambda: hold(["header", "masthead", "banner", "topbar", "site-header"], ["header", "header", "div"], f"<a href='/'>{word()}</a> <p>{sentence(2, 6)}</p>"),
-        "side": lambda: hold(["sidebar", "aside", "related", "widget", "popular", "recommended"], ["aside", "aside", "div"], f"<h3>{sentence(1, 3)}</h3>" + pick(link_list(4), para())),
+        "side": lambda: hold(["sidebar", "aside", "related", "widget", "popular", "recommended", "right", "rail", "most-read", "column"], ["aside", "aside", "div", "div"], f"<h3>{sentence(1, 3)}</h3>" + pick(link_list(4), para())),
         "ad": lambda: hold(["ad", "ads", "advert", "sponsored", "promo", "advertisement"], ["div", "div", "aside"], pick(sentence(4, 16), para(), f"<a href='#'>{sentence(3, 9)}</a>")),
         "notice": lambda: hold(["cookie", "notice", "consent", "gdpr", "newsletter", "popup", "modal", "alert"], ["div", "div", "section", "dialog"], f"<p>{sentence(6, 18)}</p><a href='#'>{word()}</a>"),
         "form": lambda: hold(["form", "search", "subscribe", "login", "signup"], ["form"], f"<label>{sentence(1, 3)}</label><input name=q>{pick('', para())}"),
         "comments": lambda: hold(["comments", "comment", "replies", "discussion", "responses"], ["section", "div", "div"], f"<h3>{sentence(1, 3)}</h3>" + "".join(hold(["comment", "reply", "comment-body"], ["div", "li", "article"], f"<b>{word()}</b>" + para()) for _ in range(rng.integers(1, 5)))),
-        "footer": lambda: hold(["footer", "copyright", "legal", "bottom"], ["footer", "footer", "div"], pick("&copy; " + sentence(2, 6), f"<p>{sentence(3, 12)}</p>" + link_list(3))),
+        "footer": lambda: hold(["footer", "copyright", "legal", "bottom"], ["footer", "footer", "div"], pick("&copy; " + sentence(2, 6), f"<small>{sentence(3, 9)}</small>", f"<p>{sentence(3, 12)}</p>" + link_list(3))),
         "share": lambda: hold(["share", "social", "tags", "meta", "byline"], ["div", "ul"], f"<a href='#'>{word()}</a> <a href='#'>{word()}</a>"),
     }
     inside: list[str] = []
@@ -343,7 +416,7 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[str]]:
 
 
 @lru_cache(maxsize=4)
-def trained(pages: int = 1500, rounds: int = 10, seed: int = 5) -> Network:
+def trained(pages: int = 2000, rounds: int = 8, seed: int = 5) -> Network:
     """The network after ``rounds`` passes over ``pages`` made-up pages (Adam)."""
     rng = np.random.default_rng(seed)
     samples = []

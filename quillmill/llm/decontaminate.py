@@ -1,10 +1,19 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
-A mask such as 1110110111 looks at some of the tokens in its span and ignores the others, so a hash of the
-tokens it keeps survives substitutions at the ignored places. Every window of every document is hashed under
-each mask and joined with the hashes of the benchmark's windows. A hit fixes an alignment of the item and the
-document; along it equal tokens count 1 and different ones -4, and the best-scoring stretch is the overlap:
-a stretch that gains is more than four fifths equal.
+A hit of a mask fixes an alignment of an item and a document; along it equal tokens count 1 and different
+ones -4, and the best-scoring stretch is the overlap. An item counts as leaked if a stretch scores
+``min_score`` or if nine tenths of the item's tokens are equal along the alignment.
+
+*Masks.* The nine masks 111111111, 10 11111111, 110 1111111, ... look at nine tokens and ignore one place among
+them. They miss no leak. Cut a stretch at its m different tokens into m + 1 runs of equal ones. If any two
+neighbouring runs have together at most eight tokens, taking the runs in pairs gives at most 4 m + r tokens,
+where r is one run left over, so the score is at most r: it reaches nine only with a run of nine, which the
+first mask sees. Otherwise two neighbours a and b have nine together, and the mask with the ignored place
+between a' <= a and b' <= b tokens (a' + b' = 9) sees them. The same count holds for nine tenths of an item of
+ten or more tokens. Items of fewer tokens are looked for as a whole.
+
+*Filter.* Every mask has five neighbouring tokens in a row. A position is hashed under the masks only if the
+five tokens that start there also stand in the benchmark.
 """
 
 from __future__ import annotations
@@ -14,10 +23,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MASKS = ("11111111", "1110110111", "110101101011")
+WEIGHT = 9
+MASKS = ("1" * WEIGHT, *("1" * a + "0" + "1" * (WEIGHT - a) for a in range(1, WEIGHT)))
+GRAM = 5
+#: Items of at least this many tokens are looked for by the masks, shorter ones as a whole.
+MASKED = WEIGHT + 1
 SPLIT = r"[^\p{L}\p{N}]+"
 #: Benchmark windows up to this number are broadcast: at some 50 bytes each, 50 MB at most.
 BROADCAST_WINDOWS = 1_000_000
+#: Beyond it, windows meet in so many parts a hash, so a common phrase fills no single task.
+SALTS = 16
 
 
 def tokens(text: Column) -> Column:
@@ -25,27 +40,30 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda x: x != "")
 
 
-def _hashes(words: Column, at: Column, masks: tuple[str, ...]) -> Column:
-    return F.array(
-        *(
-            F.xxhash64(F.lit(i), *(F.get(words, at + o) for o, bit in enumerate(m) if bit == "1"))
-            for i, m in enumerate(masks)
-        )
-    )
+def _gram(hashes: Column, at: Column, size: int) -> Column:
+    return F.xxhash64(F.lit(-size), *(F.get(hashes, at + i) for i in range(size)))
+
+
+def _seed(hashes: Column, at: Column, mask: int) -> Column:
+    return F.xxhash64(F.lit(mask), *(F.get(hashes, at + o) for o, bit in enumerate(MASKS[mask]) if bit == "1"))
+
 
+def _gram_at(mask: int) -> int:
+    """Where in the mask the first five tokens in a row stand."""
+    return MASKS[mask].index("1" * GRAM)
 
-def _overlap(words: Column, at: Column, item: Column, item_at: Column) -> Column:
-    """The score of the best stretch along the alignment (Kadane's scan)."""
-    shift = at - item_at
+
+def _along(words: Column, item: Column, shift: Column) -> Column:
+    """(best, equal): the score of the best stretch along the alignment (Kadane's scan) and its equal tokens."""
     low, high = F.greatest(F.lit(0), -shift), F.least(F.size(item), F.size(words) - shift) - 1
-    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
+    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("equal"))
 
     def step(acc: Column, i: Column) -> Column:
-        gain = F.when(F.get(item, i) == F.get(words, i + shift), 1).otherwise(-4)
-        run = F.greatest(F.lit(0), acc["run"] + gain)
-        return F.struct(run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+        same = F.coalesce(F.get(item, i) == F.get(words, i + shift), F.lit(False))
+        run = F.greatest(F.lit(0), acc["run"] + F.when(same, 1).otherwise(-4))
+        return F.struct(run.alias("run"), F.greatest(acc["best"], run).alias("best"), (acc["equal"] + same.cast("int")).alias("equal"))
 
-    return F.aggregate(F.sequence(low, high), start, step, lambda acc: acc["best"])
+    return F.aggregate(F.sequence(low, high), start, step)
 
 
 def overlaps(
@@ -55,49 +73,82 @@ def overlaps(
     row_id: str = "doc_id",
     item_text: str = "text",
     item_id: str = "item_id",
-    masks: tuple[str, ...] = MASKS,
     min_score: int = 12,
     min_tokens: int = 5,
 ) -> DataFrame:
-    """(id, item id, item_tokens, overlap): a row for each pair of a document and an item whose best overlap
-    reaches ``min_score``, or, for an item of fewer tokens, all of them.
-
-    An item shorter than a mask is looked for as a whole, unless it has fewer than ``min_tokens`` tokens,
-    which says too little. Null and empty texts overlap with nothing; rows with a null id are reported under
-    null. Rows that repeat an id give one pair. Empty tables give an empty result."""
+    """(id, item id, item_tokens, overlap): a row for each pair of a document and an item that leaked into it;
+    overlap is the score of the best stretch.
+
+    An item of ten or more tokens leaked if a stretch scores ``min_score`` (nine at least, for the masks to see
+    all) or if nine tenths of its tokens are equal along one alignment; a shorter one if all of it stands in
+    the document. Items of fewer than ``min_tokens`` tokens say too little and are left out. Null and empty
+    texts overlap with nothing; rows with a null id are reported under null. Rows that repeat an id give one
+    pair, as do rows that repeat an item. Further columns are not looked at. Empty tables give an empty result."""
+    if min_score < WEIGHT:
+        raise ValueError(f"the masks see every stretch of a score of {WEIGHT} or more")
     bench = items.select(F.col(item_id).alias("item"), tokens(F.col(item_text)).alias("item_words"))
-    bench = common.materialise(bench.filter(F.size("item_words") >= min_tokens).distinct(), "bench")
-    longest = max(map(len, masks))
-    short = bench.filter(F.size("item_words") < longest).select(F.size("item_words").alias("n")).distinct()
-    lengths = sorted(r.n for r in short.collect())  # fewer than the longest mask has places
-    every = (*masks, *("1" * n for n in lengths))
-    words = docs.select(F.coalesce(F.col(row_id).cast("long"), F.lit(common.LONG_MIN)).alias("id"), F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SPLIT).alias("words"))
-    # A text that begins or ends with a separator has an empty token there; it matches no item's token.
-    at = words.filter(F.size("words") >= min_tokens).select(
-        "id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - min_tokens)).alias("at")
+    bench = bench.filter(F.size("item_words") >= min_tokens).distinct()
+    bench = common.materialise(bench.withColumn("item_hashes", F.transform("item_words", lambda w: F.xxhash64(w))), "bench")
+    n = F.size("item_words")
+    short = bench.filter(n < MASKED).select(n.alias("n")).distinct()
+    lengths = sorted(r.n for r in short.collect())  # at most nine numbers
+
+    # Windows of the benchmark: (g, h, item, shift to the item's start); g is the hash that lets a position in.
+    long_at = bench.filter(n >= MASKED).select("item", "item_hashes", F.explode(F.sequence(F.lit(0), n - WEIGHT)).alias("at"))
+    parts = []
+    for m, mask in enumerate(MASKS):
+        inside = long_at.filter(F.col("at") + len(mask) <= F.size("item_hashes"))
+        parts.append(inside.select(_gram(F.col("item_hashes"), F.col("at") + _gram_at(m), GRAM).alias("g"), _seed(F.col("item_hashes"), F.col("at"), m).alias("h"), "item", F.col("at").alias("item_at")))
+    for size in lengths:
+        whole = _gram(F.col("item_hashes"), F.lit(0), size)
+        parts.append(bench.filter(n == size).select(whole.alias("g"), whole.alias("h"), "item", F.lit(0).alias("item_at")))
+    windows = parts[0]
+    for part in parts[1:]:
+        windows = windows.unionByName(part)
+    windows = common.materialise(windows, "bench-windows")
+    grams = windows.select("g").distinct()
+
+    words = docs.select(
+        common.order_id(text, row_id).alias("key"),
+        F.col(row_id).cast("long").alias("id"),
+        F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SPLIT).alias("words"),
     )
-    hashed = at.select("id", "words", "at", F.explode(_hashes(F.col("words"), F.col("at"), every)).alias("h"))
-
-    windows = bench.select("item", "item_words", F.explode(F.sequence(F.lit(0), F.size("item_words") - min_tokens)).alias("item_at"))
-    spans = F.array(*(F.lit(len(m)) for m in every))
-    windows = windows.select("item", "item_at", F.size("item_words").alias("n"), F.posexplode(_hashes(F.col("item_words"), F.col("item_at"), every)).alias("mask", "h"), spans.alias("spans"))
-    # A window of a mask has to lie inside the item; the masks of whole items serve items of that length.
-    inside = F.col("item_at") + F.get("spans", F.col("mask")) <= F.col("n")
-    whole = (F.col("mask") < len(masks)) | (F.get("spans", F.col("mask")) == F.col("n"))
-    windows = common.materialise(windows.filter(inside & whole).select("h", "item", "item_at"), "bench-windows")
-
-    if common.rows_at_most(windows, BROADCAST_WINDOWS):
-        hits = hashed.join(F.broadcast(windows), "h").join(F.broadcast(bench), "item")
-    else:  # the documents' windows travel by hash, and only hits fetch their texts
-        found = hashed.select("id", "at", "h").join(windows, "h").select("id", "at", "item", "item_at").distinct()
-        hits = found.join(bench, "item").join(words, "id")
-    scored = hits.select(
-        "id", "item", F.size("item_words").alias("item_tokens"),
-        _overlap(F.col("words"), F.col("at"), F.col("item_words"), F.col("item_at")).alias("overlap"),
-    )
-    best = scored.groupBy("id", "item", "item_tokens").agg(F.max("overlap").alias("overlap"))
-    best = best.filter(F.col("overlap") >= F.least(F.lit(min_score), F.col("item_tokens")))
-    return best.select(F.when(F.col("id") != common.LONG_MIN, F.col("id")).alias(row_id), F.col("item").alias(item_id), "item_tokens", "overlap")
+    # A text that begins or ends with a separator has an empty token there; it matches no item's token.
+    words = words.filter(F.size("words") >= min_tokens).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    least = min([GRAM, *lengths])
+    at = words.select("key", "id", "words", "hashes", F.explode(F.sequence(F.lit(0), F.size("words") - least)).alias("p"))
+    sizes = sorted({GRAM, *lengths})
+    gram = lambda size: _gram(F.col("hashes"), F.col("p"), size)
+    looked = at.withColumn("g", gram(GRAM)) if sizes == [GRAM] else at.withColumn("g", F.explode(F.array(*map(gram, sizes))))
+
+    few = common.rows_at_most(windows, BROADCAST_WINDOWS)
+    if few:
+        near = looked.join(F.broadcast(grams), "g")
+    else:  # the documents' positions travel by hash, and only those that the benchmark knows fetch their texts
+        salted = grams.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        some = looked.select("key", "p", "g", F.pmod(F.xxhash64("key", "p"), F.lit(SALTS)).cast("int").alias("salt"))
+        near = some.join(salted, ["g", "salt"]).select("key", "p", "g").distinct().join(words, "key")
+    hashed = near.select(
+        "key", "id", "words",
+        F.explode(F.array(
+            *(F.struct((F.col("p") - _gram_at(m)).alias("at"), _seed(F.col("hashes"), F.col("p") - _gram_at(m), m).alias("h")) for m in range(len(MASKS))),
+            *([F.struct(F.col("p").alias("at"), F.col("g").alias("h"))] if lengths else []),
+        )).alias("seed"),
+    ).select("key", "id", "words", "seed.at", "seed.h")
+
+    found = windows.select("h", "item", "item_at")
+    if few:
+        hits = hashed.join(F.broadcast(found), "h").join(F.broadcast(bench.drop("item_hashes")), "item")
+    else:
+        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        some = hashed.select("key", "at", "h", F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int").alias("salt"))
+        pairs = some.join(salted, ["h", "salt"]).select("key", "item", (F.col("at") - F.col("item_at")).alias("at")).distinct()
+        hits = pairs.withColumn("item_at", F.lit(0)).join(bench.drop("item_hashes"), "item").join(words.drop("hashes"), "key")
+    scored = hits.select("id", "item", n.alias("item_tokens"), _along(F.col("words"), F.col("item_words"), F.col("at") - F.col("item_at")).alias("a"))
+    size, best, equal = F.col("item_tokens"), F.col("a.best"), F.col("a.equal")
+    leaked = F.when(size < MASKED, equal == size).otherwise((best >= min_score) | (equal * 10 >= size * 9))
+    most = scored.filter(leaked).groupBy("id", "item", "item_tokens").agg(F.max("a.best").alias("overlap"))
+    return most.select(F.col("id").alias(row_id), F.col("item").alias(item_id), "item_tokens", "overlap")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", row_id: str = "doc_id", **options) -> DataFrame:

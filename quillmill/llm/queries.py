@@ -128,44 +128,37 @@ ORACLES = {
                ('0x' || substr(sha256('1-order:' || doc_id || ':' || r), 1, 12))::BIGINT / 281474976710656.0 AS mix_key
         FROM times, unnest(range(1, k + 1)) t(r)
     """,
+    # Not by masks: every alignment with five equal tokens in a row is scored, which all leaks have.
     "op10_decontamination": r"""
-        WITH masks(mask, bits) AS (
-            VALUES (0, '11111111'), (1, '1110110111'), (2, '110101101011')
-        ), items AS (
+        WITH items AS (
             SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'),
                                         lambda x: x <> '') AS w
             FROM benchmark
         ), docs AS (
             SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') AS w FROM documents
-        ), every AS (
-            SELECT * FROM masks
-            UNION ALL SELECT DISTINCT 100 + len(w), repeat('1', len(w)) FROM items WHERE len(w) BETWEEN 5 AND 11
-        ), offsets AS (
-            SELECT mask, length(bits) AS span,
-                   list_filter(range(1, length(bits) + 1), lambda i: substr(bits, i, 1) = '1') AS o
-            FROM every
-        ), item_windows AS (
-            SELECT item_id, p, mask, list_transform(o, lambda i: w[p + i]) AS seed
-            FROM (SELECT item_id, w, unnest(range(0, len(w))) AS p FROM items WHERE len(w) >= 5), offsets
-            WHERE p + span <= len(w) AND (mask < 100 OR span = len(w))
-        ), doc_windows AS (
-            SELECT doc_id, p, mask, list_transform(o, lambda i: w[p + i]) AS seed
-            FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS p FROM docs), offsets
-            WHERE p + span <= len(w)
+        ), ig AS (
+            SELECT item_id, p, w[p + 1 : p + 5] AS g
+            FROM (SELECT item_id, w, unnest(range(0, len(w) - 4)) AS p FROM items WHERE len(w) >= 5)
+        ), dg AS (
+            SELECT doc_id, p, w[p + 1 : p + 5] AS g
+            FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS p FROM docs WHERE len(w) >= 5)
         ), hits AS (
-            SELECT DISTINCT d.doc_id, i.item_id, d.p - i.p AS shift
-            FROM doc_windows d JOIN item_windows i ON d.mask = i.mask AND d.seed = i.seed
+            SELECT DISTINCT d.doc_id, i.item_id, d.p - i.p AS shift FROM dg d JOIN ig i ON d.g = i.g
         ), aligned AS (
-            SELECT h.doc_id, h.item_id, h.shift, len(i.w) AS n, k, CASE WHEN i.w[k + 1] = d.w[k + shift + 1] THEN 1 ELSE -4 END AS gain
+            SELECT h.doc_id, h.item_id, h.shift, len(i.w) AS n, k, i.w[k + 1] = d.w[k + shift + 1] AS same
             FROM hits h JOIN items i USING (item_id) JOIN docs d USING (doc_id), unnest(range(0, len(i.w))) t(k)
             WHERE k + shift >= 0 AND k + shift < len(d.w)
         ), sums AS (
-            SELECT *, sum(gain) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k) AS s FROM aligned
+            SELECT *, sum(CASE WHEN same THEN 1 ELSE -4 END) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k) AS s FROM aligned
         ), runs AS (
             SELECT *, s - least(0, coalesce(min(s) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k
                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS run FROM sums
+        ), scored AS (
+            SELECT doc_id, item_id, n, greatest(0, max(run)) AS best, count(*) FILTER (same) AS equal
+            FROM runs GROUP BY doc_id, item_id, shift, n
         )
-        SELECT doc_id, item_id, n::INTEGER AS item_tokens, greatest(0, max(run))::INTEGER AS overlap
-        FROM runs GROUP BY doc_id, item_id, n HAVING max(run) >= least(12, n)
+        SELECT doc_id, item_id, n::INTEGER AS item_tokens, max(best)::INTEGER AS overlap
+        FROM scored WHERE CASE WHEN n < 10 THEN equal = n ELSE best >= 12 OR equal * 10 >= n * 9 END
+        GROUP BY doc_id, item_id, n
     """,
 }

@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: spark.checkpoint.dir, or where that is unset
-    (local runs and tests) a temporary folder that is then set as the session's checkpoint folder."""
+    """A folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset a local run
+    gets a temporary folder, which becomes its checkpoint folder; on a cluster it is an error."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillmill-")
         sc.setCheckpointDir(base)
     elif not sc.getCheckpointDir():
@@ -55,6 +57,20 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def order_id(text: str, row_id: str) -> Column:
+    """The id as a long; for a null id a number below all real ids (those above -2^62), taken from a hash of the
+    text, so rows without an id come first and do not gather under one key."""
+    return F.coalesce(F.col(row_id).cast("long"), F.lit(LONG_MIN) + F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1)))
+
+
+def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], by: str, salts: int = 8) -> DataFrame:
+    """rows joined with a table in which each key stands once. The rows of one key, which may be a third of all,
+    are dealt to ``salts`` tasks by a hash of their column ``by``."""
+    dealt = rows.withColumn("salt_", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    copies = unique.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*keys, "salt_"]).drop("salt_")
+
+
 def strip_ascii_space(text: Column) -> Column:
     """The text without any of the six ASCII white-space characters; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), ASCII_SPACE, "")

@@ -17,12 +17,13 @@ window's value. Nothing but the text enters a score.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -215,8 +216,22 @@ def spread(windows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], labels: list[int], decay: float = 0.8, landmarks: int = 400, seed: int = 11) -> Model:
-    """A model of labelled texts (1: toxic). Without both labels every text gets the share of ones."""
+def fit(
+    texts: list[str],
+    labels: list[int],
+    decay: float = 0.8,
+    landmarks: int = 400,
+    seed: int = 11,
+    per_text: int = 40,
+    max_toxic_windows: int = 4000,
+    max_clean_windows: int = 8000,
+    max_found_windows: int = 5000,
+) -> Model:
+    """A model of labelled texts (1: toxic). Without both labels every text gets the share of ones.
+
+    The machine is fitted on at most per_text windows of a toxic text, max_toxic_windows and
+    max_clean_windows windows in the first round and max_found_windows toxic windows in later ones, all drawn
+    by the seed; the windows themselves are looked for in the whole of every text."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels)
     flat = Model(np.zeros(LETTERS**3, np.float32), np.zeros(BUCKETS, np.float32), 0.0, decay, np.zeros(2))
@@ -254,14 +269,14 @@ def fit(texts: list[str], labels: list[int], decay: float = 0.8, landmarks: int
         hit = np.flatnonzero(np.isin(grams(codes[i]), telling))
         if len(hit):
             starts = hit[np.concatenate(([True], np.diff(hit) > 6))]
-            positives.append(cut(codes[i], np.concatenate([starts - 1, starts - 3])[:40]))
+            positives.append(cut(codes[i], np.concatenate([starts - 1, starts - 3])[:per_text]))
     if not positives:
         positives = [cut(codes[i], rng.integers(0, len(codes[i]), 4)) for i in np.flatnonzero(learn & toxic)]
     pos = np.unique(np.concatenate(positives), axis=0)
-    pos = pos[rng.permutation(len(pos))[:4000]]
+    pos = pos[rng.permutation(len(pos))[:max_toxic_windows]]
     neg = np.concatenate([cut(codes[i], rng.integers(0, len(codes[i]), 4)) for i in np.flatnonzero(learn & ~toxic)])
     neg = np.unique(neg, axis=0)
-    neg = neg[rng.permutation(len(neg))[:8000]]
+    neg = neg[rng.permutation(len(neg))[:max_clean_windows]]
     # Windows with little or nothing in them, as at a text's end, are clean.
     short = neg[rng.integers(0, len(neg), len(neg) // 10 + 5)].copy()
     short[np.arange(REACH)[None, :] >= rng.integers(0, 8, len(short))[:, None]] = 0
@@ -279,7 +294,7 @@ def fit(texts: list[str], labels: list[int], decay: float = 0.8, landmarks: int
         whole = np.zeros((len(known) + 1, len(chosen)), dtype=np.float32)  # the last row: any other feature
         phi = whole[:-1]
         np.add.at(phi, (inverse.reshape(ids.shape), np.arange(len(chosen))[:, None]), weights)
-        phi /= np.sqrt((phi**2).sum(axis=0)) + 1e-6
+        phi /= np.sqrt(np.einsum("ij,ij->j", phi, phi)) + 1e-6
         values, vectors = np.linalg.eigh((phi.T @ phi).astype(np.float64))
         whiten = vectors * (1 / np.sqrt(np.maximum(values, 1e-3)))
         row_of = np.full(LETTERS**3 + BUCKETS, len(known), dtype=np.int32)
@@ -307,7 +322,7 @@ def fit(texts: list[str], labels: list[int], decay: float = 0.8, landmarks: int
                 top = np.argsort(-f)[:2]
                 hard.append(cut(codes[i], top[f[top] > -0.8]))
         pos = np.unique(np.concatenate(found), axis=0)
-        pos = pos[rng.permutation(len(pos))[:5000]]
+        pos = pos[rng.permutation(len(pos))[:max_found_windows]]
         neg = np.unique(np.concatenate(hard), axis=0)
     shown = model.profile([texts[i] for i in np.flatnonzero(fold)])
     model.logistic = logistic(shown, y[fold].astype(float))
@@ -315,18 +330,20 @@ def fit(texts: list[str], labels: list[int], decay: float = 0.8, landmarks: int
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, text: str, row_id: str, label: str, max_positive: int, max_negative: int
-) -> tuple[list[str], list[int]]:
-    """At most max_positive and max_negative labelled texts, those whose ids have the smallest hashes."""
+    docs: DataFrame, labels: DataFrame, text: str, row_id: str, label: str, max_positive: int, max_negative: int, max_chars: int
+) -> DataFrame:
+    """(id, y, h, t): at most max_positive and max_negative labelled texts, those whose ids have the smallest
+    hashes, and of each label no more than max_chars characters together. Of rows that share an id the
+    smallest text counts."""
     known = labels.select(F.col(row_id).cast("long").alias("id"), F.col(label).cast("int").alias("y"))
     known = known.filter("id is not null and y in (0, 1) and pmod(crc32(cast(id as string)), 5) <> 0")
     known = known.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id"))
     take = lambda y, n: known.filter(F.col("y") == y).orderBy("h", "id").limit(n)
-    ids = take(1, max_positive).unionByName(take(0, max_negative)).select("id", "y")
-    texts = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("t"))
-    rows = texts.join(F.broadcast(ids), "id").select("id", "y", "t").collect()
-    rows = sorted({(r.id, r.y, r.t or "") for r in rows})
-    return [t for _, _, t in rows], [y for _, y, _ in rows]
+    ids = take(1, max_positive).unionByName(take(0, max_negative))
+    texts = docs.select(F.col(row_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = texts.join(F.broadcast(ids), "id").groupBy("id", "y", "h").agg(F.min("t").alias("t"))
+    upto = Window.partitionBy("y").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("chars", F.sum(F.length("t")).over(upto)).filter(F.col("chars") <= max_chars).drop("chars")
 
 
 def train(
@@ -337,11 +354,22 @@ def train(
     label: str = "toxic",
     max_positive: int = 1500,
     max_negative: int = 3500,
+    max_chars: int = 30_000_000,
     **options,
 ) -> Model:
-    """A model fitted on at most max_positive and max_negative labelled documents, taken whole, whose id
-    does not fall in the held-out fifth (crc32 of the id as text, modulo 5)."""
-    return fit(*labelled_sample(docs, labels, text, row_id, label, max_positive, max_negative), **options)
+    """A model fitted on at most max_positive and max_negative labelled documents, taken whole, of at most
+    max_chars characters a label, whose id does not fall in the held-out fifth (crc32 of the id as text,
+    modulo 5). The fit runs in one task of an executor; the driver gets the weight table alone (5 MB)."""
+    sample = labelled_sample(docs, labels, text, row_id, label, max_positive, max_negative, max_chars)
+
+    def fit_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted(row for pdf in batches for row in zip(pdf["id"], pdf["y"], pdf["t"]))
+        model = fit([t for _, _, t in rows], [y for _, y, _ in rows], **options)
+        yield pd.DataFrame({"model": [pickle.dumps((model.triples, model.quads, model.bias, model.decay, model.logistic))]})
+
+    fitted = sample.select("id", "y", "t").repartition(1).mapInPandas(fit_all, "model binary")
+    found = common.materialise(fitted, "toxicity-model").first()
+    return Model(*pickle.loads(found.model)) if found is not None else fit([], [])
 
 
 def score(df: DataFrame, model: Model, text: str = "text", row_id: str = "doc_id") -> DataFrame:

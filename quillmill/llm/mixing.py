@@ -19,6 +19,8 @@ PART = 64.0
 TERMS = 200
 #: Sources up to this number have their rates broadcast (1.6 kB each).
 BROADCAST_SOURCES = 5_000
+#: Beyond it a source's rows are dealt to so many parts.
+SALTS = 16
 
 
 def uniform(*parts: Column) -> Column:
@@ -78,18 +80,22 @@ def mix(
     weight 1 unless a weights table names null. Rows with equal ids are repeated equally often. Texts that
     are null or empty weigh nothing and follow their source's rate. An empty table gives an empty result. If
     df has columns named like the two new ones, those get a leading underscore."""
-    src, parts, cdf, rate, times = common.fresh(df, "mix_src_", "mix_parts_", "mix_cdf_", "mix_rate_", "mix_times_")
+    src, parts, cdf, rate, times, salt = common.fresh(df, "mix_src_", "mix_parts_", "mix_cdf_", "mix_rate_", "mix_times_", "mix_salt_")
     replica, key = common.fresh(df, "replica", "mix_key")
     found = common.materialise(rates(df, source, text, weights, total), "mix-rates").toDF(src, rate, parts, cdf)
+    same = df[source].eqNullSafe(F.col(src))
     if common.rows_at_most(found, BROADCAST_SOURCES):
-        found = F.broadcast(found)
-    rows = df.join(found, df[source].eqNullSafe(F.col(src)))
-    draw = F.aggregate(
-        F.sequence(F.lit(0), F.col(parts) - 1),
-        F.lit(0),
-        lambda acc, i: acc + F.size(F.filter(F.col(cdf), lambda c: c <= uniform(F.lit(seed), F.col(row_id), i))),
-    )
-    rows = rows.withColumn(times, draw).filter(F.col(times) > 0)
-    rows = rows.withColumn(replica, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*df.columns, replica)
+        rows = df.join(F.broadcast(found), same)
+    else:  # a source may hold a third of all rows: its rows meet its rate in so many parts
+        salted = df.withColumn(salt, F.pmod(F.xxhash64(row_id, text), F.lit(SALTS)).cast("int"))
+        copies = found.withColumn("salt_of_rate_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = salted.join(copies, same & (F.col(salt) == F.col("salt_of_rate_"))).drop(salt, "salt_of_rate_")
+    # One digest for each part: drawn outside the scan of the distribution, which would repeat it for each term.
+    draws = F.transform(F.sequence(F.lit(0), F.col(parts) - 1), lambda i: uniform(F.lit(seed), F.col(row_id), i))
+    draw = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col(cdf), lambda c: c <= u)))
+    # Not filtered by the number of times, which the optimiser would work out again in the join; null explodes to nothing.
+    rows = rows.withColumn(times, draw)
+    several = F.when(F.col(times) > 0, F.sequence(F.lit(1), F.col(times)))
+    rows = rows.withColumn(replica, F.explode(several)).select(*df.columns, replica)
     rows = rows.withColumn(key, uniform(F.lit(f"{seed}-order"), F.col(row_id), F.col(replica)))
     return rows.repartition(key).sortWithinPartitions(key)

@@ -83,15 +83,17 @@ def signed(x: int) -> int:
 
 
 def fingerprints(df: DataFrame, text: str, row_id: str, features) -> DataFrame:
-    """(id, fp): one row per row of df; fp is the fingerprint as a signed long."""
+    """(id, th, fp): one row per row of df; th is a hash of the text, which tells rows that share an id apart,
+    and fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = np.fromiter((signed(fingerprint(features(t))) for t in pdf["t"]), np.int64, count=len(pdf))
-            yield pd.DataFrame({"id": pdf["id"], "fp": fps})
+            yield pd.DataFrame({"id": pdf["id"], "th": pdf["th"], "fp": fps})
 
-    src = df.select(F.col(row_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return src.mapInPandas(run, "id long, fp long")
+    body = F.coalesce(F.col(text), F.lit(""))
+    src = df.select(F.col(row_id).cast("long").alias("id"), F.xxhash64(body).alias("th"), body.alias("t"))
+    return src.mapInPandas(run, "id long, th long, fp long")
 
 
 def forest(nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -258,7 +260,7 @@ def group(
     An empty table gives an empty result. Other columns are not looked at."""
     shape = features or (lambda t: shingles(words(t), shingle))
     rows, by_fp = linked_rows(df, text, row_id, shape, radius, block)
-    return rows.join(by_fp.select("fp", "component_id"), "fp").select(
+    return common.salted_join(rows, by_fp.select("fp", "component_id"), ["fp"], "id").select(
         F.col("id").alias(row_id),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -266,7 +268,7 @@ def group(
 
 
 def linked_rows(df: DataFrame, text: str, row_id: str, features, radius: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, fp) and fingerprints with the component each belongs to (fp, component_id)."""
+    """Rows (id, th, fp) and fingerprints with the component each belongs to (fp, component_id)."""
     rows = common.materialise(fingerprints(df, text, row_id, features), "simhash-rows")
     distinct = rows.groupBy("fp").agg(F.min("id").alias("low"))
     distinct = common.materialise(distinct, "simhash-distinct")
@@ -333,29 +335,34 @@ def drop_near_copies(
     ``similarity``, taken exactly on whole texts. In each round the first ``batch`` rows of a component are
     settled among themselves; the component's other rows meet those of them that stay, in slices of ``batch``
     rows, and what resembles none is open in the next round. Rounds go on until no row is open. Rows with a
-    null id and null or empty texts stay; so do rows that repeat the id of a row that stays."""
-    i, gone = common.fresh(df, "key_", "gone_")
+    null id and null or empty texts stay. Rows that share an id and differ in their texts are documents of
+    their own, in order of a hash of their texts; rows that repeat id and text stay or go together. Columns
+    come back as they are, and an empty table gives an empty result."""
+    i, h, gone, gone_h = common.fresh(df, "key_", "hash_", "gone_", "gone_hash_")
+    own = ["id", "th"]
     rows, by_fp = linked_rows(df, text, row_id, word_set, radius, block)
-    placed = rows.filter("id is not null").join(by_fp, "fp").select("id", "fp", F.col("component_id").alias("comp"))
-    sizes = placed.groupBy("comp").agg(F.countDistinct("id").alias("n")).filter("n > 1").select("comp")
-    bodies = df.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("t")).filter("t <> ''")
-    members = placed.join(sizes, "comp").distinct().join(bodies, "id").dropDuplicates(["id"]).select("comp", "id", "t")
+    linked = common.salted_join(rows.filter("id is not null"), by_fp, ["fp"], "id")
+    placed = linked.select("id", "th", F.col("component_id").alias("comp")).distinct()
+    sizes = placed.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("comp")
+    body = F.coalesce(F.col(text), F.lit(""))
+    bodies = df.select(F.col(row_id).cast("long").alias("id"), F.xxhash64(body).alias("th"), body.alias("t")).filter("t <> ''")
+    members = common.salted_join(placed, sizes, ["comp"], "id").join(bodies, own).dropDuplicates(own).select("comp", "id", "th", "t")
     open_ = common.materialise(members, "simhash-members")
     gone_rows = []
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
+        pdf = pdf.sort_values(own)
         index, stays = ShingleIndex(pdf["t"].tolist(), shingle, similarity), np.zeros(len(pdf), dtype=bool)
         for at, t in enumerate(pdf["t"] if len(pdf) > 1 else ()):
             stays[at] = not any(stays[j] for j in index.resembling(t) if j < at)
-        return pdf.assign(stays=stays if len(pdf) > 1 else True)[["comp", "id", "t", "stays"]]
+        return pdf.assign(stays=stays if len(pdf) > 1 else True)[["comp", "id", "th", "t", "stays"]]
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Of a sorted partition: in each slice first the texts that stay, then the rows that meet them."""
         key, texts, index = None, [], None
         for pdf in batches:
             out = []
-            for comp, part, row, t, settled in zip(pdf["comp"], pdf["slice"], pdf["id"], pdf["t"], pdf["settled"]):
+            for comp, part, row, th, t, settled in zip(pdf["comp"], pdf["slice"], pdf["id"], pdf["th"], pdf["t"], pdf["settled"]):
                 if (comp, part) != key:
                     key, texts, index = (comp, part), [], None
                 if settled:
@@ -363,28 +370,29 @@ def drop_near_copies(
                 else:
                     index = index or ShingleIndex(texts, shingle, similarity)
                     if next(index.resembling(t), None) is not None:
-                        out.append(row)
-            yield pd.DataFrame({"id": np.array(out, dtype=np.int64)})
+                        out.append((row, th))
+            yield pd.DataFrame(np.array(out, dtype=np.int64).reshape(-1, 2), columns=own)
 
     while True:
-        order = Window.partitionBy("comp").orderBy("id")
-        ranked = open_.select("comp", "id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= batch)
-        first = open_.join(ranked.select("id"), "id", "left_semi")
-        settled = first.groupBy("comp").applyInPandas(settle, "comp long, id long, t string, stays boolean")
+        order = Window.partitionBy("comp").orderBy("id", "th")
+        ranked = open_.select("comp", "id", "th").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= batch)
+        first = open_.join(ranked.select("id", "th"), own, "left_semi")
+        settled = first.groupBy("comp").applyInPandas(settle, "comp long, id long, th long, t string, stays boolean")
         settled = common.materialise(settled, "simhash-settled")
-        gone_rows.append(settled.filter("not stays").select("id"))
+        gone_rows.append(settled.filter("not stays").select("id", "th"))
         large = open_.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > batch)
         large = common.materialise(large.select("comp", F.ceil(F.col("n") / batch).cast("int").alias("slices")), "simhash-large")
         if not large.limit(1).count():
             break
-        rest = open_.join(large, "comp").join(settled.select("id"), "id", "left_anti")
-        rest = common.materialise(rest.select("comp", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), "id", "t"), "simhash-rest")
+        rest = common.salted_join(open_, large, ["comp"], "id").join(settled.select("id", "th"), own, "left_anti")
+        place = F.pmod(F.xxhash64("id", "th"), F.col("slices")).cast("int")
+        rest = common.materialise(rest.select("comp", place.alias("slice"), "id", "th", "t"), "simhash-rest")
         kept = settled.filter("stays").join(large, "comp").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        tagged = kept.select("comp", "slice", "id", "t", F.lit(True).alias("settled")).unionByName(rest.withColumn("settled", F.lit(False)))
-        dealt = tagged.repartition(common.partitions(df), "comp", "slice").sortWithinPartitions("comp", "slice", F.desc("settled"), "id")
-        found = common.materialise(dealt.mapInPandas(meet, "id long"), "simhash-found")
+        tagged = kept.select("comp", "slice", "id", "th", "t", F.lit(True).alias("settled")).unionByName(rest.withColumn("settled", F.lit(False)))
+        dealt = tagged.repartition(common.partitions(df), "comp", "slice").sortWithinPartitions("comp", "slice", F.desc("settled"), "id", "th")
+        found = common.materialise(dealt.mapInPandas(meet, "id long, th long"), "simhash-found")
         gone_rows.append(found)
-        open_ = common.materialise(rest.select("comp", "id", "t").join(found, "id", "left_anti"), "simhash-open")
-    out = reduce(DataFrame.unionByName, gone_rows).select(F.col("id").alias(gone)).distinct()
-    keyed = df.withColumn(i, F.col(row_id).cast("long"))
-    return keyed.join(out, F.col(i) == F.col(gone), "left_anti").select(df.columns)
+        open_ = common.materialise(rest.select("comp", "id", "th", "t").join(found, own, "left_anti"), "simhash-open")
+    out = reduce(DataFrame.unionByName, gone_rows).select(F.col("id").alias(gone), F.col("th").alias(gone_h)).distinct()
+    keyed = df.withColumn(i, F.col(row_id).cast("long")).withColumn(h, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    return keyed.join(out, (F.col(i) == F.col(gone)) & (F.col(h) == F.col(gone_h)), "left_anti").select(df.columns)

@@ -299,6 +299,7 @@ def remove_repeats(
     hot: int = 20_000,
     run_entries: int = 150_000,
     texts: bool = False,
+    dest_chars: int = 16_000_000,
 ) -> DataFrame:
     """One row per row of df: the id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if
     ``texts``, the remaining bytes (kept_bytes; a removal may split a character).
@@ -306,16 +307,21 @@ def remove_repeats(
     A string counts as earlier if it starts in a document with a smaller id or earlier in the same document.
     A null text counts as empty; empty texts and texts under ``width`` bytes lose nothing unless they are
     that long. Rows that repeat an id count as separate documents in the order of their texts; rows with a
-    null id come before all others. An empty table gives an empty result."""
+    null id come before all others, in order of a hash of their texts. An empty table gives an empty result. Other columns are not looked at.
+
+    There is a destination for every ``dest_chars`` characters of the table, so that what one task merges
+    (some five bytes a character at most, and ``hot`` suffixes of any one gram) does not grow with it."""
+    if not 0 < gram <= width <= gram + 255:
+        raise ValueError("a window has to hold its gram and may be up to 255 bytes longer")
     base = df.select(
-        F.coalesce(F.col(row_id).cast("long"), F.lit(common.LONG_MIN)).alias("kid"),
-        F.coalesce(F.col(text), F.lit("")).alias("t"),
+        common.order_id(text, row_id).alias("kid"), F.col(row_id).isNull().alias("unnamed"), F.coalesce(F.col(text), F.lit("")).alias("t")
     )
     # One exchange of the texts, which the plan's three readers share.
     docs = base.repartition("kid").withColumn(
         "seq", F.row_number().over(Window.partitionBy("kid").orderBy("t")).cast("long") - 1
     )
-    parts = common.partitions(df)
+    chars = df.agg(F.sum(F.length(text)).alias("n")).first().n or 0
+    parts = max(common.partitions(df), -(-chars // dest_chars))
 
     def as_bytes(t: str) -> np.ndarray:
         return np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8)
@@ -388,13 +394,13 @@ def remove_repeats(
         out = repeated(pdf["run"].tolist(), width, gram)
         return pd.DataFrame({"kid": out[:, 0], "seq": out[:, 1], "s": out[:, 2], "e": out[:, 3]})
 
-    ranges = sent.groupBy("dest").applyInPandas(merge, "kid long, seq long, s long, e long")
+    ranges = sent.repartition(parts, "dest").groupBy("dest").applyInPandas(merge, "kid long, seq long, s long, e long")
     by_doc = ranges.groupBy("kid").agg(F.collect_list(F.struct("seq", "s", "e")).alias("ranges"))
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for kid, seq, t, found in zip(pdf["kid"], pdf["seq"], pdf["t"], pdf["ranges"]):
+            for kid, unnamed, seq, t, found in zip(pdf["kid"], pdf["unnamed"], pdf["seq"], pdf["t"], pdf["ranges"]):
                 data = t.encode("utf-8", "surrogatepass")
                 cut = [(r["s"], r["e"]) for r in found if r["seq"] == seq] if found is not None else []
                 gone = merged(np.array(cut, dtype=np.int64).reshape(-1, 2)).tolist()
@@ -403,12 +409,11 @@ def remove_repeats(
                     kept.append(data[last:a])
                     last = b
                 left = b"".join([*kept, data[last:]])
-                row = (kid, len(data), sum(b - a for a, b in gone), len(gone), hashlib.sha256(left).hexdigest())
+                row = (None if unnamed else kid, len(data), sum(b - a for a, b in gone), len(gone), hashlib.sha256(left).hexdigest())
                 rows.append((*row, left) if texts else row)
             names = ["kid", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_bytes"] * texts
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=names).astype({"kid": "Int64"})
 
     shape = "kid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * texts
     done = docs.join(by_doc, "kid", "left").mapInPandas(finish, shape)
-    real = F.when(F.col("kid") != common.LONG_MIN, F.col("kid")).alias(row_id)
-    return done.select(real, *[c for c in done.columns if c != "kid"])
+    return done.withColumnRenamed("kid", row_id)

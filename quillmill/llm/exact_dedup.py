@@ -4,8 +4,8 @@ Three stages, each of which groups by the whole normalised text next to its dige
 share a digest are never taken for one another:
 
 1. *local*: Spark's partial aggregate merges the equal texts of one task before anything is sent;
-2. *salted*: what is left meets by (digest, salt), where the salt comes from the row's id, so the tasks'
-   winners of a text with very many copies spread over ``salts`` tasks;
+2. *salted*: what is left meets by (digest, salt), where the salt comes from the row's id (without one from
+   the task that reads it), so the tasks' winners of a text with very many copies spread over ``salts`` tasks;
 3. *global*: at most ``salts`` winners of each text meet by digest.
 
 The decisions are joined back to the rows by digest, which carries no text. Only digests that turn out to
@@ -46,7 +46,7 @@ def assign(
 
     # 1 and 2: min and count have fixed-width buffers, so both sides of the exchange are hash aggregates.
     salted = (
-        src.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+        src.withColumn("salt", F.pmod(F.coalesce(F.xxhash64("id"), F.lit(0)) + F.when(F.col("id").isNull(), F.spark_partition_id()).otherwise(0), F.lit(salts)).cast("int"))
         .groupBy("digest", "salt", "body", "n")
         .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"))
     )

@@ -13,14 +13,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 
 def strong(body: bytes) -> str:
-    return xxhash.xxh3_128_hexdigest(body)
+    """A cryptographic digest: what agrees in it is taken as equal where bytes of other rows are not at hand."""
+    return hashlib.blake2b(body, digest_size=16).hexdigest()
 
 
 def chunks(text: str | None, window: int, every: int, longest: int) -> list[tuple[int, list[str]]]:
@@ -56,14 +57,14 @@ def repeated_chunks(df: DataFrame, text: str, row_id: str, digest, **shape) -> D
                     rows.append((kid, digest(body.encode("utf-8", "surrogatepass")), body))
             yield pd.DataFrame(rows, columns=["kid", "digest", "body"])
 
-    src = df.select(F.coalesce(F.col(row_id).cast("long"), F.lit(common.LONG_MIN)).alias("kid"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    src = df.select(common.order_id(text, row_id).alias("kid"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     cuts = src.mapInPandas(cut, "kid long, digest string, body string")
     # The partial aggregate merges a task's copies before the exchange; whole bytes are part of the key.
     bodies = cuts.groupBy("digest", "body").agg(F.min("kid").alias("keeper"), F.max("kid").alias("last"))
     bodies = bodies.withColumn("shared", F.col("last") > F.col("keeper"))
     per = bodies.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("keeper").alias("keeper"), F.bool_or("shared").alias("shared"))
     per = common.materialise(per.filter("shared"), "line-groups")
-    marks = cuts.drop("body").join(per.filter("n = 1"), "digest").filter("kid <> keeper").select("kid", F.col("digest").alias("key"))
+    marks = common.salted_join(cuts.drop("body"), per.filter("n = 1"), ["digest"], "kid").filter("kid <> keeper").select("kid", F.col("digest").alias("key"))
     clash = per.filter("n > 1").select("digest")
     if clash.limit(1).count():
         theirs = cuts.join(clash, "digest", "left_semi").join(bodies, ["digest", "body"]).filter("kid <> keeper")
@@ -88,17 +89,18 @@ def repeated_pairs(src: DataFrame) -> DataFrame:
     pairs = src.mapInPandas(cut, "kid long, pair binary")
     shared = pairs.groupBy("pair").agg(F.min("kid").alias("keeper"), F.max("kid").alias("last")).filter("last > keeper")
     shared = common.materialise(shared.select("pair", "keeper"), "line-pairs")
-    marks = pairs.join(shared, "pair").filter("kid <> keeper")
+    marks = common.salted_join(pairs, shared, ["pair"], "kid").filter("kid <> keeper")
     return marks.groupBy("kid").agg(F.collect_set("pair").alias("pairs"))
 
 
-def repeated_passages(lines: list[str], earlier: set[bytes], above: int) -> Iterator[range]:
+def repeated_passages(lines: list[str], earlier: set[bytes], above: int, first: dict[bytes, int], base: int) -> Iterator[range]:
     """Lines of each longest run of repeated pairs, if it has more than ``above`` words. A pair repeats if an
-    earlier document holds it or if it stands before in this one without overlap."""
-    first, start = {}, None
+    earlier document holds it or if it stands before in this one without overlap: ``first`` has where its
+    pairs stood first, counted from ``base`` in the rows before."""
+    start = None
     keys = pair_keys(lines)
     for i in range(len(keys) + 1):
-        again = i < len(keys) and (i - first.setdefault(keys[i], i) >= 2 or keys[i] in earlier)
+        again = i < len(keys) and (base + i - first.setdefault(keys[i], base + i) >= 2 or keys[i] in earlier)
         if again and start is None:
             start = i
         elif not again and start is not None:
@@ -121,40 +123,52 @@ def remove_repeats(
 
     Of equal chunks of two lines or more the one in the document with the smallest id stays, in that document
     the first. With ``passage_words`` passages that chunk borders do not fit go as well: every run of repeated
-    pairs of consecutive lines that has more than so many words. Null and empty texts have no lines. Rows with a null id come before all others; rows that
-    share an id count as one document. A last line without an end is a line like any other. An empty table
-    gives an empty result."""
+    pairs of consecutive lines that has more than so many words. Null and empty texts have no lines. Rows with
+    a null id come before all others, in order of a hash of their texts. Rows that share an id count as one
+    document, whose rows follow one another in order of their texts. A last line without an end is a line like
+    any other. Other columns are not looked at. An empty table gives an empty result."""
     shape = {"window": window, "every": every, "longest": longest}
     gone = repeated_chunks(df, text, row_id, digest, **shape)
-    src = df.select(F.coalesce(F.col(row_id).cast("long"), F.lit(common.LONG_MIN)).alias("kid"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-
+    src = df.select(
+        common.order_id(text, row_id).alias("kid"), F.col(row_id).isNull().alias("unnamed"), F.coalesce(F.col(text), F.lit("")).alias("t")
+    )
     joined = src.join(gone, "kid", "left")
     if passage_words is None:
         joined = joined.withColumn("pairs", F.lit(None).cast("array<binary>"))
     else:
-        joined = joined.join(repeated_pairs(src), "kid", "left")
+        joined = joined.join(repeated_pairs(src.select("kid", "t")), "kid", "left")
+    # The window deals rows by id and sorts them by text: rows that share an id come one after the other.
+    joined = joined.withColumn("nth", F.row_number().over(Window.partitionBy("kid").orderBy("t")))
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[str] = set()
+        first: dict[bytes, int] = {}
+        base = 0
         for pdf in batches:
             rows = []
-            for kid, t, keys, pairs in zip(pdf["kid"], pdf["t"], pdf["gone"], pdf["pairs"]):
+            for kid, unnamed, t, keys, pairs, nth in zip(pdf["kid"], pdf["unnamed"], pdf["t"], pdf["gone"], pdf["pairs"], pdf["nth"]):
+                if nth == 1:
+                    seen, first, base = set(), {}, 0
                 drop = set(keys) if keys is not None else set()
-                seen, lines, out = set(), [], set()
+                lines, out = [], set()
                 for start, own in chunks(t, **shape):
                     lines += own
                     if len(own) > 1:
                         body = "\n".join(own)
                         key = digest(body.encode("utf-8", "surrogatepass"))
-                        if key in drop or f"{key}:{body}" in drop or body in seen:
+                        mark = key if digest is strong else strong(body.encode("utf-8", "surrogatepass"))
+                        if key in drop or f"{key}:{body}" in drop or mark in seen:
                             out.update(range(start, start + len(own)))
-                        seen.add(body)
+                        seen.add(mark)
                 if passage_words is not None:
-                    for passage in repeated_passages(lines, set(pairs) if pairs is not None else set(), passage_words):
+                    for passage in repeated_passages(lines, set(pairs) if pairs is not None else set(), passage_words, first, base):
                         out.update(passage)
+                base += len(lines) + 2
                 kept = [x for i, x in enumerate(lines) if i not in out]
                 left = "\n".join(kept)
-                rows.append((kid, len(lines), len(lines) - len(kept), hashlib.sha256(left.encode("utf-8", "surrogatepass")).hexdigest(), left))
-            yield pd.DataFrame(rows, columns=["kid", "n_lines", "n_removed", "kept_sha256", "text"])
+                named = None if unnamed else kid
+                rows.append((named, len(lines), len(lines) - len(kept), hashlib.sha256(left.encode("utf-8", "surrogatepass")).hexdigest(), left))
+            yield pd.DataFrame(rows, columns=["kid", "n_lines", "n_removed", "kept_sha256", "text"]).astype({"kid": "Int64"})
 
     done = joined.mapInPandas(rest, "kid long, n_lines long, n_removed long, kept_sha256 string, text string")
-    return done.select(F.when(F.col("kid") != common.LONG_MIN, F.col("kid")).alias(row_id), "n_lines", "n_removed", "kept_sha256", "text")
+    return done.withColumnRenamed("kid", row_id)

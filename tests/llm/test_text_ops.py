@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -98,6 +99,44 @@ def test_whole_of_a_very_long_page():
     assert len(text.split("\n")) == 9000
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<div>x", "<p>x<hr>", "<li><x>", "</div>", '<a ">', "<script>", "<table><td>y", "<!--"])
+def test_a_megabyte_of_broken_tags_is_read_once(unit):
+    began = time.process_time()
+    html_extract.blocks(unit * (1_000_000 // len(unit)))
+    html_extract.blocks(unit * (500_000 // len(unit)) + ">")
+    assert time.process_time() - began < 6
+
+
+def test_labels_of_a_long_page_do_not_depend_on_how_many_blocks_are_read_at_once():
+    rng = np.random.default_rng(3)
+    page = "".join(html_extract.sample_page(rng)[0] for _ in range(60))
+    cut = [html_extract.blocks(page), html_extract.blocks("<p>short one</p>")]
+    whole, net = html_extract.trained().label(cut), html_extract.trained()
+    assert len(cut[0]) > 1000
+    for run in (7, 100):
+        assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(whole, net.label(cut, run=run)))
+
+
+def test_words_behind_any_prefix_count():
+    page = lambda tail: html_extract.blocks(f"<div class='{'u ' * 60}{tail}'><p>{'word ' * 3000}{tail}</p></div>")
+    a, b = html_extract.vectors(page("alpha")), html_extract.vectors(page("beta"))
+    assert (a[:, : html_extract.DIMS] != b[:, : html_extract.DIMS]).any() and (a[:, html_extract.DIMS :] != b[:, html_extract.DIMS :]).any()
+
+
+def test_a_layout_the_generator_does_not_make():
+    page = """<!doctype html><html><body><div id="wrapper"><div class="site-top"><a href=/>Daily Post</a> | <a href=/s>Sport</a></div>
+    <div class="col-left"><div class="story-body"><h1>Storm hits the coast</h1><p>A heavy storm reached the northern coast late on Monday,
+    and thousands of homes lost power.</p><p>Crews worked through the night. Schools in three towns stay closed, officials said.</p></div></div>
+    <div class="col-right"><h3>Most read</h3><ol><li><a href=1>Council votes on budget</a></li><li><a href=2>New bridge opens</a></li></ol></div>
+    <div class="footer-links"><a href=a>About us</a> <a href=b>Privacy</a><p>Copyright 2024 Daily Post. All rights reserved.</p></div></div>"""
+    table = """<table width=100%><tr><td colspan=2><a href=/>Home</a> <a href=/m>Members</a></td></tr><tr><td class=menu><a href=1>History</a><br>
+    <a href=2>Rules</a></td><td><h1>The history of the club</h1><p>The club was founded in 1923 by seven friends who met in a small house.</p>
+    <p>In the first years they had no boats of their own. They borrowed two from a miller.</p></td></tr></table>"""
+    news, club = html_extract.main_text([page, table], html_extract.trained())
+    assert news.split("\n")[0] == "Storm hits the coast" and news.count("\n") == 2 and news.endswith("officials said.")
+    assert club.split("\n")[0] == "The history of the club" and club.count("\n") == 2
+
+
 # ---- 6: mixing
 
 
@@ -170,6 +209,54 @@ def test_score_of_a_long_text_is_that_of_its_best_window_wherever_it_is_cut():
         assert np.allclose(whole, model.profile([long, "", None, docs[0][1]], piece=piece), atol=1e-4)
 
 
+def naive_features(window, decay):
+    """Gapped subsequences of three and four characters that start at one of the window's first eight places and
+    span at most seven; a separator (0) counts only in three neighbours, not next to another, or as the first of four."""
+    out = {}
+    w = [int(x) for x in window] + [0] * 20
+    for s in range(toxicity.STARTS):
+        for a in range(s + 1, s + toxicity.SPAN):
+            for b in range(a + 1, s + toxicity.SPAN):
+                x, y, z = w[s], w[a], w[b]
+                if (y and z and x) or (b == s + 2 and ((y and z) or (x and (y or z)))):
+                    out[x, y, z] = out.get((x, y, z), 0) + decay ** (b - s + 1)
+                for c in range(b + 1, s + toxicity.SPAN):
+                    if y and z and w[c]:
+                        key = (x, y, z, w[c])
+                        out[key] = out.get(key, 0) + decay ** (c - s + 1)
+    return out
+
+
+def feature_id(key):
+    n = 0
+    for c in key:
+        n = n * toxicity.LETTERS + c
+    return n if len(key) == 3 else toxicity.LETTERS**3 + (((n * 0x9E3779B1) & 0xFFFFFFFF) >> 12)
+
+
+def test_kernel_and_scores_match_a_naive_gapped_subsequence_kernel():
+    rng = np.random.default_rng(8)
+    codes = toxicity.encode("You i-d.i.o.t, a scum of the 1dixot kind! Ja, du bist ein Trottel " * 2)
+    windows = toxicity.cut(codes, rng.integers(0, len(codes), 12))
+    ids, weights = toxicity.features(windows, 0.8)
+    for row, i, w in zip(windows, ids, weights):
+        want = {}
+        for key, value in naive_features(row, 0.8).items():
+            want[feature_id(key)] = want.get(feature_id(key), 0) + value
+        got = {}
+        for k, v in zip(i.tolist(), w.tolist()):
+            if v:
+                got[k] = got.get(k, 0) + v
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+    table = rng.standard_normal(toxicity.LETTERS**3 + toxicity.BUCKETS).astype(np.float32)
+    model = toxicity.Model(table[: toxicity.LETTERS**3], table[toxicity.LETTERS**3 :], 0.5, 0.8, np.array([1.0, 0.0]))
+    padded = np.concatenate([codes, np.zeros(toxicity.REACH, dtype=np.uint8)])
+    values = model.windows(padded)
+    for at in (0, 7, 30, len(codes) - 3):
+        naive = sum(table[feature_id(k)] * v for k, v in naive_features(padded[at : at + toxicity.REACH], 0.8).items())
+        assert abs(values[at] - 0.5 - naive) < 1e-2
+
+
 def test_one_label_or_none_gives_a_constant(spark):
     model = toxicity.fit(["a"] * 20, [0] * 20)
     assert len({*model.score(["x", "idiot", ""])}) == 1
@@ -205,47 +292,74 @@ def test_quality_on_held_out_documents(spark):
 
 
 def brute_overlap(doc, item):
-    best = 0
+    """The best score over all alignments that count as a leak, or None."""
+    found = None
     for shift in range(-len(item) + 1, len(doc)):
-        run = 0
+        run = best = equal = 0
         for k, w in enumerate(item):
             if 0 <= k + shift < len(doc):
-                run = max(0, run + (1 if doc[k + shift] == w else -4))
+                same = doc[k + shift] == w
+                equal += same
+                run = max(0, run + (1 if same else -4))
                 best = max(best, run)
-    return best
+        if equal == len(item) if len(item) < 10 else best >= 12 or equal * 10 >= len(item) * 9:
+            found = max(best, found or 0)
+    return found
+
+
+def every_leak(docs, items):
+    token = lambda t: [x for x in re.split(r"[^a-z0-9]+", (t or "").lower()) if x]
+    bench = [(i, token(s)) for i, s in items]
+    return {(d, i, len(w), n) for d, t in docs for i, w in bench if len(w) >= 5 and (n := brute_overlap(token(t), w)) is not None}
 
 
 def test_leaks_are_found_through_substitutions(spark, monkeypatch):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(3000)]
-    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([6, 9, 14, 40])))) for i in range(30)] + [(90, None), (91, ""), (92, "too short")]
-    docs = [(0, None), (1, ""), (None, items[2][1]), (2, items[3][1]), (2, items[3][1])]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([6, 9, 10, 12, 14, 15, 16, 40])))) for i in range(30)] + [(90, None), (91, ""), (92, "too short")]
+    docs = [(0, None), (1, ""), (None, items[2][1]), (None, items[3][1]), (2, items[3][1]), (2, items[3][1]), (-1, items[4][1] + " word" * 30_000)]
     for i in range(3, 160):
         w = [rng.choice(words) for _ in range(rng.randint(0, 60))]
-        if rng.random() < 0.5:
+        if rng.random() < 0.6:
             part = rng.choice(items[:30])[1].split()
-            for _ in range(rng.randint(0, len(part) // 12)):
+            for _ in range(rng.randint(0, 1 + len(part) // 8)):
                 part[rng.randrange(len(part))] = "CHANGED"
             at = rng.randint(0, len(w))
             w[at:at] = part
         docs.append((i, " ".join(w).replace(" ", rng.choice([" ", ", ", "\n"]))))
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    token = lambda t: [x for x in re.split(r"[^a-z0-9]+", (t or "").lower()) if x]
-    expected = set()
-    for d, t in docs:
-        for i, s in items:
-            w = token(s)
-            if len(w) >= 5 and (n := brute_overlap(token(t), w)) >= min(12, len(w)):
-                expected.add((d, i, len(w), n))
+    df = df.withColumn("item", df.doc_id).withColumn("words", df.doc_id)
+    expected = every_leak(docs, items)
     got = {tuple(r) for r in decontaminate.overlaps(df, bench).collect()}
     assert got == expected and len(got) > 50
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
-    assert {r for r in map(tuple, decontaminate.overlaps(df, bench).collect()) if r[0] is not None} == {r for r in expected if r[0] is not None}
     clean = decontaminate.drop_contaminated(df, bench)
-    assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {r[0] for r in expected}
+    assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {r[0] for r in expected} and clean.columns == df.columns
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    assert {tuple(r) for r in decontaminate.overlaps(df, bench).collect()} == expected
     assert decontaminate.overlaps(df.limit(0), bench).count() == decontaminate.overlaps(df, bench.limit(0)).count() == 0
 
 
+def test_no_leak_is_missed_at_any_rate_of_substitutions(spark):
+    """Items with every n-th token replaced, or each token with a probability of 1 / n."""
+    rng = random.Random(4)
+    word = lambda: f"t{rng.randrange(10**6)}"
+    items = [(i, [word() for _ in range(rng.choice([10, 15, 16, 17, 25, 40, 90]))]) for i in range(60)]
+    docs = []
+    for rate in range(5, 13):
+        for i, tokens in items:
+            regular = [word() if (k + i) % rate == 0 else w for k, w in enumerate(tokens)]
+            at_random = [word() if rng.random() < 1 / rate else w for w in tokens]
+            docs += [(2 * len(docs), " ".join([word(), *regular, word()])), (2 * len(docs) + 1, " ".join(at_random))]
+    items = [(i, " ".join(t)) for i, t in items]
+    leaks = {(d, i): n for d, t in docs for i, w in [items[d // 2 % 60]] if (n := brute_overlap(t.split(), w.split())) is not None}
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.overlap for r in got.collect()} == leaks and len(leaks) > 500
+    item = [f"x{i}" for i in range(90)]
+    sixth = " ".join("other" if i % 6 == 5 else w for i, w in enumerate(item))
+    one = decontaminate.overlaps(spark.createDataFrame([(1, sixth)], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert [r.overlap for r in one.collect()] == [19]
+
+
 # ---- the pipeline and the contracts
 
 

@@ -65,13 +65,15 @@ def final_related(path: Column) -> Column:
     return F.coalesce(F.lower(path).contains("final") | path.contains("期末"), F.lit(False))
 
 
+#: What may stand before a statement's first word: white space, comments to the line's end, comments in stars.
+_SKIPPED = r"(?:\s|--[^\n]*\n|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/)*+"
+
+
 def sql_type(statement: Column) -> Column:
     """The first keyword behind leading comments; CREATE with what it creates; UNKNOWN without a word."""
-    bare = F.regexp_replace(statement, r"(?s)^\s*(?:--[^\n]*\n|/\*.*?\*/\s*)+", "")
-    first = F.upper(F.regexp_extract(bare, r"^\s*(\w+)", 1))
-    second = F.upper(F.regexp_extract(bare, r"^\s*\w+\s+(\w+)", 1))
-    made = (first == "CREATE") & second.isin(*CREATE_KINDS)
-    return F.when(first == "", "UNKNOWN").when(made, F.concat_ws(" ", first, second)).otherwise(first)
+    word = lambda n: F.upper(F.regexp_extract(statement, rf"^{_SKIPPED}(\w+)(?:\s+(\w+))?", n))
+    made = (word(1) == "CREATE") & word(2).isin(*CREATE_KINDS)
+    return F.when(word(1) == "", "UNKNOWN").when(made, F.concat_ws(" ", word(1), word(2))).otherwise(word(1))
 
 
 def citation(course_: Column, path: Column, first: Column, last: Column) -> Column:
@@ -82,13 +84,17 @@ def citation(course_: Column, path: Column, first: Column, last: Column) -> Colu
     return F.concat(course_, F.lit(" / "), file_name(path), pages)
 
 
+# The wording of a source's description.
+FOLDER_OPEN, FOLDER_CLOSE, FOLDER_ALONE, COURSE_ALONE, NO_SOURCE = "(", "相关)的课程材料", "相关的课程材料", "的课程材料", "课程原始材料"
+
+
 def source_description(path: Column, course_: Column) -> Column:
     """A source without its path: the course and the folder below it."""
     every = parts(F.coalesce(path, F.lit("")))
     folder = F.when(F.size(every) > 2, F.get(every, F.lit(1)))
     named = F.coalesce(course_, F.lit("")) != ""
-    with_folder = F.when(named, F.concat(course_, F.lit("("), folder, F.lit("相关)的课程材料"))).otherwise(F.concat(folder, F.lit("相关的课程材料")))
-    return F.when(folder.isNotNull(), with_folder).when(named, F.concat(course_, F.lit("的课程材料"))).otherwise("课程原始材料")
+    with_folder = F.when(named, F.concat(course_, F.lit(FOLDER_OPEN), folder, F.lit(FOLDER_CLOSE))).otherwise(F.concat(folder, F.lit(FOLDER_ALONE)))
+    return F.when(folder.isNotNull(), with_folder).when(named, F.concat(course_, F.lit(COURSE_ALONE))).otherwise(NO_SOURCE)
 
 
 def flat_flags(flags: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import running_sum
+
 METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
 
 
@@ -58,15 +60,32 @@ def latency_report(calls: DataFrame, price_in: float = 0.15, price_out: float =
 
 
 def running(df: DataFrame, value: Column, order: list[str], by: list[str], name: str) -> DataFrame:
-    """df with the running total of value within ``by``."""
-    upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(value).over(upto))
+    """df with the running total of value within ``by`` (see numbering.running_sum)."""
+    return running_sum(df, value, order, by, name)
+
+
+def proxies(top: DataFrame, chunks: DataFrame, file: str, kind: str = "sql_statement", k: int = 5) -> DataFrame:
+    """(qid, of_kind, from_file) of ranked results (qid, id, rank) and chunks (id, chunk_type, file): how many of
+    the first k are of the kind, and whether any comes from the file."""
+    found = top.filter(F.col("rank") <= k).join(chunks.select("id", "chunk_type", "file"), "id")
+    named = F.element_at(F.split(F.regexp_replace("file", r"\\\\", "/"), "/"), -1) == file
+    return found.groupBy("qid").agg(
+        F.count_if(F.col("chunk_type") == kind).alias("of_kind"), F.coalesce(F.bool_or(named), F.lit(False)).alias("from_file")
+    )
+
+
+def batch_report(rows: DataFrame) -> DataFrame:
+    """(batch_no, files, ok, elapsed_s, success) of parsed files (batch_no, status, elapsed_s)."""
+    ok = F.count_if(F.col("status") == "ok")
+    return rows.groupBy("batch_no").agg(
+        F.count(F.lit(1)).alias("files"), ok.alias("ok"), F.sum("elapsed_s").alias("elapsed_s"), (ok / F.count(F.lit(1))).alias("success")
+    )
 
 
-def upper_median(values: Column) -> Column:
-    """The element at n div 2 of the sorted values (not the mean of the middle two)."""
-    listed = F.sort_array(F.collect_list(values))
-    return F.get(listed, F.floor(F.size(listed) / 2).cast("int"))
+def cumulative_credits(report: DataFrame, order: list[str], per_page: int = 3) -> DataFrame:
+    """The report's rows (pages, error) with credits, which only parsed files cost, and their running total."""
+    spent = report.withColumn("credits", F.when(F.coalesce(F.col("error"), F.lit("")) == "", F.coalesce("pages", F.lit(0)) * per_page).otherwise(0).cast("long"))
+    return running_sum(spent, F.col("credits"), order, [], "total_credits")
 
 
 def format_report(files: DataFrame) -> DataFrame:
@@ -81,13 +100,15 @@ def format_report(files: DataFrame) -> DataFrame:
 def anomalies(files: DataFrame) -> DataFrame:
     """(file, ext, n_chunks, median, zero_chunks, nothing_structured, many_chunks) of files (file, ext, size,
     n_chunks, n_structured): parsed to nothing; over 200 bytes without a structured chunk; over five times
-    the upper median of the format and over ten. Ranks give the median without gathering a format's rows."""
-    order = Window.partitionBy("ext").orderBy("n_chunks", "file")
-    ranked = files.withColumn("nth_", F.row_number().over(order))
-    sizes = files.groupBy("ext").agg(F.count(F.lit(1)).alias("files_"))
-    middle = ranked.join(sizes, "ext").filter("nth_ = files_ div 2 + 1").select("ext", F.col("n_chunks").alias("median"))
+    the upper median of the format and over ten. The median (the element at n div 2) is found on the counts of
+    each format's distinct values, so no format's rows are gathered."""
+    values = files.groupBy("ext", "n_chunks").agg(F.count(F.lit(1)).alias("files_"))
+    upto = Window.partitionBy("ext").orderBy("n_chunks").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("ext")
+    counted = values.withColumn("upto_", F.sum("files_").over(upto)).withColumn("all_", F.sum("files_").over(whole))
+    middle = counted.filter("upto_ > all_ div 2").groupBy("ext").agg(F.min("n_chunks").alias("median"))
     structured = F.col("ext").isin(".py", ".r", ".java")
-    return files.join(middle, "ext").select(
+    return files.join(F.broadcast(middle), "ext").select(
         "file", "ext", "n_chunks", "median", (F.col("n_chunks") == 0).alias("zero_chunks"),
         (structured & (F.col("size") > 200) & (F.col("n_structured") == 0)).alias("nothing_structured"),
         (F.col("n_chunks") > F.greatest(F.lit(10), 5 * F.col("median"))).alias("many_chunks"),

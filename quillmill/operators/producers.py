@@ -21,7 +21,7 @@ class Producer(Protocol):
 
 def extractive_answer(df: DataFrame) -> DataFrame:
     """answer: the first source of the prompt, in place of a language model."""
-    return df.withColumn("answer", F.regexp_extract("prompt", r"(?s)```\n(.{0,300}).*?\n```", 1))
+    return df.withColumn("answer", F.regexp_extract("prompt", r"(?s)```\n(.*?)\n```", 1))
 
 
 def longest_tokens(df: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 
-#: Query vectors up to this many are broadcast.
-BROADCAST_QUERIES = 10_000
+#: Query vectors that travel to the tasks at once, and rows that meet them at a time (160 MB of distances).
+BLOCK_QUERIES, BLOCK_ROWS = 10_000, 1_024
 
 
 def distance(a, b):
@@ -26,32 +26,51 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
 
 
 def top_k(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str = "id", query_id: str = "qid", vector: str = "vector") -> DataFrame:
-    """(qid, id, distance, rank): the nearest by squared distance, ties in order of id.
-
-    A stated set of queries is held against every row, block by block: up to BROADCAST_QUERIES of them travel
-    to the tasks as one matrix, and each block of rows returns its own k best, so k rows a query and block
-    are exchanged. A larger set of queries is joined instead."""
-    q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(vector).alias("qv"))
-    c = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(vector).alias("v"))
-    asked = q.limit(BROADCAST_QUERIES + 1).collect()
-    if len(asked) > BROADCAST_QUERIES:
-        return _ranked(c.join(q).select("qid", "id", distance(F.col("v"), F.col("qv")).alias("distance")), k)
+    """(qid, id, distance, rank): the nearest by squared distance, ties in order of id. Rows and queries
+    without a vector are near nothing.
+
+    A stated set of queries is held against every row, block by block: up to BLOCK_QUERIES of them travel to
+    the tasks as one matrix, a larger set takes a pass for each block. A task reads BLOCK_ROWS rows at a time
+    and keeps the k best of each query, so k rows a query and task are exchanged."""
+    q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(vector).alias("qv")).filter("qv is not null")
+    c = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(vector).alias("v")).filter("v is not null")
+    blocks = max(1, -(-q.count() // BLOCK_QUERIES))
+    found = None
+    for block in range(blocks):
+        asked = (q if blocks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)).collect()
+        part = _block(c, asked, k)
+        found = part if found is None else found.unionByName(part)
+    return _ranked(found, k)
+
+
+def _block(c: DataFrame, asked: list, k: int) -> DataFrame:
+    """(qid, id, distance): each task's k best rows for each of the collected queries."""
     ids = np.array([r.qid for r in asked], dtype=np.int64)
     matrix = np.array([r.qv for r in asked], dtype=float).reshape(len(asked), -1)
+    squares = (matrix**2).sum(axis=1)[:, None]
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best_d, best_id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
         for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            rows, own = np.stack(pdf["v"].to_numpy()).astype(float), pdf["id"].to_numpy()
-            d = (rows**2).sum(axis=1)[None, :] + (matrix**2).sum(axis=1)[:, None] - 2 * matrix @ rows.T
-            d = np.maximum(d, 0)
-            keep = min(k, len(own))
-            best = np.stack([np.lexsort((own, x))[:keep] for x in np.round(d, 6)])
-            at = np.arange(len(ids))[:, None]
-            yield pd.DataFrame({"qid": np.repeat(ids, keep), "id": own[best].ravel(), "distance": d[at, best].ravel()})
+            for at in range(0, len(pdf) if len(ids) else 0, BLOCK_ROWS):
+                rows, own = np.stack(pdf["v"].to_numpy()[at : at + BLOCK_ROWS]).astype(float), pdf["id"].to_numpy()[at : at + BLOCK_ROWS]
+                d = np.maximum((rows**2).sum(axis=1)[None, :] + squares - 2 * matrix @ rows.T, 0)
+                d = np.concatenate([best_d, d], axis=1)
+                every = np.concatenate([best_id, np.broadcast_to(own, (len(ids), len(own)))], axis=1)
+                order = np.lexsort((every, np.round(d, 6)), axis=-1)[:, :k]
+                best_d, best_id = np.take_along_axis(d, order, axis=1), np.take_along_axis(every, order, axis=1)
+        yield pd.DataFrame({"qid": np.repeat(ids, best_id.shape[1]), "id": best_id.ravel(), "distance": best_d.ravel()})
 
-    return _ranked(c.mapInPandas(blocks, "qid long, id long, distance double"), k)
+    return c.mapInPandas(blocks, "qid long, id long, distance double")
+
+
+def write_store(df: DataFrame, path: str, row_id: str = "id", vector: str = "vector") -> None:
+    """Drop and recreate the stored vectors (id, vector), so that queries read them and embed nothing anew."""
+    df.select(F.col(row_id).alias("id"), F.col(vector).alias("vector")).write.mode("overwrite").parquet(path)
+
+
+def read_store(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def signatures(df: DataFrame, vector: str, dims: int, bits: int = 8, tables: int = 8, seed: int = 1, probe: bool = False) -> DataFrame:
@@ -63,7 +82,7 @@ def signatures(df: DataFrame, vector: str, dims: int, bits: int = 8, tables: int
     def codes(vectors: pd.Series) -> pd.Series:
         if not len(vectors):
             return pd.Series([], dtype=object)
-        signs = np.stack(vectors.to_numpy()).astype(float) @ planes > 0
+        signs = np.stack([np.zeros(dims) if v is None else v for v in vectors]).astype(float) @ planes > 0
         return pd.Series(list(signs.reshape(-1, tables, bits) @ (1 << np.arange(bits))))
 
     own = df.select("*", F.posexplode(codes(vector)).alias("table", "bucket"))
@@ -76,6 +95,7 @@ def signatures(df: DataFrame, vector: str, dims: int, bits: int = 8, tables: int
 def approximate_top_k(corpus: DataFrame, queries: DataFrame, k: int, dims: int, probe: bool = False, **options) -> DataFrame:
     """Like top_k() on (id, vector) and (qid, vector), among rows that share a bucket with the query; with
     ``probe`` also rows whose bucket differs from the query's in one sign."""
+    corpus, queries = corpus.filter("vector is not null"), queries.filter("vector is not null")
     c = signatures(corpus.select("id", "vector"), "vector", dims, **options).select("id", "table", "bucket")
     q = signatures(queries.select("qid", "vector"), "vector", dims, probe=probe, **options).select("qid", "table", "bucket")
     pairs = c.join(q, ["table", "bucket"]).select("qid", "id").distinct()

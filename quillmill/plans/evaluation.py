@@ -125,10 +125,50 @@ def type_histogram(spark, sf):
     return evaluate.histogram_text(table(spark, sf, "documents"), "source", "lang")
 
 
-@query()
+_SHARE = "len(list_intersect({a}, {b})) / nullif(len({a}), 0)::DOUBLE AS {name}"
+
+
+@query(
+    f"""WITH {retrieval.INDEX_SQL}, {retrieval.SCORE_SQL}, t AS (SELECT doc_id AS id, {retrieval.tok("text")} AS w FROM documents),
+    c AS (SELECT qid, list_distinct(flatten(list(w))) AS ctx, list_distinct(arg_min(w, rank)) AS resp FROM ranked JOIN t USING (id) WHERE rank <= 5 GROUP BY qid),
+    j AS (SELECT c.*, list_distinct({retrieval.tok("b.text")}) AS ask FROM c JOIN benchmark b ON b.item_id = c.qid)
+    SELECT qid, {_SHARE.format(a="resp", b="ctx", name="faithfulness")}, {_SHARE.format(a="ask", b="resp", name="answer_relevancy")},
+    {_SHARE.format(a="ctx", b="ask", name="context_precision")}, {_SHARE.format(a="ask", b="ctx", name="context_recall")} FROM j"""
+)
 def judged_answers(spark, sf):
-    """Answers under the offline judge, with the grouped report's columns."""
+    """Answers (the best source, in place of a model's) under the offline judge, with the grouped report's columns."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    ranked = retrieval._sparse(spark, sf, 5).join(docs, "id").groupBy("qid").agg(F.collect_list("text").alias("contexts"))
-    rows = retrieval._questions(spark, sf).join(ranked, "qid").withColumns({"reference": F.col("question"), "response": F.substr(F.get("contexts", F.lit(0)), F.lit(1), F.lit(200)), "abstention_type": F.lit(None).cast("string")})
+    found = retrieval._sparse(spark, sf, 5).join(docs, "id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("found"))
+    ranked = found.select("qid", F.transform("found", lambda x: x["text"]).alias("contexts"))
+    rows = retrieval._questions(spark, sf).join(ranked, "qid").withColumns({"reference": F.col("question"), "response": F.get("contexts", F.lit(0)), "abstention_type": F.lit(None).cast("string")})
     return producers.overlap_judge(rows).select("qid", *evaluate.METRICS)
+
+
+@query(
+    f"""WITH {retrieval.INDEX_SQL}, {retrieval.SCORE_SQL} SELECT qid, count(*) FILTER (d.lang = 'en') AS of_kind, bool_or(d.source = 'src1') AS from_file
+    FROM ranked JOIN documents d ON d.doc_id = ranked.id WHERE rank <= 5 GROUP BY qid"""
+)
+def top_proxies(spark, sf):
+    """Of the first five results how many are of a kind, and whether one comes from a given file."""
+    chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("chunk_type"), F.concat(F.lit("a/"), "source").alias("file"))
+    return evaluate.proxies(retrieval._sparse(spark, sf, 5), chunks, "src1", "en")
+
+
+@query(
+    """SELECT event_id // 20 AS batch_no, count(*) AS files, count(*) FILTER (event_id % 7 > 0) AS ok, round(sum(value), 4) AS elapsed_s,
+    round(count(*) FILTER (event_id % 7 > 0) / count(*)::DOUBLE, 6) AS success FROM events GROUP BY 1"""
+)
+def batch_report(spark, sf):
+    rows = table(spark, sf, "events").select(
+        F.floor(F.col("event_id") / 20).cast("long").alias("batch_no"), F.when(F.col("event_id") % 7 > 0, "ok").otherwise("failed").alias("status"), F.col("value").alias("elapsed_s")
+    )
+    return evaluate.batch_report(rows).withColumns({"elapsed_s": F.round("elapsed_s", 4), "success": F.round("success", 6)})
+
+
+@query(
+    """SELECT event_id, (CASE WHEN event_id % 7 > 0 THEN event_id % 40 * 3 ELSE 0 END)::BIGINT AS credits,
+    sum(CASE WHEN event_id % 7 > 0 THEN event_id % 40 * 3 ELSE 0 END) OVER (ORDER BY event_id)::BIGINT AS total_credits FROM events"""
+)
+def cumulative_credits(spark, sf):
+    report = table(spark, sf, "events").select("event_id", (F.col("event_id") % 40).alias("pages"), F.when(F.col("event_id") % 7 == 0, "failed").alias("error"))
+    return evaluate.cumulative_credits(report, ["event_id"]).select("event_id", "credits", "total_credits")

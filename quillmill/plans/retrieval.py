@@ -205,22 +205,19 @@ def prompt_build(spark, sf):
     return fusion.prompts(fused, chunks, _questions(spark, sf))
 
 
-@query()
+@query(f"{FUSED} SELECT b.item_id AS qid, coalesce(d.text, '') AS answer FROM benchmark b LEFT JOIN fused f ON f.qid = b.item_id AND f.rank = 1 LEFT JOIN documents d ON d.doc_id = f.id")
 def answers(spark, sf):
     """Questions to answers with the offline producer in place of a language model."""
     return producers.extractive_answer(prompt_build(spark, sf)).select("qid", "answer")
 
 
-TARGET_SQL = "targets AS (SELECT b.item_id AS qid, min(d.doc_id) AS target FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1)"
+TARGET_SQL = "targets AS (SELECT b.item_id AS qid, min(d.doc_id) AS target FROM benchmark b JOIN documents d ON b.text <> '' AND contains(d.text, b.text) GROUP BY 1)"
 
 
 def _targets(spark, sf):
-    """The first document that quotes an item: whoever shares its terms is compared word for word."""
+    """The first document that quotes an item."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    asked = _questions(spark, sf)
-    near = bm25.sharing(_index(spark, sf), bm25.question_terms(asked, "qid", "question"))
-    held = near.join(docs, "id").join(asked, "qid").filter(F.col("body").contains(F.col("question")))
-    return held.groupBy("qid").agg(F.min("id").alias("target"))
+    return bm25.quoting(docs, _questions(spark, sf)).groupBy("qid").agg(F.min("id").alias("target"))
 
 
 @query(
@@ -229,8 +226,9 @@ def _targets(spark, sf):
 )
 def target_rank(spark, sf):
     """The target's rank among all documents, and whether it is in the first five."""
-    found = fusion.target_hits(_sparse(spark, sf, None), _targets(spark, sf))
-    return found.select("qid", "target", "hit", F.col("rank").cast("long").alias("rank"))
+    scored = bm25.scores(_index(spark, sf), bm25.question_terms(_questions(spark, sf), "qid", "question"))
+    placed = bm25.rank_of(scored, _targets(spark, sf))
+    return placed.select("qid", "target", F.coalesce(F.col("rank") <= 5, F.lit(False)).alias("hit"), "rank")
 
 
 @query(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,16 +17,39 @@ from ..functions.routing import category, course, excluded_dir, junk, suffix
 
 def scan(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """All files under root: rel, course, category, ext, size and, if asked for, content. Files at the root,
-    in excluded folders and junk are left out; without content no byte of a file is read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    rel = F.substring_index(F.regexp_replace(F.col("path"), r"^\w+:/+", "/"), base + "/", -1)
-    rows = raw.withColumn("rel", rel)
+    in excluded folders and junk are left out, all others counted: empty ones and those whose names Spark's own
+    readers pass over (a leading "_" or "."). The folders under the root are listed in tasks, and a file is
+    opened by the task that returns its content; without content no byte of a file is read."""
+    store, base = _store(root)
+    tops = [(f.path,) for f in store.get_file_info(pyarrow.fs.FileSelector(base)) if f.type == pyarrow.fs.FileType.Directory]
+
+    def walk(batches):
+        store, base = _store(root)
+        for pdf in batches:
+            for top in pdf["top"]:
+                found = store.get_file_info(pyarrow.fs.FileSelector(top, recursive=True))
+                rows = [(f.path, f.path[len(base.rstrip("/")) + 1 :], f.size) for f in found if f.type == pyarrow.fs.FileType.File]
+                yield pd.DataFrame(rows, columns=["path", "rel", "length"]).astype({"length": "int64"})
+
+    def read(batches):
+        store, _ = _store(root)
+        for pdf in batches:
+            for i in range(len(pdf)):  # a file at a time: a batch of large ones need not fit together
+                with store.open_input_stream(pdf["path"].iloc[i]) as f:
+                    yield pdf.iloc[i : i + 1].assign(content=[f.read()])
+
+    rows = spark.createDataFrame(tops, "top string").repartition(max(1, len(tops))).mapInPandas(walk, "path string, rel string, length long")
     rows = rows.filter((course(F.col("rel")) != "") & ~excluded_dir(F.col("rel")) & ~junk(F.col("rel")))
-    return rows.select(
+    rows = rows.select(
         "path", "rel", course(F.col("rel")).alias("course"), category(F.col("rel")).alias("category"),
-        suffix(F.col("rel")).alias("ext"), F.col("length").alias("size"), *(["content"] if content else []),
+        suffix(F.col("rel")).alias("ext"), F.col("length").alias("size"),
     )
+    shape = "path string, rel string, course string, category string, ext string, size long, content binary"
+    return rows.repartition("path").mapInPandas(read, shape) if content else rows
+
+
+def _store(root: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else os.path.abspath(root))
 
 
 def of_type(files: DataFrame, *extensions: str) -> DataFrame:
@@ -119,6 +145,29 @@ def parse_targets(report: DataFrame, manifest: DataFrame, per_quality: int | Non
     return rows.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= per_quality).drop("nth")
 
 
+def reparse_targets(report: DataFrame, manifest: DataFrame, priority: list[str], done: DataFrame) -> DataFrame:
+    """Flagged documents of a priority course that have no successful second parse yet."""
+    flagged = report.filter("needs_llamaparse = 'True'").join(manifest.select("file"), "file", "left_semi")
+    return not_done(flagged.filter(F.col("course").isin(*priority)), done, "file")
+
+
+def page_counts(files: DataFrame) -> DataFrame:
+    """(path, pages): of PDF files (path, content) the page objects that stand in the open; null for a file that
+    is no PDF or keeps its pages in compressed streams, which need a producer."""
+
+    @F.pandas_udf("int")
+    def count(data: pd.Series) -> pd.Series:
+        found = [len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", bytes(x))) if bytes(x[:5]) == b"%PDF-" else 0 for x in data]
+        return pd.Series([n or None for n in found], dtype="Int32")
+
+    return files.select("path", count("content").alias("pages"))
+
+
+def with_column_added(report: DataFrame, values: DataFrame, key: str, path: str) -> None:
+    """Write the report with the further columns of values (key, ...) as a new version; never in place."""
+    report.join(values, key, "left").write.mode("errorifexists").option("header", True).csv(path)
+
+
 def not_done(targets: DataFrame, done: DataFrame, key: str, ok: str = "error is null or error = ''") -> DataFrame:
     """Targets whose key has no successful row yet."""
     return targets.join(done.filter(ok).select(key).distinct(), key, "left_anti")

@@ -233,7 +233,7 @@ def test_tables(tmp_path):
     header = ",".join(f"f{i}" for i in range(70))
     summary, flag, rows, columns = chunk_data.csv_summary("x.csv", "c", f"﻿{header}\n{','.join('1' * 70)}\n".encode())
     assert (rows, columns) == (1, 70) and "等共70个字段" in summary and "﻿" not in summary
-    assert chunk_data.read_csv("姓名,年龄\n张,3\n".encode("gb18030"))[2] == "gb18030" and chunk_data.read_csv(b"") == ([], 0, "utf-8-sig", None)
+    assert chunk_data.read_csv("姓名,年龄\n张,3\n".encode("gb18030")).encoding == "gb18030" and chunk_data.read_csv(b"") == chunk_data.Table([], 0, "utf-8-sig", None)
     path = tmp_path / "b.xlsx"
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(path, "w") as z:
@@ -246,12 +246,13 @@ def test_tables(tmp_path):
 
 def test_file_tree(spark, tmp_path):
     png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + struct.pack(">II", 60, 70) + b"\0" * 20
-    for path, data in {"c1/a.PDF": b"x", "c1/index/b.py": b"x", "c1/._j.py": b"x", "root.py": b"x", "c2/i.png": png, "c2/bad.png": b"no", "c2/s/x.csv": b"a,b\n1,2\n"}.items():
+    for path, data in {"c1/a.PDF": b"x", "c1/index/b.py": b"x", "c1/._j.py": b"x", "root.py": b"x", "c2/i.png": png, "c2/bad.png": b"no", "c2/s/x.csv": b"a,b\n1,2\n", "c3/__init__.py": b"", "c3/_p/_h.R": b"y", "c3/.hidden.sql": b"z"}.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_bytes(data)
     tree = files.scan(spark, str(tmp_path))
     assert sorted((r.rel, r.category, r.ext) for r in tree.collect()) == [
         ("c1/a.PDF", "文本知识类", ".pdf"), ("c2/bad.png", "图片类", ".png"), ("c2/i.png", "图片类", ".png"), ("c2/s/x.csv", "数据摘要类", ".csv"),
+        ("c3/.hidden.sql", "代码知识类", ".sql"), ("c3/__init__.py", "代码知识类", ".py"), ("c3/_p/_h.R", "代码知识类", ".r"),
     ]
     found = files.images(files.scan(spark, str(tmp_path), content=True).filter("ext = '.png'")).collect()
     assert [(r.rel, r.width, r.height) for r in found] == [("c2/i.png", 60, 70)]

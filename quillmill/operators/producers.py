@@ -53,8 +53,12 @@ def html_text(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.trim(F.regexp_replace(bare, r"\s+", " ")))
 
 
+FLAGGED_TASK = "Ask about this damaged passage; the right answer says what cannot be read."
+PLAIN_TASK = "Ask a question that this passage answers."
+
+
 def question_of(df: DataFrame) -> DataFrame:
     """qa_prompt: the request for a question and answer about a chunk; flagged chunks ask for an honest one."""
     flagged = F.coalesce(F.size("chunk_quality_flag"), F.lit(0)) > 0
-    task = F.when(flagged, "Ask about this damaged passage; the right answer says what cannot be read.").otherwise("Ask a question that this passage answers.")
+    task = F.when(flagged, FLAGGED_TASK).otherwise(PLAIN_TASK)
     return df.withColumn("qa_prompt", F.concat_ws("\n\n", task, F.col("description"), F.col("text")))

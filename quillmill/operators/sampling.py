@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.routing import final_related
+
 
 def shuffled(seed: int, *keys: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)), 256)
@@ -74,6 +76,11 @@ def round_robin(df: DataFrame, n: int, stratum: str, file: str, key: str, seed:
     return df.join(rows.orderBy("turn_", "place_", key).limit(n).select(key), key, "left_semi")
 
 
+def final_exam(chunks: DataFrame, n: int, seed: int) -> DataFrame:
+    """n chunks (id, text, course, file) of at least 100 characters from files on finals, course by course."""
+    return round_robin(chunks.filter(final_related(F.col("file")) & (F.length("text") >= 100)), n, "course", "file", "id", seed)
+
+
 def batches(df: DataFrame, order: list[str], size: int, name: str = "batch_no") -> DataFrame:
     """df with the number of its batch of ``size`` rows in the given order (see numbering.dense)."""
     from .numbering import dense

@@ -46,7 +46,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str = "id",
 def _block(c: DataFrame, asked: list, k: int) -> DataFrame:
     """(qid, id, distance): each task's k best rows for each of the collected queries."""
     ids = np.array([r.qid for r in asked], dtype=np.int64)
-    matrix = np.array([r.qv for r in asked], dtype=float).reshape(len(asked), -1)
+    matrix = np.array([r.qv for r in asked], dtype=float).reshape(len(asked), len(asked[0].qv) if asked else 0)
     squares = (matrix**2).sum(axis=1)[:, None]
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

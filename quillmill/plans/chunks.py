@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunk_code, chunk_data, chunk_text, pages, producers, unify
+from ..functions.routing import test_category
+from ..operators import chunk_code, chunk_data, chunk_text, images, pages, producers, runs, unify
 from .registry import literal, query, table
 
 BLOCKS_SQL = "b AS (SELECT doc_id AS doc, doc_id % 3 AS k, n_chars AS n FROM documents)"
@@ -178,3 +179,67 @@ def summarize_table(spark, sf):
 )
 def page_text(spark, sf):
     return producers.html_text(table(spark, sf, "pages")).select("page_id", "text")
+
+
+_FLAGS = "list_filter([CASE WHEN doc_id % 4 = 0 THEN 'fragmented' END, CASE WHEN doc_id % 6 = 0 THEN 'formula_missing' END], lambda x: x IS NOT NULL)"
+
+
+def _flagged(spark, sf):
+    i = F.col("doc_id")
+    flags = F.array_compact(F.array(F.when(i % 4 == 0, "fragmented"), F.when(i % 6 == 0, "formula_missing")))
+    return table(spark, sf, "documents").select(
+        i.alias("id"), F.col("lang").alias("chunk_type"), F.when(i % 3 > 0, i % 9).alias("page_start"), F.when(F.size(flags) > 0, flags).alias("chunk_quality_flag")
+    )
+
+
+@query(
+    f"""WITH c AS (SELECT lang, doc_id, {_FLAGS} AS flags FROM documents),
+    e AS (SELECT 'chunk_type' AS dimension, lang AS value FROM c UNION ALL SELECT 'flag', unnest(flags) FROM c
+        UNION ALL SELECT 'page', CASE WHEN doc_id % 3 > 0 THEN 'present' ELSE 'absent' END FROM c)
+    SELECT dimension, value, count(*) AS n FROM e GROUP BY ALL"""
+)
+def chunk_counts(spark, sf):
+    return runs.chunk_counts(_flagged(spark, sf))
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, {_FLAGS} AS flags FROM documents), f AS (SELECT doc_id, unnest(flags) AS flag FROM c)
+    SELECT doc_id AS id, flag, CASE flag WHEN 'fragmented' THEN 'the text is fragmented' ELSE 'formulas were not decoded' END AS meaning, 'abstention' AS test_category FROM f"""
+)
+def flag_meanings(spark, sf):
+    """Chunks' flags with what they tell a reader, and the test that a flagged chunk is for."""
+    rows = _flagged(spark, sf).withColumn("test_category", test_category(F.col("chunk_quality_flag")))
+    one = rows.select("id", F.explode("chunk_quality_flag").alias("flag"), "test_category")
+    return one.join(F.broadcast(unify.flag_dimension(spark)), "flag").select("id", "flag", "meaning", "test_category")
+
+
+@query(
+    """WITH i AS (SELECT doc_id, source, sha256(text) AS sha, n_chars, doc_id % 90 AS w, doc_id % 70 AS h FROM documents),
+    f AS (SELECT *, row_number() OVER (PARTITION BY source, sha ORDER BY lpad(doc_id::VARCHAR, 12, '0')) AS n FROM i)
+    SELECT doc_id AS id, source FROM f WHERE n = 1 AND n_chars * 10 >= 5120 AND w >= 50 AND h >= 50"""
+)
+def selected_images(spark, sf):
+    """Documents stand for images: first of equal contents within a source, then the size filter."""
+    i = F.col("doc_id")
+    rows = table(spark, sf, "documents").select(
+        i.alias("id"), F.format_string("%012d", i).alias("path"), "source", F.sha2("text", 256).alias("sha256"),
+        (F.col("n_chars") * 10).alias("size"), (i % 90).alias("width"), (i % 70).alias("height"),
+    )
+    return images.selected(rows).select("id", "source")
+
+
+@query("SELECT doc_id AS id, 'data:image/jpeg;base64,' || base64(encode(text)) AS url FROM documents")
+def image_urls(spark, sf):
+    docs = table(spark, sf, "documents")
+    url = images.data_url(F.col("text").cast("binary"), F.lit(".JPG"))
+    return docs.select(F.col("doc_id").alias("id"), F.regexp_replace(url, "\r?\n", "").alias("url"))
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, text, source, {_FLAGS} AS flags FROM documents)
+    SELECT doc_id AS id, CASE WHEN len(flags) > 0 THEN '{producers.FLAGGED_TASK}' ELSE '{producers.PLAIN_TASK}' END || chr(10) || chr(10) || source || chr(10) || chr(10) || text AS qa_prompt FROM c"""
+)
+def qa_prompts(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("description"))
+    flags = _flagged(spark, sf).select("id", "chunk_quality_flag")
+    return producers.question_of(docs.join(flags, "id")).select("id", "qa_prompt")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import quality as q
@@ -152,11 +153,14 @@ PATHS = [
     "CSE 416/HW4/report.PDF", "CSE 416\\Class14\\14.pdf", "BIOL 1/notes.md", "BIOL 1/.gitignore", "BIOL 1/text8", "X/model-checkpoint-12", "X/a.tar.zip",
     "X/.git/config.py", "X/index/a.py", "X/b.lp", "root.pdf", "X/._a.pdf", "X/.DS_Store", "X/noext", "Y/data/x.CSV", "Y/final exam.pdf", "Y/期末/1.r", "X/pic.JPeG", "X/dot.",
 ]
+#: Every document stands for a file too: its source is the course, and its id picks the rest of the path.
+TAILS = ["/a.pdf", "/B.PY", "/x/c.lp", "/d", "/e.tar.gz", "/.git/f.py", "/final.md", "/index/g.r", "/h.JPeG", "/model-checkpoint-1", "/LICENSE", "/._i.pdf", "/j.csv", "/.DS_Store", "/期末/k.sql", "\\l.java"]
+DERIVED_SQL = f"SELECT source || ' ' || doc_id || ([{', '.join(repr(t) if chr(92) not in t else chr(39) + t + chr(39) for t in TAILS)}])[doc_id % {len(TAILS)} + 1] AS path FROM documents"
 _NAME = "list_extract(parts, -1)"
 _EXT = f"lower(regexp_extract({_NAME}, '[^.].*?(\\.[^.]+)$', 1))"
 _LISTED = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _KINDS = " ".join(f"WHEN ext IN ({_LISTED(e)}) THEN '{k}'" for k, e in r.CATEGORIES.items())
-ROUTE_SQL = f"""p AS (SELECT path, list_filter(string_split(replace(path, chr(92), '/'), '/'), lambda x: x <> '') AS parts FROM ({values([(p,) for p in PATHS])}) t(path)),
+ROUTE_SQL = f"""p AS (SELECT path, list_filter(string_split(replace(path, chr(92), '/'), '/'), lambda x: x <> '') AS parts FROM (SELECT path FROM ({values([(p,) for p in PATHS])}) t(path) UNION ALL {DERIVED_SQL})),
     e AS (SELECT path, parts, {_NAME} AS name, {_EXT} AS ext FROM p),
     c AS (SELECT path, name, ext, CASE WHEN name IN ({_LISTED(r.EXCLUDED_NAMES)}) THEN '排除类' WHEN starts_with(name, 'model-checkpoint') THEN '排除类' {_KINDS} ELSE '未分类' END AS category,
         CASE WHEN len(parts) > 1 THEN parts[1] ELSE '' END AS course,
@@ -164,16 +168,22 @@ ROUTE_SQL = f"""p AS (SELECT path, list_filter(string_split(replace(path, chr(92
         contains(lower(path), 'final') OR contains(path, '期末') AS final FROM e)"""
 
 
-def _routed(spark):
+def _paths(spark, sf):
+    tail = F.get(F.array(*map(F.lit, TAILS)), (F.col("doc_id") % len(TAILS)).cast("int"))
+    derived = table(spark, sf, "documents").select(F.concat("source", F.lit(" "), F.col("doc_id").cast("string"), tail).alias("path"))
+    return literal(spark, [(x,) for x in PATHS], "path string").unionByName(derived)
+
+
+def _routed(spark, sf):
     p = F.col("path")
-    return literal(spark, [(x,) for x in PATHS], "path string").select(
+    return _paths(spark, sf).select(
         "path", r.suffix(p).alias("ext"), r.category(p).alias("category"), r.course(p).alias("course"), r.excluded_dir(p).alias("excluded"), r.junk(p).alias("junk"), r.final_related(p).alias("final")
     )
 
 
 @query(f"WITH {ROUTE_SQL} SELECT path, ext, category, course, excluded, junk, final FROM c")
 def route_category(spark, sf):
-    return _routed(spark)
+    return _routed(spark, sf)
 
 
 @query(
@@ -184,9 +194,13 @@ def route_category(spark, sf):
 )
 def category_rollup(spark, sf):
     """Counts by category and extension with the first three paths, subtotals and the total."""
-    kept = _routed(spark).filter("course <> '' and not excluded and not junk")
-    g = kept.rollup("category", "ext").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"), F.array_join(F.slice(F.sort_array(F.collect_list("path")), 1, 3), "; ").alias("s"))
-    return g.select(F.coalesce("category", F.lit("all")).alias("category"), F.coalesce("ext", F.lit("all")).alias("ext"), "n", F.when(F.col("g") == 0, F.col("s")).alias("samples"))
+    kept = _routed(spark, sf).filter("course <> '' and not excluded and not junk")
+    counts = kept.rollup("category", "ext").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+    # The first three of a group are ranked, each task sending three at most; no group's paths are gathered.
+    nth = F.row_number().over(Window.partitionBy("category", "ext").orderBy("path"))
+    first = kept.select("category", "ext", "path", nth.alias("nth")).filter("nth <= 3").groupBy("category", "ext").agg(F.array_join(F.sort_array(F.collect_list("path")), "; ").alias("samples"))
+    found = counts.join(first.withColumn("g", F.lit(0)), ["category", "ext", "g"], "left")
+    return found.select(F.coalesce("category", F.lit("all")).alias("category"), F.coalesce("ext", F.lit("all")).alias("ext"), "n", "samples")
 
 
 STATEMENTS = [
@@ -195,12 +209,17 @@ STATEMENTS = [
 
 
 @query(
-    f"""WITH s AS (SELECT id, regexp_replace(stmt, '(?s)^\\s*(?:--[^\\n]*\\n|/\\*.*?\\*/\\s*)+', '') AS b FROM ({values(STATEMENTS)}) t(id, stmt)),
+    f"""WITH s AS (SELECT id, regexp_replace(stmt, '^(?:\\s|--[^\\n]*\\n|/\\*(?:[^*]|\\*+[^*/])*\\*+/)*', '') AS b FROM (SELECT * FROM ({values(STATEMENTS)}) t(id, stmt)
+        UNION ALL SELECT -1 - doc_id, (['', '-- x' || chr(10), '/* ' || source || ' */ create view ', '/*** a */--b' || chr(10) || 'CREATE ', 'drop '])[doc_id % 5 + 1] || text FROM documents)),
     w AS (SELECT id, upper(regexp_extract(b, '^\\s*(\\w+)', 1)) AS a, upper(regexp_extract(b, '^\\s*\\w+\\s+(\\w+)', 1)) AS c FROM s)
     SELECT id::BIGINT AS id, CASE WHEN a = '' THEN 'UNKNOWN' WHEN a = 'CREATE' AND c IN ({_LISTED(r.CREATE_KINDS)}) THEN a || ' ' || c ELSE a END AS kind FROM w"""
 )
 def sql_type(spark, sf):
-    return literal(spark, STATEMENTS, "id long, stmt string").select("id", r.sql_type(F.col("stmt")).alias("kind"))
+    i = F.col("doc_id")
+    heads = F.array(F.lit(""), F.lit("-- x\n"), F.concat(F.lit("/* "), "source", F.lit(" */ create view ")), F.lit("/*** a */--b\nCREATE "), F.lit("drop "))
+    derived = table(spark, sf, "documents").select((-1 - i).alias("id"), F.concat(F.get(heads, (i % 5).cast("int")), "text").alias("stmt"))
+    rows = literal(spark, STATEMENTS, "id long, stmt string").unionByName(derived)
+    return rows.select("id", r.sql_type(F.col("stmt")).alias("kind"))
 
 
 LATEX = [(1, "a \\(x\\) b \\[y\nz\\] c"), (2, "no math"), (3, "\\(a\\)\\(b\\)"), (4, "cost $5")]

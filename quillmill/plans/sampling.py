@@ -72,6 +72,18 @@ def sample_round_robin(spark, sf):
     return sampling.round_robin(rows, 18, "course", "file", "id", 7).select("id", "course")
 
 
+@query(
+    f"""WITH {CHUNKS_SQL}, a AS (SELECT id, course, f, sha256('2024:' || id) AS h, row_number() OVER (PARTITION BY course, f ORDER BY sha256('2024:' || id), id) AS of
+        FROM (SELECT *, CASE WHEN id % 3 = 0 THEN 'Final Project/' WHEN id % 5 = 0 THEN '期末/' ELSE 'hw/' END || file AS f FROM c)
+        WHERE length(text) >= 100 AND (contains(lower(f), 'final') OR contains(f, '期末'))),
+    t AS (SELECT *, row_number() OVER (PARTITION BY course ORDER BY h, id) AS turn FROM a WHERE of = 1)
+    SELECT id, course FROM t ORDER BY turn, sha256('2024:' || course), id LIMIT 18"""
+)
+def final_exam_set(spark, sf):
+    folder = F.when(F.col("id") % 3 == 0, "Final Project/").when(F.col("id") % 5 == 0, "期末/").otherwise("hw/")
+    return sampling.final_exam(_chunks(spark, sf).withColumn("file", F.concat(folder, "file")), 18, 2024).select("id", "course")
+
+
 @query(
     """SELECT doc_id AS id, (row_number() OVER (ORDER BY source, doc_id) - 1) // 64 AS batch_no, 'txtm_' || lpad((row_number() OVER (ORDER BY source, doc_id) - 1)::VARCHAR, 5, '0') AS chunk_id FROM documents"""
 )

@@ -323,3 +323,84 @@ def test_paths(spark):
     cases = {".gitignore": "", "a.tar.GZ": ".gz", "x": "", "dir.d/y.R": ".r", ".hidden.py": ".py", "a.": ""}
     df = spark.createDataFrame([(k,) for k in cases], "p string")
     assert {r.p: r.s for r in df.select("p", routing.suffix(F.col("p")).alias("s")).collect()} == cases
+
+
+def test_null_vectors_blocks_of_queries_and_the_store(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)] + [(100, None)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    asked = df.filter("id < 7 or id = 100").withColumnRenamed("id", "qid")
+    once = {(r.qid, r.id, r["rank"]) for r in vector.top_k(df, asked, 3).collect()}
+    assert len(once) == 21 and 100 not in {q for q, *_ in once}
+    vector.write_store(df, str(tmp_path / "store"))
+    monkeypatch.setattr(vector, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(vector, "BLOCK_ROWS", 5)
+    assert {(r.qid, r.id, r["rank"]) for r in vector.top_k(vector.read_store(spark, str(tmp_path / "store")), asked, 3).collect()} == once
+    assert vector.top_k(df, asked.limit(0), 3).count() == 0 and vector.approximate_top_k(df, asked, 3, 4, bits=2, tables=8).count() == 21
+
+
+def test_quotations_are_found_wherever_they_begin(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "see fooBarBaz is here xfooBar"), (2, "没有 ASCII 的问题吗"), (3, None), (4, "")], "id long, body string")
+    asked = spark.createDataFrame([(1, "BarBaz is here xfooBa"), (2, "的问题"), (3, ""), (4, "BarBaz is here xfooBa"), (5, None)], "qid long, question string")
+    want = {(1, 1), (2, 2), (4, 1)}
+    assert {tuple(r) for r in bm25.quoting(docs, asked).collect()} == want
+    monkeypatch.setattr(bm25, "BLOCK_QUESTIONS", 1)
+    assert {tuple(r) for r in bm25.quoting(docs, asked).collect()} == want
+    scored = spark.createDataFrame([(1, 5, 2.0), (1, 6, 3.0), (1, 7, 2.0), (2, 1, 1.0)], "qid long, id long, score double")
+    targets = spark.createDataFrame([(1, 7), (2, 9), (3, 1)], "qid long, target long")
+    assert {tuple(r) for r in bm25.rank_of(scored, targets).collect()} == {(1, 7, 3), (2, 9, None), (3, 1, None)}
+
+
+def test_no_window_gathers_all_rows(spark):
+    from quillmill.operators import evaluate
+
+    df = spark.range(5000).selectExpr("id", "'k' as k", "id % 7 as n")
+    out = numbering.dense(df, ["k", "id"], "at")
+    assert sorted((r.id, r.at) for r in out.collect()) == [(i, i) for i in range(5000)]
+    per_range = df.groupBy(numbering.range_of(df, ["k", "id"]).alias("r")).count().collect()
+    assert len(per_range) == 4 and max(r["count"] for r in per_range) < 2500
+    total = evaluate.running(df, F.col("n"), ["id"], ["k"], "total").collect()
+    sums, seen = {}, 0
+    for i in range(5000):
+        seen += i % 7
+        sums[i] = seen
+    assert {r.id: r.total for r in total} == sums
+
+
+def test_images_are_tried_again_and_failures_are_rows(spark):
+    from quillmill.operators import images
+
+    def ocr(data):
+        if data == b"broken":
+            raise ValueError("unreadable")
+        return [("clear", 0.9), ("text", 0.95)] if data == b"clear" else [("dim", 0.3)] if data == b"dim" else []
+
+    waits = []
+    assert images.attempted(ocr, b"broken", 3, 1.0, waits.append) == (None, "ValueError: unreadable") and waits == [1.0, 2.0]
+    df = spark.createDataFrame([("a", b"clear"), ("b", b"dim"), ("c", b"broken"), ("d", b"none")], "path string, content binary")
+    got = {r.path: r for r in images.described(df, ocr, lambda data: (f"{len(data)} bytes", 10, 2), wait=0.0).collect()}
+    assert got["a"].tier == "ocr_only" and got["a"].ocr_text == "clear text" and got["a"].vlm_desc == ""
+    assert got["b"].tier == "vlm_only" and got["b"].vlm_desc == "3 bytes" and got["b"].tokens_in == 10 and got["d"].ocr_conf == 0.0
+    assert got["c"].error == "ValueError: unreadable" and got["c"].tier is None
+
+
+def test_one_broken_row_does_not_stop_the_rest(spark):
+    from quillmill.operators import runs
+
+    df = spark.createDataFrame([(1, "2"), (2, "x"), (3, "1")], "doc long, body string")
+    got = runs.isolated(df, "doc", lambda row: [{"n": int(row["body"]), "piece": str(i)} for i in range(int(row["body"]))], "n long, piece string")
+    rows = sorted(map(tuple, got.collect()), key=repr)
+    assert [r[:3] for r in rows] == [(1, 2, "0"), (1, 2, "1"), (2, None, None), (3, 1, "0")] and rows[2][3].startswith("ValueError")
+    status = runs.output_status(df, got.filter("error is null"))
+    assert {(r.doc, r.status) for r in status.collect()} == {(1, "ok"), (2, "failed"), (3, "ok")}
+
+
+def test_page_counts_targets_and_reports(spark, tmp_path):
+    rows = [("a", b"%PDF-1.4 /Type /Pages /Type /Page >> /Type/Page >>"), ("b", b"no"), ("c", b"%PDF-1.5 packed")]
+    got = {r.path: r.pages for r in files.page_counts(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert got == {"a": 2, "b": None, "c": None}
+    report = spark.createDataFrame([("f1", "X", "True"), ("f2", "X", "True"), ("f3", "Y", "True"), ("f4", "X", "False")], "file string, course string, needs_llamaparse string")
+    done = spark.createDataFrame([("f2", None), ("f1", "failed")], "file string, error string")
+    assert [r.file for r in files.reparse_targets(report, report.select("file"), ["X"], done).collect()] == ["f1"]
+    files.with_column_added(report, done.select("file", F.lit("3").alias("page")), "file", str(tmp_path / "v2"))
+    assert {r.file: r.page for r in spark.read.option("header", True).csv(str(tmp_path / "v2")).collect()} == {"f1": "3", "f2": "3", "f3": None, "f4": None}

@@ -71,6 +71,55 @@ def test_surrogates_never_collide_nor_hit_a_real_entity(spark):
     assert pii.replace(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
 
 
+def replaced(spark, *texts):
+    rows = pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()
+    return [r.text for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_names_that_stand_alone_or_behind_a_title_follow_the_full_name(spark):
+    a, b, c, d = replaced(
+        spark,
+        "Anna Schmidt wrote. Mrs Schmidt said so. SCHMIDT left, and Anna's friend Peter Weber-Roth met Mr. Weber-Roth. A schmidt is a smith.",
+        "Mrs Schmidt met Dr Novak and Mrs Novak; Mrs Anna Schmidt too",
+        "Peter O’Neill's boat; O’Neill sails",
+        "Schmidt and Anna are words here " * 20_000,
+    )
+    m = re.fullmatch(r"(\S+) (\S+) wrote\. Mrs (\S+) said so\. (\S+) left, and (\S+)'s friend (\S+) (\S+) met Mr\. (\S+)\. A schmidt is a smith\.", a)
+    given, family, titled, shouted, alone, peter, weber, again = m.groups()
+    assert family == titled and family.upper() == shouted and given == alone and weber == again and len({family, weber, "Schmidt", "Weber-Roth"}) == 4
+    assert given in pii.NAMES["latin", "f"].split() and peter in pii.NAMES["latin", "m"].split()
+    m = re.fullmatch(r"Mrs (\S+) met Dr (\S+) and Mrs (\S+); Mrs (\S+) (\S+) too", b)
+    assert m[2] == m[3] and m[1] == m[5] and "Schmidt" not in b and "Novak" not in b and (m[4], m[5]) == (given, family)
+    m = re.fullmatch(r"(\S+) (\S+)'s boat; (\S+) sails", c)
+    assert m[2] == m[3] and "Neill" not in c
+    assert d == "Schmidt and Anna are words here " * 20_000
+
+
+def test_national_telephone_numbers(spark):
+    (out,) = replaced(spark, "+1 (377) 555-0271, (377) 555-0271, 377-555-0271, 377.555.0271 and 12-34-5678")
+    m = re.fullmatch(r"\+1 \((\d{3})\) (\d{3})-(\d{4}), \(\1\) \2-\3, \1-\2-\3, \1\.\2\.\3 and 12-34-5678", out)
+    assert m and m.groups() != ("377", "555", "0271")
+
+
+@pytest.mark.parametrize("shape, n", [("1{:02d}.2.3.4", 56), ("{}.{}.{}.{}", 7200), ("{}.{}.{}.{}", 10_000), ("wide", 100_000)])
+def test_crowded_kinds_of_entities_still_get_distinct_surrogates(spark, shape, n):
+    digits = lambda i: [int(x) for x in f"{i:04d}"]
+    if shape == "wide":
+        real = [f"{10 + i % 90}.{10 + i // 90 % 90}.{i // 8100 % 10}.{i // 81000}" for i in range(n)]
+    else:
+        real = [shape.format(i) if shape.startswith("1{") else shape.format(*digits(i)) for i in range(n)]
+    df = spark.createDataFrame([("ip", x) for x in real], "type string, entity string").repartition(4)
+    rows = pii.mapping(df, "k").collect()
+    assert {r.entity for r in rows} == set(real) and len(rows) == n == len({r.new for r in rows})
+    assert all(r.new != r.entity and [len(x) for x in r.new.split(".")] == [len(x) for x in r.entity.split(".")] for r in rows)
+
+
+def test_names_do_not_run_out(spark):
+    people = [("name_greek", f"άννα οικογένεια{i}") for i in range(3000)] + [("title", f"family{i}") for i in range(2000)]
+    rows = pii.mapping(spark.createDataFrame(people, "type string, entity string"), "k").collect()
+    assert len({(r.type, r.new) for r in rows}) == len(rows) == 5000
+
+
 # ---- 2: main text
 
 

@@ -224,10 +224,11 @@ def vectors(page: list[tuple[str, Block]], first: int = 0, stop: int | None = No
             out[i, :DIMS] = e.vector
         put(out[i], "leaf:" + (e.tag if e is not None else ""))
         words = WORD.findall(text.lower())
+        bag = [0.0] * TEXT_DIMS
         for word in words:
             h, sign = slot(word)
-            out[i, DIMS + h % TEXT_DIMS] += sign
-        out[i, DIMS : DIMS + TEXT_DIMS] /= np.sqrt(len(words) + 1.0)
+            bag[h % TEXT_DIMS] += sign
+        out[i, DIMS : DIMS + TEXT_DIMS] = bag / np.sqrt(len(words) + 1.0)
         total = sum(map(len, b.parts)) + 1e-9
         out[i, DIMS + TEXT_DIMS :] = (
             np.log1p(len(text)) / 4 - 1, min(1.0, b.linked / total), len(text) < 40, text[-1:] in ".!?\"'»”",

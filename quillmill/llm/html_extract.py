@@ -78,7 +78,7 @@ class Element:
     """An open element and, through its parent, its tag path. vector holds the distinct words of the path: its
     tags and the words of class, id and role; an element that adds none shares its parent's."""
 
-    __slots__ = ("parent", "tag", "words", "new", "vector", "mask", "depth", "prose", "main")
+    __slots__ = ("parent", "tag", "words", "vector", "mask", "depth", "prose", "main", "leaf")
 
     def __init__(self, parent: Element | None, tag: str, words: list[str], known: dict[str, int]):
         self.parent, self.tag, self.words = parent, tag, words
@@ -86,18 +86,26 @@ class Element:
         self.mask = (parent.mask if parent and tag not in SCOPE else 0) | BIT.get(tag, 0)
         self.prose = tag == "p" or bool(parent and parent.prose)
         self.main = tag in ("article", "main") or bool(parent and parent.main)
-        self.new = [w for w in dict.fromkeys(words) if not known.get(w)]
+        self.vector, self.leaf = parent.vector if parent else NOTHING, None
+        new = {w for w in words if not known.get(w)}
         for w in words:
             known[w] = known.get(w, 0) + 1
-        above = parent.vector if parent else NOTHING
-        if self.new:
-            above = above.copy()
-            for w in self.new:
-                put(above, w)
-        self.vector = above
+        if new:
+            self.vector = self.vector.copy()
+            for w in new:
+                put(self.vector, w)
+
+    def leafed(self) -> np.ndarray:
+        """The path's vector with the tag as its last one, for the blocks that stand right in the element."""
+        if self.leaf is None:
+            self.leaf = self.vector.copy()
+            put(self.leaf, "leaf:" + self.tag)
+        return self.leaf
 
 
 NOTHING = np.zeros(DIMS, dtype=np.float32)
+ROOT = Element(None, "", [], {})
+ROOT.depth = 0
 
 
 class Block:
@@ -218,22 +226,25 @@ def vectors(page: list[tuple[str, Block]], first: int = 0, stop: int | None = No
     """One row for each of the page's blocks from first to stop. All words of a block count."""
     part = page[first:stop]
     out = np.zeros((len(part), WIDTH), dtype=np.float32)
+    if not part:
+        return out
+    paths, bags, shapes = [], [], []
     for i, (text, b) in enumerate(part):
-        e = b.element
-        if e is not None:
-            out[i, :DIMS] = e.vector
-        put(out[i], "leaf:" + (e.tag if e is not None else ""))
-        words = WORD.findall(text.lower())
-        bag = [0.0] * TEXT_DIMS
-        for word in words:
+        e = b.element or ROOT
+        paths.append(e.leafed())
+        bag, n = [0.0] * TEXT_DIMS, 1
+        for word in WORD.findall(text.lower()):
             h, sign = slot(word)
             bag[h % TEXT_DIMS] += sign
-        out[i, DIMS : DIMS + TEXT_DIMS] = bag / np.sqrt(len(words) + 1.0)
-        total = sum(map(len, b.parts)) + 1e-9
-        out[i, DIMS + TEXT_DIMS :] = (
-            np.log1p(len(text)) / 4 - 1, min(1.0, b.linked / total), len(text) < 40, text[-1:] in ".!?\"'»”",
-            (first + i) / len(page), np.log1p(e.depth) / 2 if e else 0.0, bool(e and e.prose), bool(e and e.main),
-        )
+            n += 1
+        bags.append(bag)
+        total = sum(map(len, b.parts)) or 1
+        shapes.append((len(text), min(1.0, b.linked / total), text[-1:] in ".!?\"'»”", first + i, e.depth, e.prose, e.main, n))
+    length, linked, ended, place, depth, prose, main, words = np.array(shapes, dtype=np.float64).T
+    out[:, :DIMS] = paths
+    out[:, DIMS : DIMS + TEXT_DIMS] = np.array(bags) / np.sqrt(words)[:, None]
+    shape = (np.log1p(length) / 4 - 1, linked, length < 40, ended, place / len(page), np.log1p(depth) / 2, prose, main)
+    out[:, DIMS + TEXT_DIMS :] = np.stack(shape, axis=1)
     return out
 
 

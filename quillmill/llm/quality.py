@@ -1,17 +1,19 @@
 """Document quality by co-training of two views.
 
 One logistic classifier reads the text (hashed words and character shapes, and measures of form), the other
-the row's metadata (source, language, length). Both start from labelled documents. In each round each view
-labels the unlabelled documents that it is surest of, and the other view learns them. The views are then
-calibrated on labelled documents that neither learned, and a logistic model of the two calibrated logits
-scores all documents.
+the row's metadata (source and language). Both start from labelled documents. In each round both views score
+all unlabelled documents; those that one view is surest of, a share of the corpus, the other view learns, in
+shards whose weights are averaged, and then it sees the labelled documents again. The views are calibrated on
+labelled documents that neither learned, and a logistic model of the two calibrated logits, fitted on others
+of those, scores all documents.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -20,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .toxicity import logistic
 
 WORDS = 4096
@@ -32,8 +35,11 @@ KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'
 LETTERS = bytes(88 if 65 <= b < 91 else 57 if 48 <= b < 58 else 120 if 97 <= b < 123 or b == 63 else b for b in range(256))
 
 
-def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed indices, their weights (unit length), and measures of the text's form."""
+FEATURES = "idx array<int>, cnt array<int>, form array<double>, meta array<int>"
+
+
+def text_features(text: str | None) -> tuple[list[int], list[int], np.ndarray]:
+    """Hashed indices, their counts, and measures of the text's form."""
     text = text or ""
     words = text.split()
     distinct = Counter(words)
@@ -45,9 +51,6 @@ def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         shapes[w[-4:].encode("ascii", "replace").translate(LETTERS)] += n
     for s, n in shapes.items():
         counts[WORDS // 2 + crc(s) % (WORDS // 2)] += n
-    idx = np.fromiter(counts, dtype=np.int64, count=len(counts))
-    weight = np.log1p(np.fromiter(counts.values(), dtype=float, count=len(counts)))
-    weight /= np.sqrt((weight**2).sum()) + 1e-9
     kinds = np.bincount(KIND[np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)], minlength=4)
     n, m = max(1, len(words)), max(1, len(text))
     lines = text.split("\n")
@@ -56,14 +59,25 @@ def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         kinds[2] / m, len(set(lines)) / len(lines), sum(map(eq, words, words[1:])) / n,
         (text.count(".") + text.count("!") + text.count("?")) / n,
     ])
-    return idx, weight, form
+    return list(counts), list(counts.values()), form
 
 
-def meta_features(source: str | None, lang: str | None, size: int) -> np.ndarray:
-    """Hashed indices of the metadata's values and their pairs."""
-    step = f"size={int(np.log2(size + 1))}"
-    keys = (f"source={source}", f"lang={lang}", step, f"{lang}|{step}", f"{source}|{lang}")
-    return np.array([zlib.crc32(k.encode("utf-8", "surrogatepass")) % META for k in keys])
+def meta_features(source: str | None, lang: str | None) -> list[int]:
+    """Hashed indices of the metadata's values and their pair."""
+    keys = (f"source={source}", f"lang={lang}", f"{source}|{lang}")
+    return [zlib.crc32(k.encode("utf-8", "surrogatepass")) % META for k in keys]
+
+
+def both_views(idx, cnt, form, meta):
+    """(indices, weights) of the row for the text view and for the metadata view."""
+    weight = np.log1p(np.asarray(cnt, dtype=float))
+    weight /= np.sqrt((weight**2).sum()) + 1e-9
+    text = np.concatenate([np.asarray(idx, dtype=np.int64), WORDS + np.arange(FORMS)]), np.concatenate([weight, form])
+    return text, (np.asarray(meta, dtype=np.int64), np.ones(len(meta)))
+
+
+def rows_of(pdf: pd.DataFrame) -> list:
+    return [both_views(*x) for x in zip(pdf["idx"], pdf["cnt"], pdf["form"], pdf["meta"])]
 
 
 @dataclass
@@ -76,10 +90,10 @@ class View:
     def logit(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         return np.array([self.w[i] @ v for i, v in rows]) + self.w[-1]
 
-    def learn(self, rows, y: np.ndarray, cost: np.ndarray, rounds: int = 25, seed: int = 3) -> None:
-        """AdaGrad on the logistic loss, from zero, in one fixed order of rows a pass."""
+    def learn(self, rows, y: np.ndarray, cost: np.ndarray, rounds: int, seed: int = 3) -> None:
+        """AdaGrad on the logistic loss, from the weights it has, in one fixed order of rows a pass."""
         rng = np.random.default_rng(seed)
-        self.w = np.zeros(self.dims + 1)
+        self.w = self.w.copy()
         seen = np.full(self.dims + 1, 1e-2)
         for _ in range(rounds):
             for k in rng.permutation(len(rows)):
@@ -102,76 +116,158 @@ class Model:
     joint: np.ndarray
 
     def score(self, texts, sources, langs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = [both_views(*x) for x in zip(texts, sources, langs)]
-        a = self.text.logit([r[0] for r in rows]) * self.text_scale[0] + self.text_scale[1]
-        b = self.meta.logit([r[1] for r in rows]) * self.meta_scale[0] + self.meta_scale[1]
+        rows = [both_views(*text_features(t), meta_features(s, g)) for t, s, g in zip(texts, sources, langs)]
+        a, b = calibrated(self.text, self.meta, self.text_scale, self.meta_scale, rows)
         joint = np.stack([a, b], axis=1) @ self.joint[:2] + self.joint[2]
         return tuple(1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (a, b, joint))
 
 
-def both_views(text, source, lang):
-    idx, weight, form = text_features(text)
-    one = (np.concatenate([idx, WORDS + np.arange(FORMS)]), np.concatenate([weight, form]))
-    meta = meta_features(source, lang, len(text or ""))
-    return one, (meta, np.ones(len(meta)))
-
-
-def fit(labelled: list[tuple], labels: list[int], pool: list[tuple], rounds: int = 4, step: int = 60, seed: int = 23) -> Model:
-    """A model of (text, source, lang) rows: labelled ones with labels 0 or 1, and unlabelled ones."""
-    y = np.asarray(labels, dtype=float)
-    text, meta = View(WORDS + FORMS, np.zeros(WORDS + FORMS + 1)), View(META, np.zeros(META + 1))
-    if len(y) < 10 or y.min() == y.max():
-        share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
-        flat = np.array([0.0, np.log(share / (1 - share))])
-        return Model(text, meta, flat, flat, np.array([0.5, 0.5, 0.0]))
-    rows = [both_views(*x) for x in labelled]
-    extra = [both_views(*x) for x in pool]
-    rng = np.random.default_rng(seed)
-    held = rng.random(len(y)) < 0.3
-    for v in (0, 1):
-        own = np.flatnonzero(y == v)
-        held[own[0]], held[own[-1]] = False, True
-    base = np.flatnonzero(~held)
-    taught: dict[int, list[tuple[int, float]]] = {0: [], 1: []}
-    for round_ in range(rounds + 1):
-        for k, view in enumerate((text, meta)):
-            own = [rows[i][k] for i in base] + [extra[i][k] for i, _ in taught[k]]
-            target = np.concatenate([y[base], [t for _, t in taught[k]]])
-            cost = np.concatenate([np.ones(len(base)), np.full(len(taught[k]), 0.5)])
-            view.learn(own, target, cost)
-        if round_ == rounds or not extra:
-            break
-        for k, view in enumerate((text, meta)):  # each teaches the other
-            known = {i for i, _ in taught[1 - k]}
-            sure = view.logit([e[k] for e in extra])
-            order = [i for i in np.argsort(sure).tolist() if i not in known]
-            share = y[base].mean()
-            low, high = order[: max(1, int(step * (1 - share)))], order[-max(1, int(step * share)) :]
-            taught[1 - k] += [(i, 0.0) for i in low if sure[i] < -1] + [(i, 1.0) for i in high if sure[i] > 1]
-    test = np.flatnonzero(held)
-    a, b = (view.logit([rows[i][k] for i in test]) for k, view in enumerate((text, meta)))
-    scale_a, scale_b = logistic(a[:, None], y[test]), logistic(b[:, None], y[test])
-    both = np.stack([a * scale_a[0] + scale_a[1], b * scale_b[0] + scale_b[1]], axis=1)
-    return Model(text, meta, scale_a, scale_b, logistic(both, y[test]))
+def calibrated(text: View, meta: View, text_scale: np.ndarray, meta_scale: np.ndarray, rows: list) -> list[np.ndarray]:
+    views = (text, text_scale), (meta, meta_scale)
+    return [v.logit([r[k] for r in rows]) * scale[0] + scale[1] for k, (v, scale) in enumerate(views)]
+
+
+def fresh_views() -> tuple[View, View]:
+    return View(WORDS + FORMS, np.zeros(WORDS + FORMS + 1)), View(META, np.zeros(META + 1))
+
+
+def constant(share: float) -> Model:
+    """Without both labels every document gets the share of ones."""
+    flat = np.array([0.0, np.log(share / (1 - share))])
+    return Model(*fresh_views(), flat, flat, np.array([0.5, 0.5, 0.0]))
+
+
+def on_sample(sample: DataFrame, work: Callable[[list, np.ndarray, np.ndarray], object]):
+    """What ``work`` makes, in one task, of the bounded sample's rows, labels and parts, in order of id."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches)).sort_values("id")
+        yield pd.DataFrame({"out": [pickle.dumps(work(rows_of(pdf), pdf["y"].to_numpy(dtype=float), pdf["part"].to_numpy()))]})
+
+    return pickle.loads(sample.repartition(1).mapInPandas(run, "out binary").first().out)
+
+
+def study(weights: list[np.ndarray], passes: int) -> Callable:
+    """Both views learn the labelled rows of part 0, from the weights given."""
+
+    def work(rows, y, part):
+        views = fresh_views()
+        own = np.flatnonzero(part == 0)
+        for k, view in enumerate(views):
+            view.w = weights[k]
+            view.learn([rows[i][k] for i in own], y[own], np.ones(len(own)), passes)
+        return [v.w for v in views]
+
+    return work
+
+
+def calibrate(weights: list[np.ndarray]) -> Callable:
+    """The scales of both views by the rows of part 1, the joint model by those of part 2."""
+
+    def work(rows, y, part):
+        views = fresh_views()
+        scales = []
+        one, two = np.flatnonzero(part == 1), np.flatnonzero(part == 2)
+        for k, view in enumerate(views):
+            view.w = weights[k]
+            scales.append(logistic(view.logit([rows[i][k] for i in one])[:, None], y[one]))
+        both = np.stack(calibrated(*views, *scales, [rows[i] for i in two]), axis=1)
+        return [*scales, logistic(both, y[two])]
+
+    return work
 
 
 def train(
     docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id", source: str = "source",
-    lang: str = "lang", label: str = "quality", max_labelled: int = 3000, max_pool: int = 2000,
+    lang: str = "lang", label: str = "quality", max_labelled: int = 3000, rounds: int = 2, sure: float = 0.02,
+    shard: int = 5000,
 ) -> Model:
-    """A model fitted on at most max_labelled labelled documents (none of the held-out fifth: crc32 of the id
-    as text, modulo 5) and max_pool documents without a label, those with the smallest hashes."""
+    """A model fitted on at most max_labelled labelled documents, those with the smallest hashes, and in each
+    round on the surest unlabelled ones of the whole table: of both classes together a share ``sure``, divided
+    as the labels are, and whatever ties with them. No document of the held-out fifth (crc32 of the id as
+    text, modulo 5) teaches anything. Rows without an id are not learned from; of labelled rows that share an
+    id one counts. The driver holds two weight tables (37 kB) and thresholds."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     known = labels.select(F.col(row_id).cast("long").alias("id"), F.col(label).cast("int").alias("y"))
     known = known.filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
-    usable = known.filter("pmod(crc32(cast(id as string)), 5) <> 0")
-    chosen = usable.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    src = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("t"), F.col(source).alias("s"), F.col(lang).alias("l"))
-    rows = src.join(F.broadcast(chosen), "id").collect()
-    rows = sorted({(r.id, r.y, r.t or "", r.s or "", r.l or "") for r in rows})
-    free = src.select("id").filter("id is not null and pmod(crc32(cast(id as string)), 5) <> 0").join(known, "id", "left_anti").distinct()
-    free = free.orderBy(F.xxhash64("id"), "id").limit(max_pool)
-    pool = sorted({(r.id, r.t or "", r.s or "", r.l or "") for r in src.join(F.broadcast(free), "id").collect()})
-    return fit([r[2:] for r in rows], [r[1] for r in rows], [r[1:] for r in pool])
+    usable = "id is not null and pmod(crc32(cast(id as string)), 5) <> 0"
+    chosen = known.filter(usable).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
+
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, *text_features(t), meta_features(s, g)) for i, t, s, g in zip(pdf["id"], pdf["t"], pdf["s"], pdf["l"])]
+            yield pd.DataFrame(rows, columns=["id", "idx", "cnt", "form", "meta"])
+
+    src = docs.select(F.col(row_id).cast("long").alias("id"), blank(text).alias("t"), blank(source).alias("s"), blank(lang).alias("l"))
+    rows = common.materialise(src.filter(usable).mapInPandas(extract, f"id long, {FEATURES}"), "quality-features")
+    whole = F.min(F.struct("idx", "cnt", "form", "meta")).alias("f")
+    sample = rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(whole).select("id", "y", "f.*")
+    # Seven tenths are learned; of the rest one half sets the scales, the other the joint model.
+    place = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(20))
+    sample = common.materialise(sample.withColumn("part", F.when(place < 14, 0).when(place < 17, 1).otherwise(2)), "quality-sample")
+    sizes = {(r.part, r.y): r.n for r in sample.groupBy("part", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ones, every = sum(n for (_, y), n in sizes.items() if y), sum(sizes.values())
+    if any(not sizes.get((p, y)) for p in range(3) for y in (0, 1)):
+        return constant(float(np.clip(ones / every if every else 0.5, 1e-3, 1 - 1e-3)))
+
+    weights = on_sample(sample, study([v.w for v in fresh_views()], 25))
+    free = rows.join(known.select("id"), "id", "left_anti")
+    cuts = [sure * (1 - ones / every), 1 - sure * ones / every]
+    for _ in range(rounds):
+        weights = taught(free, weights, cuts, shard)
+        weights = on_sample(sample, study(weights, 8))
+    text_view, meta_view = fresh_views()
+    text_view.w, meta_view.w = weights
+    return Model(text_view, meta_view, *on_sample(sample, calibrate(weights)))
+
+
+def taught(free: DataFrame, weights: list[np.ndarray], cuts: list[float], shard: int) -> list[np.ndarray]:
+    """The weights of both views after each has learned what the other one is surest of among all rows."""
+
+    def logits(pdf: pd.DataFrame) -> tuple[list, list[np.ndarray]]:
+        views, rows = fresh_views(), rows_of(pdf)
+        for view, w in zip(views, weights):
+            view.w = w
+        return rows, [v.logit([r[k] for r in rows]) for k, v in enumerate(views)]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            _, (a, b) = logits(pdf)
+            yield pd.DataFrame({"a": a, "b": b})
+
+    found = free.mapInPandas(score, "a double, b double").agg(*(F.percentile_approx(c, cuts, 10_000).alias(c) for c in "ab")).first()
+    if found.a is None:
+        return weights
+    low, high = zip(*((min(q[0], -1.0), max(q[1], 1.0)) for q in (found.a, found.b)))
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows with the label that the metadata view gives the text view (to_text), and the other way round."""
+        for pdf in batches:
+            _, values = logits(pdf)
+            marks = [np.where(v <= lo, 0, np.where(v >= hi, 1, -1)) for v, lo, hi in zip(values, low, high)]
+            out = pdf.assign(to_text=marks[1], to_meta=marks[0])
+            yield out[(marks[0] >= 0) | (marks[1] >= 0)]
+
+    shape = f"id long, {FEATURES}, to_text int, to_meta int"
+    chosen = common.materialise(free.mapInPandas(pick, shape), "quality-taught")
+    shards = max(1, -(-chosen.count() // shard))
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        rows, out = rows_of(pdf), []
+        for k, (view, mark) in enumerate(zip(fresh_views(), ("to_text", "to_meta"))):
+            own = np.flatnonzero(pdf[mark].to_numpy() >= 0)
+            view.w = weights[k]
+            view.learn([rows[i][k] for i in own], pdf[mark].to_numpy(dtype=float)[own], np.full(len(own), 0.5), 2)
+            out.append(pd.DataFrame({"k": k, "i": np.arange(len(view.w)), "w": view.w * len(own), "n": len(own)}))
+        return pd.concat(out)
+
+    dealt = chosen.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    sums = dealt.groupBy("shard").applyInPandas(learn, "k int, i int, w double, n long").groupBy("k", "i").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+    new = [w.copy() for w in weights]
+    for r in sums.filter("n > 0").collect():  # a row for each weight
+        new[r.k][r.i] = r.w / r.n
+    return new
 
 
 def classify(df: DataFrame, model: Model, text: str = "text", row_id: str = "doc_id", source: str = "source", lang: str = "lang") -> DataFrame:

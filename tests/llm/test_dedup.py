@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillmill.llm import common, exact_dedup, line_dedup, simhash, suffix_dedup
 
@@ -45,8 +46,6 @@ def test_exact_groups_match_brute_force_and_keep_one_row_each(spark):
 
 
 def test_a_weak_digest_does_not_merge_different_texts(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(1, "aa"), (2, "bb"), (3, "a a"), (4, "c"), (5, "b b")], "doc_id long, text string")
     weak = exact_dedup.assign(df, digest=lambda body: F.length(body).cast("string"))
     assert {r.doc_id: (r.keep_id, r.group_size) for r in weak.collect()} == {1: (3, 2), 2: (5, 2), 3: (3, 2), 4: (4, 1), 5: (5, 2)}
@@ -206,6 +205,104 @@ def test_loser_tree_sorts_and_knows_common_prefixes():
     assert all(n == suffix_dedup.common_prefix(a, b) for n, a, b in zip(shared[1:], out, out[1:]))
 
 
+def test_simhash_of_odd_rows(spark):
+    long = "word " * 50_000 + "end"
+    rows = [(None, "a b c d e", "x"), (None, None, "x"), (1, "a b c d e", "x"), (1, "a b c d e", "x"), (2, long, "x"), (3, long + " more", None), (4, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string").withColumn("fp", F.lit("z")).withColumn("root", F.lit(1))
+    got = sorted((r.doc_id is not None, r.doc_id, r.fingerprint, r.component_id) for r in simhash.group(df).collect() if r.doc_id is not None)
+    fps = {i: brute_fingerprint(t) for i, t, _ in rows if i is not None}
+    want = brute_components(fps)
+    assert [g[1:] for g in got] == [(i, f"{fps[i]:016x}", want[i]) for i in (1, 1, 2, 3, 4)]
+    nulls = [(r.fingerprint, r.component_id) for r in simhash.group(df).collect() if r.doc_id is None]
+    assert sorted(nulls) == sorted([(f"{fps[1]:016x}", 1), ("0" * 16, 4)])
+
+
+def test_rows_that_share_an_id_are_near_copies_of_their_own(spark):
+    rng = random.Random(8)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    base, other = text(), text()
+    near = [*base[:100], "changed", *base[101:]]
+    rows = [(1, " ".join(base)), (5, " ".join(near)), (5, " ".join(other)), (7, " ".join(other)), (5, " ".join(other))]
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone_", F.lit(1)).withColumn("comp", F.lit(2)))
+    assert got.columns == ["doc_id", "text", "gone_", "comp"]
+    assert sorted((r.doc_id, r.text == rows[0][1]) for r in got.collect()) == [(1, True), (5, False), (5, False)]
+
+
+def test_near_copies_in_a_long_chain_and_their_recall(spark):
+    """Each text is a near copy of the ones before and after it, those further off are not."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    chain, docs = [word() for _ in range(300)], []
+    for i in range(60):
+        docs.append((i, " ".join(chain)))
+        chain[rng.randrange(300)] = word()
+        chain[rng.randrange(300)] = word()
+    got = simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string"), batch=7)
+    left, want = sorted(r.doc_id for r in got.collect()), brute_near(docs)
+    assert 5 < len(want) < 30 and left == want
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rows = [(1, "line one\nline two\n" * 20_000, 1, "a"), (2, "short", 2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kid int, n_removed string").withColumn("seq", F.lit(0)).withColumn("dest", F.lit(0)).withColumn("digest", F.lit(0))
+    assert sorted((tuple(r) for r in suffix_dedup.remove_repeats(df).collect())) == brute_repeats([r[:2] for r in rows])
+    got = {r.doc_id: r for r in line_dedup.remove_repeats(df, passage_words=50).collect()}
+    assert got[1].n_lines == 40_001 and got[1].n_removed > 39_900 and got[2].text == "short"
+
+
+def test_rows_that_share_an_id_are_one_document_of_lines(spark):
+    rng = random.Random(2)
+    block = "\n".join(f"line {i} of the block {rng.random()}" for i in range(10))
+    more = "\n".join(f"tail {i}" for i in range(9))
+    rows = [(1, block), (1, block), (1, block + "\n" + more), (0, "first\n" + more), (None, block), (2, "x")]
+    for passage in (None, 50):
+        got = line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), passage_words=passage)
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_rows(rows, passage)
+
+
+def brute_rows(rows, passage, window=2, every=4, longest=64):
+    """Chunks and passages over all rows in order, by a rolling hash that is computed anew for each line."""
+    mask, base = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def cut(lines):
+        h = [xxhash.xxh64_intdigest(x.encode()) for x in lines]
+        out, start = [], 0
+        for i in range(len(lines)):
+            rolled = 0
+            for x in h[max(0, i + 1 - window) : i + 1]:
+                rolled = (rolled * base + x) & mask
+            ends = i + 1 >= window and ((((rolled ^ (rolled >> 31)) * base) & mask) >> 40) % every == 0
+            if ends or i - start + 1 >= longest or i == len(lines) - 1:
+                out.append((start, i + 1))
+                start = i + 1
+        return out
+
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    seen, pairs, out = set(), {}, []
+    for place, (i, t) in enumerate(order):
+        lines, gone = t.split("\n"), set()
+        for a, b in cut(lines):
+            body = tuple(lines[a:b])
+            if b - a > 1 and body in seen:
+                gone |= set(range(a, b))
+            seen.add(body)
+        if passage is not None:
+            again, start = [], None
+            for k, pair in enumerate(zip(lines, lines[1:])):
+                first = pairs.setdefault(pair, (place, k))
+                again.append(first[0] < place or k - first[1] >= 2)
+            for k, x in enumerate([*again, False]):
+                if x and start is None:
+                    start = k
+                elif not x and start is not None:
+                    if sum(len(y.split()) for y in lines[start : k + 1]) > passage:
+                        gone |= set(range(start, k + 1))
+                    start = None
+        left = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        out.append((i, len(lines), len(gone), hashlib.sha256(left.encode()).hexdigest(), left))
+    return sorted(out, key=repr)
+
+
 def brute_lines(docs, **shape):
     first = {}
     for i, t in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import time
@@ -337,6 +338,44 @@ def test_quality_on_held_out_documents(spark):
     assert quality.classify(none, quality.train(none, spark.createDataFrame([], "doc_id long, quality int"))).count() == 0
 
 
+def test_co_training_matches_one_computed_in_one_place(spark):
+    rng = random.Random(6)
+    docs, labels = [], []
+    for i in range(500):
+        good = rng.random() < 0.6
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(10, 40))]
+        text = " ".join(words) + "." if good else " ".join(w + rng.choice(["#", "$$", ""]) for w in words)
+        docs.append((i, text, ("web" if rng.random() < 0.9 else "dump") if good else "dump", rng.choice(["en", "de"])))
+        if i % 2:
+            labels.append((i, int(good)))
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    model = quality.train(df, spark.createDataFrame(labels, "doc_id long, quality int"), sure=0.2)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    parts = {r.id: r.p for r in spark.range(500).selectExpr("id", "pmod(xxhash64(id, 5), 20) as p").collect()}
+    view = lambda d: quality.both_views(*quality.text_features(d[1]), quality.meta_features(d[2], d[3]))
+    known = dict(labels)
+    sample = [d for d in docs if d[0] in known and not held(d[0])]
+    free = [d for d in docs if d[0] not in known and not held(d[0])]
+    rows, y = [view(d) for d in sample], np.array([float(known[d[0]]) for d in sample])
+    part = np.array([0 if parts[d[0]] < 14 else 1 if parts[d[0]] < 17 else 2 for d in sample])
+    weights = quality.study([v.w for v in quality.fresh_views()], 25)(rows, y, part)
+    others, share = [view(d) for d in free], y.mean()
+    for _ in range(2):
+        views = quality.fresh_views()
+        for v, w in zip(views, weights):
+            v.w = w
+        values = [v.logit([r[k] for r in others]) for k, v in enumerate(views)]
+        at = lambda v, q: np.sort(v)[max(0, int(np.ceil(q * len(v))) - 1)]
+        marks = [np.where(v <= min(at(v, 0.2 * (1 - share)), -1), 0, np.where(v >= max(at(v, 1 - 0.2 * share), 1), 1, -1)) for v in values]
+        for k, v in enumerate(views):
+            own = np.flatnonzero(marks[1 - k] >= 0)
+            v.learn([others[i][k] for i in own], marks[1 - k][own].astype(float), np.full(len(own), 0.5), 2)
+        weights = quality.study([v.w for v in views], 8)(rows, y, part)
+    assert np.allclose(model.text.w, weights[0], atol=1e-8) and np.allclose(model.meta.w, weights[1], atol=1e-8)
+    for ours, want in zip((model.text_scale, model.meta_scale, model.joint), quality.calibrate(weights)(rows, y, part)):
+        assert np.allclose(ours, want, atol=1e-8)
+
+
 # ---- 10: decontamination
 
 
@@ -412,19 +451,76 @@ def test_no_leak_is_missed_at_any_rate_of_substitutions(spark):
 # ---- the pipeline and the contracts
 
 
-def test_pipeline_stages_keep_the_columns(spark):
+def brute_mix(docs):
+    mass = {}
+    for d in docs:
+        mass[d.source] = mass.get(d.source, 0) + len(d.text or "")
+    out = []
+    for d in docs:
+        rate = sum(mass.values()) / sum(m > 0 for m in mass.values()) / mass[d.source] if mass[d.source] else 1.0
+        u = int(hashlib.sha256(f"1:{d.doc_id}:0".encode()).hexdigest()[:12], 16) / (1 << 48)
+        k, p = 0, np.exp(-rate)
+        total = p
+        while total <= u:
+            k += 1
+            p *= rate / k
+            total += p
+        out += [(d.doc_id, r) for r in range(1, k + 1)]
+    return sorted(out)
+
+
+def test_each_stage_of_the_pipeline_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = common.table(spark, sf, "documents")
-    columns, before = docs.columns, docs.count()
+    columns, labels = docs.columns, common.table(spark, sf, "labels")
+    items = [(r.item_id, r.text) for r in common.table(spark, sf, "benchmark").collect()]
     for name, stage in corpus_pipeline.STAGES:
+        before = docs.orderBy("doc_id").collect()
         docs = common.materialise(stage(spark, docs, sf), name)
-        assert set(columns) <= set(docs.columns)
-        if name != "source_mixing":
-            assert docs.columns == columns and 0 < docs.count() <= before
-            before = docs.count()
+        after = docs.collect()
+        left = sorted(r.doc_id for r in after)
+        if name == "source_mixing":
+            assert set(columns) <= set(docs.columns) and sorted((r.doc_id, r.replica) for r in after) == brute_mix(before)
+            continue
+        assert docs.columns == columns and 0 < len(left) == len(set(left))
+        if name == "toxicity":
+            model = toxicity.train(common.table(spark, sf, "documents"), labels)
+            scores = model.score([r.text for r in before])
+            assert left == sorted(r.doc_id for r, x in zip(before, scores) if not r.text or x < 0.5)
+        elif name == "exact_dedup":
+            best = {}
+            for r in before:
+                key = re.sub(r"[\x20\x09-\x0D]", "", r.text or "")
+                best[key] = min(best.get(key, (1, 0)), (-len(r.text or ""), r.doc_id))
+            assert left == sorted(i for _, i in best.values())
+        elif name == "simhash_near_dedup":
+            kept, stay = [], []
+            for r in before:
+                w = (r.text or "").encode().lower().split()
+                own = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+                if not any(len(own & x) >= 0.8 * len(own | x) for x in kept):
+                    kept.append(own)
+                    stay.append(r.doc_id)
+            assert left == stay
+        else:
+            gone = {d for d, *_ in every_leak([(r.doc_id, re.sub(r"[^\w]|_", " ", r.text or "")) for r in before], items)}
+            assert set(left) == {r.doc_id for r in before} - gone
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "benchmark_decontamination", "source_mixing"]
 
 
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, and an empty table."""
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, None, "en", "a", None), (3, "word " * 60_000, None, None, 1), (3, "word " * 60_000, None, None, 1)]
+    rows += [(4, "some other text of this row", "en", "b", 2), (4, "and another one of the same id", "en", "b", 3), (None, "text without an id", None, "b", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for table_, least in ((docs, 3), (docs.limit(0), 0)):
+        out = table_
+        for name, stage in corpus_pipeline.STAGES:
+            out = common.materialise(stage(spark, out, "/root/testdata/sf0.001"), name)
+            if name != "source_mixing":
+                assert out.columns == docs.columns and out.count() >= least
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_their_sql(spark, name):
     import duckdb

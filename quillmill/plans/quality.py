@@ -226,10 +226,14 @@ LATEX = [(1, "a \\(x\\) b \\[y\nz\\] c"), (2, "no math"), (3, "\\(a\\)\\(b\\)"),
 
 
 @query(
-    f"SELECT id::BIGINT AS id, regexp_replace(regexp_replace(t, '(?s)\\\\\\[(.*?)\\\\\\]', '$$\\1$$', 'g'), '(?s)\\\\\\((.*?)\\\\\\)', '$\\1$', 'g') AS text FROM ({values(LATEX)}) x(id, t)"
+    f"WITH x(id, t) AS (SELECT * FROM ({values(LATEX)}) UNION ALL SELECT -1 - doc_id, '\\(' || text || '\\) \\[' || source || chr(10) || '\\]' FROM documents) "
+    f"SELECT id::BIGINT AS id, regexp_replace(regexp_replace(t, '(?s)\\\\\\[(.*?)\\\\\\]', '$$\\1$$', 'g'), '(?s)\\\\\\((.*?)\\\\\\)', '$\\1$', 'g') AS text FROM x"
 )
 def latex_delims(spark, sf):
-    return literal(spark, LATEX, "id long, t string").select("id", tx.latex_delimiters(F.col("t")).alias("text"))
+    marked = F.concat(F.lit("\\("), "text", F.lit("\\) \\["), "source", F.lit("\n\\]"))
+    derived = table(spark, sf, "documents").select((-1 - F.col("doc_id")).alias("id"), marked.alias("t"))
+    rows = literal(spark, LATEX, "id long, t string").unionByName(derived)
+    return rows.select("id", tx.latex_delimiters(F.col("t")).alias("text"))
 
 
 SOURCES = [(1, "CSE 416\\Class14\\14.pdf", "CSE 416", 0, 0), (2, "CSE 416/x.pdf", "CSE 416", 3, 5), (3, "", "BIO", None, None), (4, None, None, None, None), (5, "a/b/c/d.py", "", 1, 1), (6, "e.py", "", None, None)]

@@ -1,7 +1,8 @@
 """The corpus pipeline: five filters and operators in a row over the documents table.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
-the next stage's docs. All stages but the last return the columns they got.
+the next stage's docs. All stages but the last return the columns they got, under any names besides doc_id,
+text and source. Empty tables give empty results, and texts are read whole whatever their length.
 """
 
 from __future__ import annotations
@@ -12,22 +13,27 @@ from quillmill.llm import common, decontaminate, exact_dedup, mixing, simhash, t
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the string-kernel machine rejects go."""
+    """Documents that the string-kernel machine rejects go. Null and empty texts stay; rows that share an id or
+    a text are judged one by one and alike; a null id changes nothing."""
     return toxicity.drop_toxic(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for white space the longest stays."""
+    """Of texts equal but for white space the longest stays, of those the one with the smallest id. Null, empty
+    and blank texts are one group; a row without an id stays only where no row with one is as long; of rows that
+    repeat id and text one stays."""
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that share four fifths of their five-word shingles the first stays."""
+    """Of texts that share four fifths of their five-word shingles the first by id stays. Null and empty texts
+    and rows without an id stay; rows that share an id and differ in text are documents of their own."""
     return simhash.drop_near_copies(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
+    """Documents that overlap with a benchmark item go, and with them all rows of their id (null is one id).
+    Null and empty texts stay; null, empty and very short items match nothing."""
     return decontaminate.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 

@@ -46,7 +46,7 @@ def assign(
 
     # 1 and 2: min and count have fixed-width buffers, so both sides of the exchange are hash aggregates.
     salted = (
-        src.withColumn("salt", F.pmod(F.coalesce(F.xxhash64("id"), F.lit(0)) + F.when(F.col("id").isNull(), F.spark_partition_id()).otherwise(0), F.lit(salts)).cast("int"))
+        src.withColumn("salt", F.pmod(F.when(F.col("id").isNull(), F.spark_partition_id()).otherwise(F.xxhash64("id")), F.lit(salts)).cast("int"))
         .groupBy("digest", "salt", "body", "n")
         .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"))
     )
@@ -75,9 +75,9 @@ def assign(
         found = found.unionByName(
             theirs.join(texts.join(clashing, "digest", "left_semi"), ["digest", "body"]).drop("body")
         )
-    # An exchange of ids and digests by id keeps the join above free to split a hot digest.
+    # An exchange of ids and digests keeps the join above free to split a hot digest; rows without an id spread.
     first = Window.partitionBy("id", "digest", "keep_id").orderBy(F.desc("n"))
-    ranked = found.repartition(common.partitions(df), "id").withColumn("nth", F.row_number().over(first))
+    ranked = found.repartition(common.partitions(df), "id", "digest").withColumn("nth", F.row_number().over(first))
     return ranked.select(
         F.col("id").alias(row_id),
         "keep_id",
@@ -97,8 +97,8 @@ def keep_first(df: DataFrame, text: str = "text", row_id: str = "doc_id", **opti
     stay = stay.select(F.coalesce(row_id, null_id).alias(kept), F.col("text_sha256").alias(left))
     keyed = df.withColumn(key, F.coalesce(F.col(row_id).cast("long"), null_id))
     keyed = keyed.withColumn(same, digest(normalise(F.coalesce(F.col(text), F.lit("")))))
-    # One exchange of the rows serves the window and the join.
+    # One exchange of the rows, by id and digest, serves the window and the join: rows without an id spread.
     window = Window.partitionBy(key, same).orderBy(F.desc(F.length(F.col(text))))
-    ranked = keyed.repartition(common.partitions(df), key).withColumn(nth, F.row_number().over(window))
-    hit = ranked.filter(F.col(nth) == 1).join(stay, F.col(key) == F.col(kept))
-    return hit.filter(F.col(same) == F.col(left)).select(df.columns)
+    ranked = keyed.repartition(common.partitions(df), key, same).withColumn(nth, F.row_number().over(window))
+    hit = ranked.filter(F.col(nth) == 1).join(stay, (F.col(key) == F.col(kept)) & (F.col(same) == F.col(left)))
+    return hit.select(df.columns)

@@ -33,14 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/quillmill/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the lineage, and a lost
     executor costs no recomputation of what stands before."""
-    path = f"{shared_dir(df.sparkSession)}/quillmill/{label}-{uuid.uuid4().hex}"
+    path = path or new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a table of new_path() that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that do not clash with those of df."""
     taken = {c.lower() for c in df.columns}

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, line_dedup, mixing, pii, quality, simhash, suffix_dedup, toxicity
+from . import clustering, conversations, decontaminate, exact_dedup, html_extract, line_dedup, mixing, pii, quality, secrets, simhash, suffix_dedup, toxicity
 from .common import table
+from .oracles import clustering_sql, conversations_sql
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +53,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.summaries(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.described(*clustering.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_html_extraction": op2_html_extraction,
@@ -63,6 +76,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_clustering": op12_clustering,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLES = {
@@ -161,4 +177,6 @@ ORACLES = {
         FROM scored WHERE CASE WHEN n < 10 THEN equal = n ELSE best >= 12 OR equal * 10 >= n * 9 END
         GROUP BY doc_id, item_id, n
     """,
+    "op11_conversation_repair": conversations_sql(),
+    "op12_clustering": clustering_sql(),
 }

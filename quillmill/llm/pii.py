@@ -83,6 +83,8 @@ EVERY = f"{PATTERNS['email']}|{START}(?:{_OTHERS}){END}"
 #: A text that has neither of these has no mention: cheap to tell.
 HINTS = ("[0-9@]", START + "(?:" + "|".join([*(_given(s) for s in FAMILIES), f"(?:{'|'.join(TITLES)})\\.?"]) + ")[ \u00a0]")
 DIGIT_TYPES = ("ssn", "card", "phone")
+#: Draws of an entity before its kind counts as crowded.
+DRAWS = 8
 
 
 def kind(mention: Column) -> Column:
@@ -165,6 +167,9 @@ def surrogate(key: str, type_: Column, entity: Column, attempt: Column) -> Colum
     )
     at = F.length(entity) - F.length(F.substring_index(entity, ".", -1))
     email = F.concat(F.substr(drawn, F.lit(1), at), F.substring_index(entity, ".", -1))
+    # An address without a letter or digit to replace, or of a crowded kind, is drawn longer and longer.
+    alone = ~F.substr(entity, F.lit(1), at).rlike(r"[0-9\p{L}]") | (attempt >= DRAWS)
+    email = F.when(alone, F.concat(F.substr(noise, F.lit(1), F.least(attempt, F.lit(40)) + 4), email)).otherwise(email)
     iban_body = F.concat(F.substr(entity, F.lit(1), F.lit(2)), F.lit("00"), F.substr(drawn, F.lit(5), n - 4))
     iban = F.concat(F.substr(entity, F.lit(1), F.lit(2)), F.lpad((98 - _mod97(iban_body)).cast("string"), 2, "0"), F.substr(iban_body, F.lit(5), n - 4))
     out = (
@@ -266,10 +271,11 @@ def exchanged(left: DataFrame, key: str, most: int = 5000) -> DataFrame:
     return dealt.withColumn("new", taken).filter("new <> entity").select("type", "entity", "new")
 
 
-def mapping(entities: DataFrame, key: str, draws: int = 8, rounds: int = 40) -> DataFrame:
+def mapping(entities: DataFrame, key: str, draws: int = DRAWS, rounds: int = 40) -> DataFrame:
     """(type, entity, new) for distinct (type, entity): new is unique within its type and not the entity itself.
     Up to ``draws`` times it is drawn so that it is no real entity either; numbers and addresses that found none
-    exchange their values, names go on with longer ones."""
+    exchange their values, names and addresses go on with longer ones. What is left after all ``rounds`` takes
+    letters and digits of a keyed digest, so no entity stops a job."""
     entities = common.materialise(entities.distinct(), "pii-entities")
     open_ = entities.withColumn("attempt", F.lit(0))
     done = None
@@ -298,7 +304,9 @@ def mapping(entities: DataFrame, key: str, draws: int = 8, rounds: int = 40) ->
             open_ = common.materialise(open_.join(swapped.select("type", "entity"), ["type", "entity"], "left_anti"), "pii-open")
             if not open_.limit(1).count():
                 return done
-    raise RuntimeError("an entity is the only one of a kind that has no other values")
+    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), "type", "entity"), 256)
+    last = F.substr(digest, F.lit(1), F.greatest(F.length("entity"), F.lit(24)))
+    return done.unionByName(open_.select("type", "entity", last.alias("new")))
 
 
 def _people(put: Column) -> Column:
@@ -327,7 +335,8 @@ def replace(df: DataFrame, key: str, text: str = "text", row_id: str = "doc_id")
 
     Null and empty texts stay as they are with 0 mentions; so do texts without mentions. Rows with a null id
     and rows that repeat an id or a text are replaced like any other, equal mentions alike. An empty table
-    gives an empty result. If df has a column mentions, the new one gets a leading underscore."""
+    gives an empty result. A mention without a letter or digit to replace (an address of signs alone) gets a
+    longer surrogate. If df has a column mentions, the new one gets a leading underscore."""
     (mentions,) = common.fresh(df, "mentions")
     row, link, put, people = common.fresh(df, "pii_row_", "pii_link_", "pii_put_", "pii_people_")
     body = F.coalesce(F.col(text), F.lit(""))

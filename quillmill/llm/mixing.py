@@ -29,6 +29,11 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
+def drawn_by(row_id: str, text: str) -> Column:
+    """What a row's numbers are drawn by: its id, or without one a digest of its text."""
+    return F.coalesce(F.col(row_id).cast("string"), F.concat(F.lit("null-"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+
+
 def distribution(rate: Column) -> Column:
     """P(k <= j) for j = 0, 1, ... up to TERMS, by the recurrence p(j) = p(j - 1) rate / j."""
     first = F.exp(-rate)
@@ -77,10 +82,12 @@ def mix(
 
     ``weights``: the sources' shares of the mix, by name (equal by default); ``total``: the characters that
     the mix should have (by default those of df). Rows with a null source form a source of their own, with
-    weight 1 unless a weights table names null. Rows with equal ids are repeated equally often. Texts that
+    weight 1 unless a weights table names null. Rows with equal ids are repeated equally often; rows without an id
+    draw by their text, so equal texts are repeated equally often and different ones independently. Texts that
     are null or empty weigh nothing and follow their source's rate. An empty table gives an empty result. If
     df has columns named like the two new ones, those get a leading underscore."""
-    src, parts, cdf, rate, times, salt = common.fresh(df, "mix_src_", "mix_parts_", "mix_cdf_", "mix_rate_", "mix_times_", "mix_salt_")
+    src, parts, cdf, rate, times = common.fresh(df, "mix_src_", "mix_parts_", "mix_cdf_", "mix_rate_", "mix_times_")
+    salt, salt_of_rate = common.fresh(df, "mix_salt_", "salt_of_rate_")
     replica, key = common.fresh(df, "replica", "mix_key")
     found = common.materialise(rates(df, source, text, weights, total), "mix-rates").toDF(src, rate, parts, cdf)
     same = df[source].eqNullSafe(F.col(src))
@@ -88,14 +95,14 @@ def mix(
         rows = df.join(F.broadcast(found), same)
     else:  # a source may hold a third of all rows: its rows meet its rate in so many parts
         salted = df.withColumn(salt, F.pmod(F.xxhash64(row_id, text), F.lit(SALTS)).cast("int"))
-        copies = found.withColumn("salt_of_rate_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = salted.join(copies, same & (F.col(salt) == F.col("salt_of_rate_"))).drop(salt, "salt_of_rate_")
+        copies = found.withColumn(salt_of_rate, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = salted.join(copies, same & (F.col(salt) == F.col(salt_of_rate))).drop(salt, salt_of_rate)
     # One digest for each part: drawn outside the scan of the distribution, which would repeat it for each term.
-    draws = F.transform(F.sequence(F.lit(0), F.col(parts) - 1), lambda i: uniform(F.lit(seed), F.col(row_id), i))
+    draws = F.transform(F.sequence(F.lit(0), F.col(parts) - 1), lambda i: uniform(F.lit(seed), drawn_by(row_id, text), i))
     draw = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col(cdf), lambda c: c <= u)))
     # Not filtered by the number of times, which the optimiser would work out again in the join; null explodes to nothing.
     rows = rows.withColumn(times, draw)
     several = F.when(F.col(times) > 0, F.sequence(F.lit(1), F.col(times)))
     rows = rows.withColumn(replica, F.explode(several)).select(*df.columns, replica)
-    rows = rows.withColumn(key, uniform(F.lit(f"{seed}-order"), F.col(row_id), F.col(replica)))
+    rows = rows.withColumn(key, uniform(F.lit(f"{seed}-order"), drawn_by(row_id, text), F.col(replica)))
     return rows.repartition(key).sortWithinPartitions(key)

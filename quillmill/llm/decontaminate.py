@@ -66,24 +66,10 @@ def _along(words: Column, item: Column, shift: Column) -> Column:
     return F.aggregate(F.sequence(low, high), start, step)
 
 
-def overlaps(
-    docs: DataFrame,
-    items: DataFrame,
-    text: str = "text",
-    row_id: str = "doc_id",
-    item_text: str = "text",
-    item_id: str = "item_id",
-    min_score: int = 12,
-    min_tokens: int = 5,
+def leaks(
+    docs: DataFrame, items: DataFrame, text: str, row_id: str, item_text: str, item_id: str, min_score: int, min_tokens: int
 ) -> DataFrame:
-    """(id, item id, item_tokens, overlap): a row for each pair of a document and an item that leaked into it;
-    overlap is the score of the best stretch.
-
-    An item of ten or more tokens leaked if a stretch scores ``min_score`` (nine at least, for the masks to see
-    all) or if nine tenths of its tokens are equal along one alignment; a shorter one if all of it stands in
-    the document. Items of fewer than ``min_tokens`` tokens say too little and are left out. Null and empty
-    texts overlap with nothing; rows with a null id are reported under null. Rows that repeat an id give one
-    pair, as do rows that repeat an item. Further columns are not looked at. Empty tables give an empty result."""
+    """(key, id, item, item_tokens, overlap) of overlaps(), for each alignment; key tells rows apart by id and text."""
     if min_score < WEIGHT:
         raise ValueError(f"the masks see every stretch of a score of {WEIGHT} or more")
     bench = items.select(F.col(item_id).alias("item"), tokens(F.col(item_text)).alias("item_words"))
@@ -109,7 +95,7 @@ def overlaps(
     grams = windows.select("g").distinct()
 
     words = docs.select(
-        common.order_id(text, row_id).alias("key"),
+        F.struct(common.order_id(text, row_id).alias("row"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("body")).alias("key"),
         F.col(row_id).cast("long").alias("id"),
         F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SPLIT).alias("words"),
     )
@@ -144,16 +130,50 @@ def overlaps(
         some = hashed.select("key", "at", "h", F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int").alias("salt"))
         pairs = some.join(salted, ["h", "salt"]).select("key", "item", (F.col("at") - F.col("item_at")).alias("at")).distinct()
         hits = pairs.withColumn("item_at", F.lit(0)).join(bench.drop("item_hashes"), "item").join(words.drop("hashes"), "key")
-    scored = hits.select("id", "item", n.alias("item_tokens"), _along(F.col("words"), F.col("item_words"), F.col("at") - F.col("item_at")).alias("a"))
+    scored = hits.select("key", "id", "item", n.alias("item_tokens"), _along(F.col("words"), F.col("item_words"), F.col("at") - F.col("item_at")).alias("a"))
     size, best, equal = F.col("item_tokens"), F.col("a.best"), F.col("a.equal")
     leaked = F.when(size < MASKED, equal == size).otherwise((best >= min_score) | (equal * 10 >= size * 9))
-    most = scored.filter(leaked).groupBy("id", "item", "item_tokens").agg(F.max("a.best").alias("overlap"))
+    return scored.filter(leaked).select("key", "id", "item", "item_tokens", F.col("a.best").alias("overlap"))
+
+
+def overlaps(
+    docs: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    row_id: str = "doc_id",
+    item_text: str = "text",
+    item_id: str = "item_id",
+    min_score: int = 12,
+    min_tokens: int = 5,
+) -> DataFrame:
+    """(id, item id, item_tokens, overlap): a row for each pair of a document and an item that leaked into it;
+    overlap is the score of the best stretch.
+
+    An item of ten or more tokens leaked if a stretch scores ``min_score`` (nine at least, for the masks to see
+    all) or if nine tenths of its tokens are equal along one alignment; a shorter one if all of it stands in
+    the document. Items of fewer than ``min_tokens`` tokens say too little and are left out; with 1 every item
+    is looked for. Null and empty texts overlap with nothing; rows with a null id are reported under null. Rows
+    that repeat an id give one pair, as do rows that repeat an item. Further columns are not looked at. Empty
+    tables give an empty result."""
+    found = leaks(docs, items, text, row_id, item_text, item_id, min_score, min_tokens)
+    most = found.groupBy("id", "item", "item_tokens").agg(F.max("overlap").alias("overlap"))
     return most.select(F.col("id").alias(row_id), F.col("item").alias(item_id), "item_tokens", "overlap")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", row_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, all columns, without those that overlap with an item; cases as in overlaps(). Rows
-    with a null id go if one of them overlaps."""
-    (gone,) = common.fresh(docs, "gone_")
-    found = overlaps(docs, items, text, row_id, **options).select(F.col(row_id).alias(gone)).distinct()
-    return docs.join(found, docs[row_id].cast("long").eqNullSafe(F.col(gone)), "left_anti").select(docs.columns)
+def drop_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    row_id: str = "doc_id",
+    item_text: str = "text",
+    item_id: str = "item_id",
+    min_score: int = 12,
+    min_tokens: int = 5,
+) -> DataFrame:
+    """The rows of docs, all columns, without those that overlap with an item; cases as in overlaps(). Each row is
+    judged by its own text: rows without an id, or that share one, go only if they overlap themselves."""
+    gone, body = common.fresh(docs, "gone_", "gone_body_")
+    found = leaks(docs, items, text, row_id, item_text, item_id, min_score, min_tokens)
+    found = found.select(F.col("key.row").alias(gone), F.col("key.body").alias(body)).distinct()
+    same = (common.order_id(text, row_id) == F.col(gone)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(body))
+    return docs.join(found, same, "left_anti").select(docs.columns)

@@ -333,8 +333,8 @@ def labelled_sample(
     docs: DataFrame, labels: DataFrame, text: str, row_id: str, label: str, max_positive: int, max_negative: int, max_chars: int
 ) -> DataFrame:
     """(id, y, h, t): at most max_positive and max_negative labelled texts, those whose ids have the smallest
-    hashes, and of each label no more than max_chars characters together. Of rows that share an id the
-    smallest text counts."""
+    hashes, and of each label no more than max_chars characters together: where they have more, the longest texts
+    are left out, so one long text takes no other's place. Of rows that share an id the smallest text counts."""
     known = labels.select(F.col(row_id).cast("long").alias("id"), F.col(label).cast("int").alias("y"))
     known = known.filter("id is not null and y in (0, 1) and pmod(crc32(cast(id as string)), 5) <> 0")
     known = known.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id"))
@@ -342,7 +342,7 @@ def labelled_sample(
     ids = take(1, max_positive).unionByName(take(0, max_negative))
     texts = docs.select(F.col(row_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = texts.join(F.broadcast(ids), "id").groupBy("id", "y", "h").agg(F.min("t").alias("t"))
-    upto = Window.partitionBy("y").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("y").orderBy(F.length("t"), "h", "id").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("chars", F.sum(F.length("t")).over(upto)).filter(F.col("chars") <= max_chars).drop("chars")
 
 
@@ -358,7 +358,7 @@ def train(
     **options,
 ) -> Model:
     """A model fitted on at most max_positive and max_negative labelled documents, taken whole, of at most
-    max_chars characters a label, whose id does not fall in the held-out fifth (crc32 of the id as text,
+    max_chars characters a label (the longest are left out beyond it), whose id does not fall in the held-out fifth (crc32 of the id as text,
     modulo 5). The fit runs in one task of an executor; the driver gets the weight table alone (5 MB)."""
     sample = labelled_sample(docs, labels, text, row_id, label, max_positive, max_negative, max_chars)
 

@@ -462,15 +462,19 @@ def brute_mix(docs):
     out = []
     for d in docs:
         rate = sum(mass.values()) / sum(m > 0 for m in mass.values()) / mass[d.source] if mass[d.source] else 1.0
-        u = int(hashlib.sha256(f"1:{d.doc_id}:0".encode()).hexdigest()[:12], 16) / (1 << 48)
-        k, p = 0, np.exp(-rate)
-        total = p
-        while total <= u:
-            k += 1
-            p *= rate / k
-            total += p
+        who = d.doc_id if d.doc_id is not None else "null-" + hashlib.sha256((d.text or "").encode()).hexdigest()
+        parts, k = max(1, int(np.ceil(rate / 64))), 0
+        for part in range(parts):  # a large rate is the sum of numbers of small ones
+            u = int(hashlib.sha256(f"1:{who}:{part}".encode()).hexdigest()[:12], 16) / (1 << 48)
+            p = np.exp(-rate / parts)
+            total, j = p, 0
+            while total <= u:
+                j += 1
+                p *= rate / parts / j
+                total += p
+            k += j
         out += [(d.doc_id, r) for r in range(1, k + 1)]
-    return sorted(out)
+    return sorted(out, key=repr)
 
 
 def test_each_stage_of_the_pipeline_against_brute_force(spark):
@@ -484,7 +488,7 @@ def test_each_stage_of_the_pipeline_against_brute_force(spark):
         after = docs.collect()
         left = sorted(r.doc_id for r in after)
         if name == "source_mixing":
-            assert set(columns) <= set(docs.columns) and sorted((r.doc_id, r.replica) for r in after) == brute_mix(before)
+            assert set(columns) <= set(docs.columns) and sorted(((r.doc_id, r.replica) for r in after), key=repr) == brute_mix(before)
             continue
         assert docs.columns == columns and 0 < len(left) == len(set(left))
         if name == "toxicity":
@@ -512,17 +516,76 @@ def test_each_stage_of_the_pipeline_against_brute_force(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "benchmark_decontamination", "source_mixing"]
 
 
+ODD_ROWS = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, None, "en", "a", None), (3, "word " * 60_000, None, None, 1), (3, "word " * 60_000, None, None, 1)]
+ODD_ROWS += [(4, "some other text of this row", "en", "b", 2), (4, "and another one of the same id", "en", "b", 3), (None, "text without an id", None, "b", 4)]
+ODD_ROWS += [(None, f"a text of its own, number {i}, and no id", "en", "b", 5) for i in range(30)]
+
+
 def test_stages_on_odd_rows(spark):
-    """Nulls in every column, empty and very long texts, repeated rows and ids, and an empty table."""
-    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, None, "en", "a", None), (3, "word " * 60_000, None, None, 1), (3, "word " * 60_000, None, None, 1)]
-    rows += [(4, "some other text of this row", "en", "b", 2), (4, "and another one of the same id", "en", "b", 3), (None, "text without an id", None, "b", 4)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for table_, least in ((docs, 3), (docs.limit(0), 0)):
-        out = table_
-        for name, stage in corpus_pipeline.STAGES:
-            out = common.materialise(stage(spark, out, "/root/testdata/sf0.001"), name)
-            if name != "source_mixing":
-                assert out.columns == docs.columns and out.count() >= least
+    """Nulls in every column, empty and very long texts, repeated rows and ids, and an empty table: exact rows."""
+    sf, schema = "/root/testdata/sf0.001", "doc_id long, text string, lang string, source string, n_chars long"
+    leaked = common.table(spark, sf, "benchmark").first().text
+    docs = spark.createDataFrame([*ODD_ROWS, (None, f"see: {leaked}", "en", "b", 6), (4, f"again: {leaked}", "en", "b", 7)], schema)
+    shape = lambda rows: sorted(((r.doc_id, r.text) for r in rows), key=repr)
+    out = docs
+    for name, stage in corpus_pipeline.STAGES:
+        before = out.collect()
+        out = common.materialise(stage(spark, out, sf), name)
+        after = out.collect()
+        if name == "source_mixing":
+            assert sorted(((r.doc_id, r.replica) for r in after), key=repr) == brute_mix(before)
+            continue
+        assert out.columns == docs.columns
+        if name == "exact_dedup":  # of the three blank rows that with the smallest id, and one of the repeated long ones
+            assert shape(after) == shape(r for r in {(r.doc_id, r.text): r for r in before}.values() if r.text or r.doc_id == 1)
+        elif name == "benchmark_decontamination":
+            assert shape(after) == shape(r for r in before if leaked not in (r.text or "")) and len(before) - len(after) == 2
+        elif name == "simhash_near_dedup":
+            kept = []
+            for r in sorted(before, key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
+                w = (r.text or "").lower().split()
+                own = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+                if r.doc_id is None or not r.text or not any(len(own & x) >= 0.8 * len(own | x) for i, x in kept if i is not None):
+                    kept.append((r.doc_id, own))
+            assert len(after) == len(kept)
+    out = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.materialise(stage(spark, out, sf), name)
+        assert out.count() == 0
+
+
+def test_rows_without_an_id_draw_by_their_text(spark, monkeypatch):
+    """200 texts without ids are neither lost nor multiplied together, with rates broadcast or not; clashing columns."""
+    rows = [(None, f"text {i}", "a") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as salt_of_rate_", "2 as mix_salt_")
+    found = {}
+    for bound in (5_000, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", bound)
+        found[bound] = sorted((r.text, r.replica, r.salt_of_rate_) for r in mixing.mix(docs).collect())
+    assert found[0] == found[5_000] and 150 < len(found[0]) < 250
+    assert 90 < len({t for t, *_ in found[0]}) < 160
+
+
+def test_short_items_are_found_if_asked_for(spark):
+    docs = spark.createDataFrame([(1, "we saw one two three four there"), (2, "one two four three"), (3, "one"), (4, "a lone ZEBRA"), (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "One, two three four"), (8, "zebra"), (9, ""), (10, None)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, items, min_tokens=1).collect()) == [(1, 7), (4, 8)]
+    assert decontaminate.overlaps(docs, items).collect() == []
+
+
+def test_one_long_text_takes_no_other_place_in_the_sample(spark):
+    rows = [(i, "w " * (40_000 if i == 3 else 5)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    every = {r.id for r in toxicity.labelled_sample(docs, labels, "text", "doc_id", "toxic", 100, 100, 10**9).collect()}
+    some = {r.id for r in toxicity.labelled_sample(docs, labels, "text", "doc_id", "toxic", 100, 100, 10_000).collect()}
+    assert 3 in every and some == every - {3}
+
+
+def test_addresses_of_signs_alone_get_longer_surrogates(spark):
+    first, second, third = replaced(spark, "so _@...hello there", "and %@-.hello too", "so _@...hello there")
+    assert first == third and first != "so _@...hello there" and first.startswith("so ") and first.endswith("_@...hello there")
+    assert second.endswith("%@-.hello too") and len(second) > len("and %@-.hello too")
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -530,7 +593,7 @@ def test_queries_match_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in "documents pages benchmark labels".split():
+    for t in "documents pages benchmark labels conversations embeddings".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     want = con.execute(queries.ORACLES[name])

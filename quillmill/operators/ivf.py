@@ -134,7 +134,7 @@ def candidates(spark: SparkSession, path: str, asked: list, probe: int, shortlis
     return found.withColumn("place_", F.row_number().over(first)).filter(F.col("place_") <= shortlist).drop("place_")
 
 
-def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, probe: int = 24, shortlist: int = 400) -> DataFrame:
+def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, probe: int = 36, shortlist: int = 200) -> DataFrame:
     """(qid, id, distance, rank): the ``k`` nearest of (qid, vector) by exact distance among each query's shortlist, ties
     in order of id. With all cells probed and a shortlist of all rows it is exact. Queries travel BLOCK_QUERIES at a
     time; queries without a vector find nothing."""

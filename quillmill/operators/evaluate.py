@@ -126,9 +126,11 @@ def histogram_text(df: DataFrame, group: str, kind: str) -> DataFrame:
 
 
 def keep_first(df: DataFrame, content: str, by: list[str], order: str) -> DataFrame:
-    """Of rows with equal content (by SHA-256) within ``by`` the first in order. A row at a time is compared,
-    so copies merge before the exchange."""
-    digest = F.sha2(F.col(content), 256)
-    whole = F.min_by(F.struct(*df.columns), F.col(order)).alias("row_")
-    grouped = df.withColumn("sha_", digest).groupBy(*by, "sha_").agg(whole)
-    return grouped.select("row_.*", F.col("sha_").alias("sha256"))
+    """Of rows with equal content (by SHA-256) within ``by`` the first in order, which has to tell rows of one digest
+    apart. Only the order's values are aggregated; whole rows are joined back by digest and value."""
+    rows = df.withColumn("sha_", F.sha2(F.col(content), 256))
+    first = rows.groupBy(*by, "sha_").agg(F.min(order).alias("first_"))
+    same = rows[order].eqNullSafe(first["first_"])
+    for c in (*by, "sha_"):
+        same = same & rows[c].eqNullSafe(first[c])
+    return rows.join(first, same, "left_semi").withColumnRenamed("sha_", "sha256")

@@ -21,7 +21,12 @@ def range_of(df: DataFrame, names: list[str]) -> Column:
     schema = df.select(*names).schema
     own = F.struct(*names)
     literal = F.array(*(F.struct(*(F.lit(v).cast(schema[n].dataType).alias(n) for n, v in zip(names, b))) for b in borders)) if borders else None
-    return F.lit(0) if literal is None else F.size(F.filter(literal, lambda b: b <= own))
+    if literal is None:
+        return F.lit(0)
+    # A binary search in steps of falling powers of two: as many borders are not above the row as the steps add up to.
+    steps = F.array(*(F.lit(1 << i) for i in range(len(borders).bit_length() - 1, -1, -1)))
+    fits = lambda at, step: F.coalesce(F.get(literal, at + step - 1) <= own, F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
 
 
 def dense(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, producers
+from ..operators import bm25, evaluate, fusion, producers
 from . import retrieval
 from .registry import literal, query, table
 
@@ -43,22 +43,28 @@ def eval_grouping_sets(spark, sf):
     return out.withColumns(rounded)
 
 
-HITS_SQL = f"""WITH {retrieval.INDEX_SQL}, {retrieval.SCORE_SQL}, {retrieval.TARGET_SQL},
-    h AS (SELECT t.qid, coalesce(r.rank <= 1, false) AS b, coalesce(r.rank <= 5, false) AS x, t.qid % 2 = 0 AS y FROM targets t LEFT JOIN ranked r ON r.qid = t.qid AND r.id = t.target)"""
+#: Three runs of each question with a target: its words, with the entity arm fused in, and rewritten by feedback.
+HITS_SQL = f"""WITH {retrieval.INDEX_SQL}, {retrieval.SCORE_SQL}, {retrieval.TARGET_SQL}, {retrieval.ENTITY_SQL}, {retrieval.FEEDBACK_SQL},
+    both_arms AS (SELECT qid, id, 1e0 / (60 + rank) AS part, rank AS place FROM ranked WHERE rank <= 10
+                  UNION ALL SELECT qid, id, 15e-1 / (60 + rank), 1000000 + rank FROM er WHERE rank <= 10 AND score > 0),
+    armed AS (SELECT qid, id, sum(part) AS score, min(place) AS place FROM both_arms GROUP BY ALL),
+    mixed AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, place) AS rank FROM armed),
+    h AS (SELECT t.qid, coalesce(r.rank <= 5, false) AS b, coalesce(m.rank <= 5, false) AS x, coalesce(a.rank <= 5, false) AS y
+          FROM targets t LEFT JOIN ranked r ON r.qid = t.qid AND r.id = t.target LEFT JOIN mixed m ON m.qid = t.qid AND m.id = t.target
+          LEFT JOIN again a ON a.qid = t.qid AND a.id = t.target)"""
 
 
 def _hits(spark, sf):
-    from ..operators import fusion
-
     sparse, targets = retrieval._sparse(spark, sf), retrieval._targets(spark, sf)
-    one, five = (fusion.target_hits(sparse, targets, k).select("qid", "hit") for k in (1, 5))
-    return one, five, targets.select("qid", (F.col("qid") % 2 == 0).alias("hit"))
+    arm = bm25.retrieve_entities(retrieval._index(spark, sf), retrieval._entities(spark, sf), retrieval.K)
+    mixed = fusion.fuse([(sparse, 1.0), (arm, fusion.ENTITY_WEIGHT)])
+    return tuple(fusion.target_hits(run, targets).select("qid", "hit") for run in (sparse, mixed, retrieval._feedback(spark, sf)))
 
 
-@query(f"{HITS_SQL} SELECT b AS hit_before, x AS hit_after, count(*) AS n FROM h GROUP BY ALL")
+@query(f"{HITS_SQL} SELECT b AS hit_before, y AS hit_after, count(*) AS n FROM h GROUP BY ALL")
 def eval_transition(spark, sf):
-    one, five, _ = _hits(spark, sf)
-    return evaluate.transitions(one, five)
+    before, _, after = _hits(spark, sf)
+    return evaluate.transitions(before, after)
 
 
 @query(f"{HITS_SQL} SELECT count(*) FILTER (b) AS baseline_hits, count(*) FILTER (x) AS first_hits, count(*) FILTER (y) AS second_hits, count(*) FILTER (y AND NOT b) AS gained, count(*) FILTER (b AND NOT y) AS lost, count(*) AS n FROM h")

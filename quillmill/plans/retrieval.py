@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import bm25, fusion, ivf, producers, vector
+from ..operators import blockmax, bm25, feedback, fusion, ivf, producers, vector
 from ..sources import stores
 from .registry import literal, query, table, values
 
@@ -109,6 +109,70 @@ def bm25_topk(spark, sf):
     return _shown(_sparse(spark, sf))
 
 
+def _blocks(spark, sf):
+    docs = table(spark, sf, "documents")
+    return stores.stored(docs, "blockmax", "blocks", lambda at: blockmax.store(_index(spark, sf), at))
+
+
+def _asked(spark, sf):
+    return bm25.question_terms(_questions(spark, sf), "qid", "question")
+
+
+@query(f"WITH {INDEX_SQL}, {SCORE_SQL} SELECT qid, id, round(score, 4) AS score, rank FROM ranked WHERE rank <= 10")
+def bm25_pruned_topk(spark, sf):
+    """bm25_topk from stored blocks, leaving out windows of documents whose bound does not reach the tenth score."""
+    return _shown(blockmax.search(spark, _blocks(spark, sf), _asked(spark, sf), K))
+
+
+LIVE_SQL = """
+    nd AS (SELECT id, dl, (row_number() OVER (ORDER BY dl, id) - 1) // 16 AS win FROM l WHERE dl > 0),
+    bl AS (SELECT term, win, greatest(max(idf * (tf * 25e-1) / (tf + 15e-1 * (25e-2 + 75e-2 * dl / avgdl))), 0) AS highest, count(*) AS n
+           FROM p JOIN nd USING (id) JOIN i USING (term), s GROUP BY term, win),
+    bo AS (SELECT qid, win, sum(qtf * highest) AS bound, sum(n) AS n FROM qt JOIN bl USING (term) GROUP BY qid, win),
+    fi AS (SELECT * FROM bo QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(bound, 9) DESC, win) <= 24),
+    le AS (SELECT qid, score AS least FROM sc JOIN nd USING (id) JOIN fi USING (qid, win)
+           QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) = 10),
+    li AS (SELECT bo.* FROM bo LEFT JOIN le USING (qid) WHERE least IS NULL OR bound >= least - 1e-5)
+"""
+
+
+@query(
+    f"""WITH {INDEX_SQL}, {SCORE_SQL}, {LIVE_SQL}
+    SELECT qid, e.windows, e.postings, v.windows AS live_windows, v.postings AS live_postings
+    FROM (SELECT qid, count(*) AS windows, sum(n)::BIGINT AS postings FROM bo GROUP BY qid) e
+    LEFT JOIN (SELECT qid, count(*) AS windows, sum(n)::BIGINT AS postings FROM li GROUP BY qid) v USING (qid)"""
+)
+def bm25_postings_read(spark, sf):
+    """The windows and postings of each question's terms, and those that bm25_pruned_topk scores."""
+    return blockmax.reading(spark, _blocks(spark, sf), _asked(spark, sf), K)
+
+
+#: A question's first ten results give a model of 20 terms, which counts as much as its own words.
+FEEDBACK_SQL = """
+    fd AS (SELECT qid, id, score / sum(score) OVER (PARTITION BY qid) AS share FROM ranked WHERE rank <= 10 AND score > 0),
+    fm AS (SELECT qid, term, sum(share * tf / dl) AS p FROM fd JOIN p USING (id) JOIN l USING (id) GROUP BY qid, term),
+    fk AS (SELECT * FROM fm QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(p, 12) DESC, term) <= 20),
+    fq AS (SELECT qid, term, sum(part) AS qtf FROM (
+        SELECT qid, term, 5e-1 * qtf / sum(qtf) OVER (PARTITION BY qid) AS part FROM qt
+        UNION ALL SELECT qid, term, 5e-1 * p / sum(p) OVER (PARTITION BY qid) FROM fk) GROUP BY qid, term),
+    fs AS (SELECT qid, p.id, sum(qtf * idf * (tf * 25e-1) / (tf + 15e-1 * (25e-2 + 75e-2 * dl / avgdl))) AS score
+           FROM fq JOIN i USING (term) JOIN p USING (term) JOIN l ON l.id = p.id, s GROUP BY qid, p.id),
+    again AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM fs)
+"""
+
+
+def _feedback(spark, sf, k=K):
+    """The second run: the rewritten questions, from the stored blocks."""
+    terms = _asked(spark, sf)
+    model = feedback.relevance_model(_index(spark, sf), blockmax.search(spark, _blocks(spark, sf), terms, 10))
+    return blockmax.search(spark, _blocks(spark, sf), feedback.rewritten(terms, model), k)
+
+
+@query(f"WITH {INDEX_SQL}, {SCORE_SQL}, {FEEDBACK_SQL} SELECT qid, id, round(score, 4) AS score, rank FROM again WHERE rank <= 10")
+def feedback_topk(spark, sf):
+    return _shown(_feedback(spark, sf))
+
+
 ENTITIES = [(1, "biased_coin"), (1, "thTion"), (2, "anea"), (3, "中文"), (4, "zzzqqq")]
 
 

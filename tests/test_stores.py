@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.operators import bm25, ivf, quantiles, vector
+from quillmill.operators import blockmax, bm25, feedback, ivf, quantiles, vector
 from quillmill.sources import stores
 
 
@@ -69,3 +69,96 @@ def test_medians(spark, monkeypatch, n):
     rows = [(v,) for v in values] + [(None,), (float("nan"),), (float("inf"),)]
     got = quantiles.median(spark.createDataFrame(rows, "x double"), "x")
     assert got == (statistics.median(values) if n else None)
+
+
+def brute_scores(index, terms):
+    """{(qid, id): score} of all pairs that share a term."""
+    idf = {r.term: r.idf for r in index.terms.collect()}
+    dl = {r.id: r.dl for r in index.lengths.collect()}
+    avg = index.stats.first().avgdl
+    held: dict = {}
+    for r in index.postings.collect():
+        held.setdefault(r.term, []).append((r.id, r.tf))
+    out: dict = {}
+    for qid, term, qtf in terms:
+        for doc, tf in held.get(term, ()):
+            part = qtf * idf[term] * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl[doc] / avg))
+            out[qid, doc] = out.get((qid, doc), 0.0) + part
+    return out
+
+
+def brute_top(scores, k):
+    out = []
+    for qid in {q for q, _ in scores}:
+        rows = sorted((-round(s, 6), d) for (q, d), s in scores.items() if q == qid)[:k]
+        out += [(qid, i + 1, d) for i, (_, d) in enumerate(rows)]
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(120)]
+    weights = [1 / (i + 1) for i in range(120)]
+    texts = [" ".join(rng.choices(words, weights, k=rng.choice([1, 3, 10, 40, 200]))) for _ in range(400)]
+    texts[50:90] = [texts[49]] * 40  # ties beyond k
+    rows = [*enumerate(texts), (900, None), (901, ""), (902, "w0 " * 3000), (903, "中文")]
+    return bm25.build(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+
+
+ASKED = [(1, "w0", 1.0), (1, "w7", 2.0), (2, "w60", 1.0), (2, "w90", 1.0), (2, "w3", 1.0), (3, "none", 1.0), (4, "w119", 0.5), (5, "w0", 1.0)]
+
+
+@pytest.mark.parametrize("window,probe", [(1, 1), (8, 2), (16, 24), (10_000, 1)])
+def test_pruned_search_equals_scoring_all(spark, tmp_path, corpus, window, probe):
+    path = str(tmp_path / "blocks")
+    blockmax.store(corpus, path, window)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    assert blocks.agg(F.sum("n")).first()[0] == corpus.postings.count()
+    assert blocks.filter(f"size(entries) > {window} or size(entries) <> n").count() == 0
+    terms = spark.createDataFrame(ASKED, "qid long, term string, qtf double")
+    assert found(blockmax.search(spark, path, terms, 10, probe)) == brute_top(brute_scores(corpus, ASKED), 10)
+
+
+def test_windows_that_cannot_win_are_left_out(spark, tmp_path):
+    """One document of 600 holds all words of the question, ten hold two: the others' windows are not scored."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["a", "b", "c", "d"], k=1) + [f"x{i}"] * 3) for i in range(600)]
+    texts[300:312] = ["a b c d rare"] * 12
+    index = bm25.build(spark.createDataFrame([*enumerate(texts)], "id long, text string"), "id", "text")
+    blockmax.store(index, str(tmp_path / "b"), 8)
+    terms = spark.createDataFrame([(1, t, 1.0) for t in ("a", "b", "c", "d", "rare")], "qid long, term string, qtf double")
+    row = blockmax.reading(spark, str(tmp_path / "b"), terms, 10, 4).first()
+    assert row.postings > 600 and row.live_postings <= 12 * 5 + 40 and row.live_windows <= 3
+
+
+def test_blocks_of_no_documents_find_nothing(spark, tmp_path):
+    blockmax.store(bm25.build(spark.createDataFrame([], "id long, text string"), "id", "text"), str(tmp_path / "b"))
+    terms = spark.createDataFrame(ASKED, "qid long, term string, qtf double")
+    assert blockmax.search(spark, str(tmp_path / "b"), terms).collect() == []
+
+
+def test_feedback_equals_a_plain_relevance_model(spark, corpus):
+    terms = spark.createDataFrame(ASKED, "qid long, term string, qtf double")
+    first = bm25.top(bm25.scores(corpus, terms), 10)
+    ranked = [r for r in first.collect() if r.score > 0]
+    tf: dict = {}
+    for r in corpus.postings.collect():
+        tf.setdefault(r.id, {})[r.term] = r.tf
+    dl = {r.id: r.dl for r in corpus.lengths.collect()}
+    want = {}
+    for qid in {r.qid for r in ranked}:
+        rows = [r for r in ranked if r.qid == qid]
+        total = sum(r.score for r in rows)
+        p: dict = {}
+        for r in rows:
+            for term, n in tf[r.id].items():
+                p[term] = p.get(term, 0.0) + r.score / total * n / dl[r.id]
+        kept = sorted(p, key=lambda t: (-round(p[t], 12), t))[:7]
+        want |= {(qid, t): 0.5 * p[t] / sum(p[x] for x in kept) for t in kept}
+    for qid, term, n in ASKED:
+        want[qid, term] = want.get((qid, term), 0.0) + 0.5 * n / sum(x for q, _, x in ASKED if q == qid)
+    model = feedback.relevance_model(corpus, first, added=7)
+    got = {(r.qid, r.term): r.qtf for r in feedback.rewritten(terms, model).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    assert {t for q, t in got if q == 3} == {"none"}  # nothing found: the question's own words stay

@@ -12,15 +12,17 @@ ADDED, OWN_SHARE = 20, 0.5
 
 
 def relevance_model(index: Index, found: DataFrame, added: int = ADDED) -> DataFrame:
-    """(qid, term, p): the terms likeliest in the found documents (qid, id, score), p adding up to 1 for each question.
-    A document counts by its share of the question's scores, a term by its share of the document. Only scores above 0
+    """(qid, term, p): the terms that tell the found documents (qid, id, score) from the rest, p adding up to 1 for each
+    question. A document counts by its share of the question's scores, a term by its share of the document times its
+    weight in the corpus; words that stand everywhere would fill the model otherwise. Only scores and weights above 0
     count; terms of equal p (to twelve places) go in order. ``found`` has a bounded number of rows a question."""
     good = found.filter("score > 0").select("qid", "id", "score")
     share = good.withColumn("share_", F.col("score") / F.sum("score").over(Window.partitionBy("qid"))).drop("score")
     if good.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         share = F.broadcast(share)
     held = index.postings.join(share, "id").join(index.lengths, "id")
-    model = held.groupBy("qid", "term").agg(F.sum(F.col("share_") * F.col("tf") / F.col("dl")).alias("p"))
+    seen = held.groupBy("qid", "term").agg(F.sum(F.col("share_") * F.col("tf") / F.col("dl")).alias("seen_"))
+    model = seen.join(index.terms.filter("idf > 0").select("term", "idf"), "term").select("qid", "term", (F.col("seen_") * F.col("idf")).alias("p"))
     best = Window.partitionBy("qid").orderBy(F.desc(F.round("p", 12)), "term")
     kept = model.withColumn("place_", F.row_number().over(best)).filter(F.col("place_") <= added).drop("place_")
     return kept.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("qid")))

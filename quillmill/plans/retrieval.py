@@ -150,7 +150,8 @@ def bm25_postings_read(spark, sf):
 #: A question's first ten results give a model of 20 terms, which counts as much as its own words.
 FEEDBACK_SQL = """
     fd AS (SELECT qid, id, score / sum(score) OVER (PARTITION BY qid) AS share FROM ranked WHERE rank <= 10 AND score > 0),
-    fm AS (SELECT qid, term, sum(share * tf / dl) AS p FROM fd JOIN p USING (id) JOIN l USING (id) GROUP BY qid, term),
+    fm AS (SELECT qid, term, sum(share * tf / dl) * any_value(idf) AS p
+           FROM fd JOIN p USING (id) JOIN l USING (id) JOIN i USING (term) WHERE idf > 0 GROUP BY qid, term),
     fk AS (SELECT * FROM fm QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(p, 12) DESC, term) <= 20),
     fq AS (SELECT qid, term, sum(part) AS qtf FROM (
         SELECT qid, term, 5e-1 * qtf / sum(qtf) OVER (PARTITION BY qid) AS part FROM qt

@@ -146,6 +146,7 @@ def test_feedback_equals_a_plain_relevance_model(spark, corpus):
     for r in corpus.postings.collect():
         tf.setdefault(r.id, {})[r.term] = r.tf
     dl = {r.id: r.dl for r in corpus.lengths.collect()}
+    idf = {r.term: r.idf for r in corpus.terms.collect()}
     want = {}
     for qid in {r.qid for r in ranked}:
         rows = [r for r in ranked if r.qid == qid]
@@ -153,7 +154,8 @@ def test_feedback_equals_a_plain_relevance_model(spark, corpus):
         p: dict = {}
         for r in rows:
             for term, n in tf[r.id].items():
-                p[term] = p.get(term, 0.0) + r.score / total * n / dl[r.id]
+                if idf[term] > 0:
+                    p[term] = p.get(term, 0.0) + r.score / total * n / dl[r.id] * idf[term]
         kept = sorted(p, key=lambda t: (-round(p[t], 12), t))[:7]
         want |= {(qid, t): 0.5 * p[t] / sum(p[x] for x in kept) for t in kept}
     for qid, term, n in ASKED:

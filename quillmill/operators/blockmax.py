@@ -15,7 +15,7 @@ from .bm25 import BROADCAST_TERMS, K1, B, Index, top
 from .numbering import dense
 
 #: Documents of a window; windows of a question that are scored before the threshold is known.
-WINDOW, PROBE = 16, 24
+WINDOW, PROBE = 4, 60
 #: Scores are compared to six places, so bounds get a little more room.
 SLACK = 1e-5
 

@@ -125,11 +125,11 @@ def bm25_pruned_topk(spark, sf):
 
 
 LIVE_SQL = """
-    nd AS (SELECT id, dl, (row_number() OVER (ORDER BY dl, id) - 1) // 16 AS win FROM l WHERE dl > 0),
+    nd AS (SELECT id, dl, (row_number() OVER (ORDER BY dl, id) - 1) // 4 AS win FROM l WHERE dl > 0),
     bl AS (SELECT term, win, greatest(max(idf * (tf * 25e-1) / (tf + 15e-1 * (25e-2 + 75e-2 * dl / avgdl))), 0) AS highest, count(*) AS n
            FROM p JOIN nd USING (id) JOIN i USING (term), s GROUP BY term, win),
     bo AS (SELECT qid, win, sum(qtf * highest) AS bound, sum(n) AS n FROM qt JOIN bl USING (term) GROUP BY qid, win),
-    fi AS (SELECT * FROM bo QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(bound, 9) DESC, win) <= 24),
+    fi AS (SELECT * FROM bo QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(bound, 9) DESC, win) <= 60),
     le AS (SELECT qid, score AS least FROM sc JOIN nd USING (id) JOIN fi USING (qid, win)
            QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) = 10),
     li AS (SELECT bo.* FROM bo LEFT JOIN le USING (qid) WHERE least IS NULL OR bound >= least - 1e-5)
@@ -163,10 +163,11 @@ FEEDBACK_SQL = """
 
 
 def _feedback(spark, sf, k=K):
-    """The second run: the rewritten questions, from the stored blocks."""
+    """The second run: the rewritten questions, from the stored blocks. The new terms are written before they are used."""
     terms = _asked(spark, sf)
     model = feedback.relevance_model(_index(spark, sf), blockmax.search(spark, _blocks(spark, sf), terms, 10))
-    return blockmax.search(spark, _blocks(spark, sf), feedback.rewritten(terms, model), k)
+    new = stores.settled(feedback.rewritten(terms, model), "feedback")
+    return blockmax.search(spark, _blocks(spark, sf), new, k)
 
 
 @query(f"WITH {INDEX_SQL}, {SCORE_SQL}, {FEEDBACK_SQL} SELECT qid, id, round(score, 4) AS score, rank FROM again WHERE rank <= 10")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,3 +40,11 @@ def stored(source: DataFrame, label: str, last: str, write: Callable[[str], None
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         write(path)
     return path
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """df written in the shared folder and read again, for tables that a plan uses several times: they are worked out
+    once, and a lost executor costs no more than what follows."""
+    path = f"{shared_dir(df.sparkSession)}/quillmill-stores/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

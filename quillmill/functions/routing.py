@@ -65,15 +65,19 @@ def final_related(path: Column) -> Column:
     return F.coalesce(F.lower(path).contains("final") | path.contains("期末"), F.lit(False))
 
 
-#: What may stand before a statement's first word: white space, comments to the line's end, comments in stars.
-_SKIPPED = r"(?:\s|--[^\n]*\n|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/)*+"
+#: The pieces of a statement: comments to the line's end, comments in stars, words, single signs. White space is none.
+_COMMENT, _PIECE = r"--[^\n]*\n|/\*[\s\S]*?\*/", r"\w+|\S"
 
 
 def sql_type(statement: Column) -> Column:
-    """The first keyword behind leading comments; CREATE with what it creates; UNKNOWN without a word."""
-    word = lambda n: F.upper(F.regexp_extract(statement, rf"^{_SKIPPED}(\w+)(?:\s+(\w+))?", n))
-    made = (word(1) == "CREATE") & word(2).isin(*CREATE_KINDS)
-    return F.when(word(1) == "", "UNKNOWN").when(made, F.concat_ws(" ", word(1), word(2))).otherwise(word(1))
+    """The first keyword behind leading comments; CREATE with what it creates; UNKNOWN without a word. A comment
+    between CREATE and the next word leaves CREATE alone; null stays null."""
+    pieces = F.regexp_extract_all(statement, F.lit(f"{_COMMENT}|{_PIECE}"), F.lit(0))
+    first = F.get(F.filter(pieces, lambda x: ~(x.startswith("/*") | x.startswith("--"))), F.lit(0))
+    following = F.upper(F.get(pieces, F.array_position(pieces, first).cast("int")))
+    made = (F.upper(first) == "CREATE") & following.isin(*CREATE_KINDS)
+    named = F.when(made, F.concat_ws(" ", F.upper(first), following)).otherwise(F.upper(first))
+    return F.when(first.rlike(r"^\w"), named).when(statement.isNotNull(), "UNKNOWN")
 
 
 def citation(course_: Column, path: Column, first: Column, last: Column) -> Column:

@@ -404,3 +404,17 @@ def test_page_counts_targets_and_reports(spark, tmp_path):
     assert [r.file for r in files.reparse_targets(report, report.select("file"), ["X"], done).collect()] == ["f1"]
     files.with_column_added(report, done.select("file", F.lit("3").alias("page")), "file", str(tmp_path / "v2"))
     assert {r.file: r.page for r in spark.read.option("header", True).csv(str(tmp_path / "v2")).collect()} == {"f1": "3", "f2": "3", "f3": None, "f4": None}
+
+
+STATEMENTS = [
+    ("-- note\n/* two\nlines */ create  table t (x int)", "CREATE TABLE"), ("create /* what */ table t", "CREATE"), ("select*from t", "SELECT"),
+    ("", "UNKNOWN"), ("-- alone", "UNKNOWN"), ("/* open", "UNKNOWN"), ("(select 1)", "UNKNOWN"), (None, None), ("  Insert\ninto t", "INSERT"),
+    ("/**/" * 5000 + "delete from t", "DELETE"), ("create", "CREATE"), ("-- create table\nupdate t", "UPDATE"),
+]
+
+
+def test_first_words_of_statements(spark):
+    from quillmill.functions import routing
+
+    rows = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(STATEMENTS)], "i int, s string")
+    assert [r.kind for r in rows.select("i", routing.sql_type(rows.s).alias("kind")).orderBy("i").collect()] == [k for _, k in STATEMENTS]

@@ -414,7 +414,5 @@ STATEMENTS = [
 
 
 def test_first_words_of_statements(spark):
-    from quillmill.functions import routing
-
     rows = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(STATEMENTS)], "i int, s string")
     assert [r.kind for r in rows.select("i", routing.sql_type(rows.s).alias("kind")).orderBy("i").collect()] == [k for _, k in STATEMENTS]

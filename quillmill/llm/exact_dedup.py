@@ -64,7 +64,9 @@ def assign(
         F.min("keep_id").alias("keep_id"),
         F.min("group_size").alias("group_size"),
     )
-    groups = common.materialise(groups, "exact-groups")
+    # The decisions are a small part of the texts that they come from: without this, each task of the merge would
+    # write a tiny file of its own, and every file costs its executor a few processes.
+    groups = common.materialise(groups.hint("rebalance", "digest"), "exact-groups")
 
     rows = src.select("id", "n", "digest")
     single = groups.filter("texts = 1").drop("texts")
@@ -76,8 +78,9 @@ def assign(
             theirs.join(texts.join(clashing, "digest", "left_semi"), ["digest", "body"]).drop("body")
         )
     # An exchange of ids and digests keeps the join above free to split a hot digest; rows without an id spread.
+    # Without a fixed number of partitions, adaptive execution joins small ones.
     first = Window.partitionBy("id", "digest", "keep_id").orderBy(F.desc("n"))
-    ranked = found.repartition(common.partitions(df), "id", "digest").withColumn("nth", F.row_number().over(first))
+    ranked = found.repartition("id", "digest").withColumn("nth", F.row_number().over(first))
     return ranked.select(
         F.col("id").alias(row_id),
         "keep_id",

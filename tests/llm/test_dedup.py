@@ -1,4 +1,5 @@
 import hashlib
+import pathlib
 import random
 import re
 
@@ -51,6 +52,27 @@ def test_a_weak_digest_does_not_merge_different_texts(spark):
     assert {r.doc_id: (r.keep_id, r.group_size) for r in weak.collect()} == {1: (3, 2), 2: (5, 2), 3: (3, 2), 4: (4, 1), 5: (5, 2)}
 
 
+def part_files(folder):
+    return sum(p.name.startswith("part-") for p in folder.iterdir())
+
+
+def test_exact_groups_are_written_in_few_files(spark, tmp_path):
+    """Forty partitions of a few rows each are no reason for forty files, neither of the groups nor of the result."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    groups = pathlib.Path(common.shared_dir(spark).removeprefix("file://"), "quillmill")
+    old = set(groups.glob("exact-groups-*"))
+    rows = [(i, f"text {i % 300}", None, None, None) for i in range(400)]
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        exact_dedup.assign(spark.createDataFrame(rows, SCHEMA)).write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    (new,) = set(groups.glob("exact-groups-*")) - old
+    assert part_files(new) <= 2 and part_files(tmp_path / "out") <= 2
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_exact(rows)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup.assign(none).count() == 0

@@ -416,4 +416,7 @@ def remove_repeats(
 
     shape = "kid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * texts
     done = docs.join(by_doc, "kid", "left").mapInPandas(finish, shape)
+    # Partitions that fit the texts are far too small for digests: gathered, they are written in few files, without
+    # Python's workers at work. Remaining bytes are as large as the texts and stay where they are.
+    done = done if texts else done.hint("rebalance")
     return done.withColumnRenamed("kid", row_id)

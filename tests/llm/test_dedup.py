@@ -207,6 +207,29 @@ def test_repeated_strings_match_brute_force(spark, hot):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_repeats(docs)
 
 
+def test_digests_of_texts_are_written_in_few_files(spark, tmp_path):
+    """Forty partitions of texts are no reason for forty files of digests; remaining bytes are not moved once more."""
+    few = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    before = {k: spark.conf.get(k) for k in few}
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    passage = noise(200)
+    docs = [(None, passage), *((i, f"{noise(2500)} {passage if i % 3 else ''} {noise(2500)}") for i in range(80))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    try:
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        suffix_dedup.remove_repeats(df).write.parquet(str(tmp_path / "out"))
+        suffix_dedup.remove_repeats(df, texts=True).write.parquet(str(tmp_path / "texts"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert part_files(tmp_path / "out") <= 2 and part_files(tmp_path / "texts") > 4
+    for name in ("out", "texts"):
+        got = spark.read.parquet(str(tmp_path / name)).collect()
+        assert sorted((tuple(r)[:5] for r in got), key=repr) == brute_repeats(docs)
+
+
 def test_loser_tree_sorts_and_knows_common_prefixes():
     rng = random.Random(1)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))) for _ in range(400)]

@@ -78,6 +78,7 @@ def leaks(
     n = F.size("item_words")
     short = bench.filter(n < MASKED).select(n.alias("n")).distinct()
     lengths = sorted(r.n for r in short.collect())  # at most nine numbers
+    longest = bench.agg(F.max(n)).first()[0] or 0
 
     # Windows of the benchmark: (g, h, item, shift to the item's start); g is the hash that lets a position in.
     long_at = bench.filter(n >= MASKED).select("item", "item_hashes", F.explode(F.sequence(F.lit(0), n - WEIGHT)).alias("at"))
@@ -114,23 +115,31 @@ def leaks(
         salted = grams.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         some = looked.select("key", "p", "g", F.pmod(F.xxhash64("key", "p"), F.lit(SALTS)).cast("int").alias("salt"))
         near = some.join(salted, ["g", "salt"]).select("key", "p", "g").distinct().join(words, "key")
+    # No alignment through a position reaches further from it than the longest item and a mask, so a long text's position
+    # goes on with the words around it alone; places are then those in this stretch, which starts at base.
+    reach = longest + WEIGHT + 1
+    base = F.greatest(F.lit(0), F.col("p") - reach)
+    around = lambda c: F.slice(c, base + 1, F.lit(2 * reach + 1))
+    near = near.select("key", "id", "g", around("words").alias("words"), around("hashes").alias("hashes"), base.alias("base"), (F.col("p") - base).alias("p"))
     hashed = near.select(
-        "key", "id", "words",
+        "key", "id", "words", "base",
         F.explode(F.array(
             *(F.struct((F.col("p") - _gram_at(m)).alias("at"), _seed(F.col("hashes"), F.col("p") - _gram_at(m), m).alias("h")) for m in range(len(MASKS))),
             *([F.struct(F.col("p").alias("at"), F.col("g").alias("h"))] if lengths else []),
         )).alias("seed"),
-    ).select("key", "id", "words", "seed.at", "seed.h")
+    ).select("key", "id", "words", "base", "seed.at", "seed.h")
 
     found = windows.select("h", "item", "item_at")
     if few:
         hits = hashed.join(F.broadcast(found), "h").join(F.broadcast(bench.drop("item_hashes")), "item")
     else:
         salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        some = hashed.select("key", "at", "h", F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int").alias("salt"))
+        some = hashed.select("key", (F.col("base") + F.col("at")).alias("at"), "h").withColumn("salt", F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int"))
         pairs = some.join(salted, ["h", "salt"]).select("key", "item", (F.col("at") - F.col("item_at")).alias("at")).distinct()
         hits = pairs.withColumn("item_at", F.lit(0)).join(bench.drop("item_hashes"), "item").join(words.drop("hashes"), "key")
-    scored = hits.select("key", "id", "item", n.alias("item_tokens"), _along(F.col("words"), F.col("item_words"), F.col("at") - F.col("item_at")).alias("a"))
+    # Exploded, for the optimiser would copy the scan into each place that reads its result.
+    along = F.explode(F.array(_along(F.col("words"), F.col("item_words"), F.col("at") - F.col("item_at"))))
+    scored = hits.select("key", "id", "item", n.alias("item_tokens"), along.alias("a"))
     size, best, equal = F.col("item_tokens"), F.col("a.best"), F.col("a.equal")
     leaked = F.when(size < MASKED, equal == size).otherwise((best >= min_score) | (equal * 10 >= size * 9))
     return scored.filter(leaked).select("key", "id", "item", "item_tokens", F.col("a.best").alias("overlap"))

@@ -601,3 +601,21 @@ def test_queries_match_their_sql(spark, name):
     assert sorted(got.columns) == sorted(columns)
     rows = sorted(repr(tuple(r[c] for c in columns)) for r in got.collect())
     assert rows == sorted(repr(tuple(r)) for r in want.fetchall())
+
+
+def optimised(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_alignments_are_scored_once_and_on_the_words_around_a_hit(spark):
+    """Items at the start, in the middle and at the end of a long text; one is cut off by the text's end."""
+    rng = random.Random(4)
+    item, cut = [[f"i{n}x{j}" for j in range(14)] for n in range(2)]
+    noise = [f"n{rng.randrange(500)}" for _ in range(6000)]
+    words = [*item, *noise[:3000], *item[:6], "other", *item[7:], *noise[3000:], *cut[:12]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(noise)), (3, " ".join(cut))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(cut))], "item_id long, text string")
+    found = decontaminate.overlaps(docs, items)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 14, 14), (1, 2, 14, 12), (3, 2, 14, 14)]
+    plan = optimised(found)
+    assert plan.count("aggregate(sequence(") == 1 and "slice(words" in plan

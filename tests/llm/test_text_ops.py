@@ -619,3 +619,20 @@ def test_alignments_are_scored_once_and_on_the_words_around_a_hit(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 1, 14, 14), (1, 2, 14, 12), (3, 2, 14, 14)]
     plan = optimised(found)
     assert plan.count("aggregate(sequence(") == 1 and "slice(words" in plan
+
+
+def test_documents_stay_where_they_are_if_few_are_leaked(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a{i} b c d e f g h i j k l m") for i in range(40)] + [(None, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a7 b c d e f g h i j k l m")], "item_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = decontaminate.drop_contaminated(docs, items, min_score=13)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        rows = sorted(map(str, kept.collect()))
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+        other = decontaminate.drop_contaminated(docs, items, min_score=13)
+        assert "SortMergeJoin" in other._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, other.collect())) == rows
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

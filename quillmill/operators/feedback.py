@@ -20,7 +20,8 @@ def relevance_model(index: Index, found: DataFrame, added: int = ADDED) -> DataF
     share = good.withColumn("share_", F.col("score") / F.sum("score").over(Window.partitionBy("qid"))).drop("score")
     if good.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         share = F.broadcast(share)
-    held = index.postings.join(share, "id").join(index.lengths, "id")
+    of_each = F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf")))
+    held = index.documents.join(share, "id").select("qid", "share_", "dl", of_each)
     seen = held.groupBy("qid", "term").agg(F.sum(F.col("share_") * F.col("tf") / F.col("dl")).alias("seen_"))
     model = seen.join(index.terms.filter("idf > 0").select("term", "idf"), "term").select("qid", "term", (F.col("seen_") * F.col("idf")).alias("p"))
     best = Window.partitionBy("qid").orderBy(F.desc(F.round("p", 12)), "term")

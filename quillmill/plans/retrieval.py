@@ -304,8 +304,8 @@ def _targets(spark, sf):
 )
 def target_rank(spark, sf):
     """The target's rank among all documents, and whether it is in the first five."""
-    scored = bm25.scores(_index(spark, sf), bm25.question_terms(_questions(spark, sf), "qid", "question"))
-    placed = bm25.rank_of(scored, _targets(spark, sf))
+    targets = stores.settled(_targets(spark, sf), "targets")
+    placed = bm25.ranks(_index(spark, sf), _asked(spark, sf), targets)
     return placed.select("qid", "target", F.coalesce(F.col("rank") <= 5, F.lit(False)).alias("hit"), "rank")
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from .bm25 import counted
 
 #: Query vectors that travel to the tasks at once, and rows that meet them at a time (160 MB of distances).
 BLOCK_QUERIES, BLOCK_ROWS = 10_000, 1_024
@@ -105,17 +108,27 @@ def approximate_top_k(corpus: DataFrame, queries: DataFrame, k: int, dims: int,
 
 def hashed_embedding(df: DataFrame, row_id: str, text: str, dims: int = 256) -> DataFrame:
     """(id, vector): a unit-length count vector of hashed tokens, a stand-in for a sentence embedding."""
-    tokens = df.select(F.col(row_id).alias("id"), F.explode_outer(tokenize(F.col(text))).alias("w"))
-    at = F.when(F.col("w").isNotNull(), F.pmod(F.conv(F.substr(F.md5("w"), F.lit(1), F.lit(8)), 16, 10).cast("long"), F.lit(dims)).cast("int"))
-    counts = tokens.select("id", at.alias("at")).groupBy("id", "at").agg(F.count("at").cast("double").alias("n"))
-    by_doc = counts.groupBy("id").agg(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "n"))).alias("m"))
-
-    @F.pandas_udf("array<double>")
-    def dense(places: pd.Series, values: pd.Series) -> pd.Series:
-        out = np.zeros((len(places), dims))
-        for row, at, n in zip(out, places, values):
-            row[np.asarray(at, dtype=int)] = n
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return pd.Series(list(out / np.where(norms > 0, norms, 1)))
-
-    return by_doc.select("id", dense(F.transform("m", lambda x: x["at"]), F.transform("m", lambda x: x["n"])).alias("vector"))
+    return embedded(counted(df, row_id, text), dims)
+
+
+def embedded(documents: DataFrame, dims: int = 256) -> DataFrame:
+    """hashed_embedding() of counted documents (id, terms, tfs), each in the task that reads it."""
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(start, BLOCK_ROWS)
+                lists = part.column("terms")
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                coded = pc.dictionary_encode(lists.flatten())
+                places = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims for w in coded.dictionary.to_pylist()], dtype=np.int64)
+                cell = row * dims + places[coded.indices.to_numpy(zero_copy_only=False)] if len(row) else row
+                tf = part.column("tfs").flatten().to_numpy(zero_copy_only=False)
+                out = np.bincount(cell, tf, part.num_rows * dims).reshape(-1, dims)
+                norms = np.linalg.norm(out, axis=1, keepdims=True)
+                ends = pa.array(np.arange(part.num_rows + 1) * dims, pa.int32())
+                vectors = pa.ListArray.from_arrays(ends, pa.array((out / np.where(norms > 0, norms, 1)).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), vectors], ["id", "vector"])
+
+    kind = documents.schema["id"].dataType.simpleString()
+    return documents.select("id", "terms", "tfs").mapInArrow(embed, f"id {kind}, vector array<double>")

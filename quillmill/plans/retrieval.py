@@ -77,7 +77,7 @@ def _sparse(spark, sf, k=K):
 
 
 def _dense(spark, sf, k=K):
-    docs = vector.hashed_embedding(table(spark, sf, "documents"), "doc_id", "text")
+    docs = vector.embedded(_index(spark, sf).documents)
     asked = vector.hashed_embedding(_questions(spark, sf), "qid", "question")
     return vector.top_k(docs, asked.select(F.col("id").alias("qid"), "vector"), k)
 

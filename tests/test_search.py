@@ -71,3 +71,11 @@ def test_search_and_ranks_equal_scoring_all_pairs_in_any_blocks(spark, monkeypat
     monkeypatch.setattr(bm25, "CELLS", 50)
     monkeypatch.setattr(bm25, "COUNTED", 7)
     assert pairs(bm25.search(index, terms, 7)) == best and sorted(map(str, bm25.ranks(index, terms, targets).collect())) == placed
+
+
+def test_only_the_best_rows_are_exchanged(spark, no_small_tables):
+    index = bm25.build(spark.createDataFrame(list(enumerate(words(60, 4))), "id long, text string"), "id", "text")
+    asked = spark.createDataFrame([(1, "the dog"), (2, "cat_x")], "qid long, question string")
+    plan = physical(bm25.retrieve(index, asked, "qid", "question"))
+    assert "Join" not in plan and plan.count("Exchange ") == 1
+    assert "Exchange hashpartitioning" not in physical(vector.hashed_embedding(index.documents.select("id", F.lit("a").alias("text")), "id", "text"))

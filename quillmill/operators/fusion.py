@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 RRF_K = 60
 ENTITY_WEIGHT = 1.5
 FINAL_TOP_K = 5
+#: Results up to this number are broadcast (three numbers each).
+BROADCAST_RESULTS = 500_000
 
 # The wording of the prompt.
 PROMPT_HEAD = (
@@ -38,10 +40,15 @@ def source_line(file: Column, chunk_type: Column, name: Column) -> Column:
     return F.concat_ws(" | ", F.coalesce(file, F.lit("?")), F.coalesce(chunk_type, F.lit("?")), known)
 
 
+def few(found: DataFrame) -> DataFrame:
+    """Results to be broadcast, if they are few enough: then the texts that they are looked up in need not travel."""
+    return F.broadcast(found) if found.limit(BROADCAST_RESULTS + 1).count() <= BROADCAST_RESULTS else found
+
+
 def prompts(fused: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """(qid, prompt) from fused (qid, id, rank), chunks (id, text, file, chunk_type, name) and questions
     (qid, question): the sources in order of rank, then the question."""
-    found = fused.select("qid", "id", "rank").join(chunks.select("id", "text", "file", "chunk_type", "name"), "id")
+    found = few(fused.select("qid", "id", "rank")).join(chunks.select("id", "text", "file", "chunk_type", "name"), "id")
     head = F.concat(F.lit("[来源"), F.col("rank").cast("string"), F.lit("] "), source_line(F.col("file"), F.col("chunk_type"), F.col("name")))
     block = F.concat(head, F.lit("\n```\n"), F.coalesce("text", F.lit("")), F.lit("\n```"))
     blocks = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("blocks"))

@@ -279,7 +279,7 @@ def prompt_build(spark, sf):
     chunks = table(spark, sf, "documents").select(
         F.col("doc_id").alias("id"), "text", F.col("source").alias("file"), F.col("lang").alias("chunk_type"), F.lit(None).cast("string").alias("name")
     )
-    fused = fusion.hybrid(_dense(spark, sf), _sparse(spark, sf))
+    fused = stores.settled(fusion.hybrid(_dense(spark, sf), _sparse(spark, sf)), "fused")
     return fusion.prompts(fused, chunks, _questions(spark, sf))
 
 

@@ -79,3 +79,15 @@ def test_only_the_best_rows_are_exchanged(spark, no_small_tables):
     plan = physical(bm25.retrieve(index, asked, "qid", "question"))
     assert "Join" not in plan and plan.count("Exchange ") == 1
     assert "Exchange hashpartitioning" not in physical(vector.hashed_embedding(index.documents.select("id", F.lit("a").alias("text")), "id", "text"))
+
+
+def test_texts_do_not_travel_to_few_results(spark, no_small_tables, monkeypatch):
+    chunks = spark.range(50).selectExpr("id", "'t' as text", "'f' as file", "'k' as chunk_type", "'n' as name")
+    fused = spark.createDataFrame([(1, 3, 1), (1, 4, 2)], "qid long, id long, rank int")
+    asked = spark.createDataFrame([(1, "q"), (2, "r")], "qid long, question string")
+    made = fusion.prompts(fused, chunks, asked)
+    assert "BroadcastHashJoin [id" in physical(made)
+    rows = sorted(map(str, made.collect()))
+    monkeypatch.setattr(fusion, "BROADCAST_RESULTS", 1)
+    other = fusion.prompts(fused, chunks, asked)
+    assert "BroadcastHashJoin" not in physical(other) and sorted(map(str, other.collect())) == rows

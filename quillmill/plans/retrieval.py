@@ -162,12 +162,13 @@ FEEDBACK_SQL = """
 """
 
 
-def _feedback(spark, sf, k=K):
-    """The second run: the rewritten questions, from the stored blocks. The new terms are written before they are used."""
-    terms = _asked(spark, sf)
-    model = feedback.relevance_model(_index(spark, sf), blockmax.search(spark, _blocks(spark, sf), terms, 10))
-    new = stores.settled(feedback.rewritten(terms, model), "feedback")
-    return blockmax.search(spark, _blocks(spark, sf), new, k)
+def _feedback(spark, sf, first=None, k=K):
+    """The second run: the questions rewritten from the first run's ten best. Both the first results and the new terms are
+    written before they are used."""
+    index, terms = _index(spark, sf), _asked(spark, sf)
+    first = stores.settled(bm25.search(index, terms, 10), "first") if first is None else first
+    new = stores.settled(feedback.rewritten(terms, feedback.relevance_model(index, first)), "feedback")
+    return bm25.search(index, new, k)
 
 
 @query(f"WITH {INDEX_SQL}, {SCORE_SQL}, {FEEDBACK_SQL} SELECT qid, id, round(score, 4) AS score, rank FROM again WHERE rank <= 10")

@@ -56,10 +56,10 @@ HITS_SQL = f"""WITH {retrieval.INDEX_SQL}, {retrieval.SCORE_SQL}, {retrieval.TAR
 
 
 def _hits(spark, sf):
-    sparse, targets = retrieval._sparse(spark, sf), retrieval._targets(spark, sf)
+    sparse, targets = stores.settled(retrieval._sparse(spark, sf), "sparse"), stores.settled(retrieval._targets(spark, sf), "targets")
     arm = bm25.retrieve_entities(retrieval._index(spark, sf), retrieval._entities(spark, sf), retrieval.K)
     mixed = fusion.fuse([(sparse, 1.0), (arm, fusion.ENTITY_WEIGHT)])
-    return tuple(fusion.target_hits(run, targets).select("qid", "hit") for run in (sparse, mixed, retrieval._feedback(spark, sf)))
+    return tuple(fusion.target_hits(run, targets).select("qid", "hit") for run in (sparse, mixed, retrieval._feedback(spark, sf, sparse)))
 
 
 @query(f"{HITS_SQL} SELECT b AS hit_before, y AS hit_after, count(*) AS n FROM h GROUP BY ALL")

@@ -100,3 +100,13 @@ def test_judged_texts_do_not_travel(spark, tables, no_small_tables):
 def test_a_second_run_needs_no_blocks(spark, tables, monkeypatch):
     monkeypatch.setattr(blockmax, "store", None)
     assert catalogue.QUERIES["feedback_topk"](spark, tables).count() > 0
+
+
+@pytest.mark.parametrize("name", ["eval_transition", "eval_three_way"])
+def test_documents_are_searched_for_quotations_once(spark, tmp_path, name):
+    texts = words(40, 6)
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, texts[3]), (2, texts[4])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = catalogue.QUERIES[name](spark, str(tmp_path))
+    assert "MapInPandas" not in optimised(found)
+    assert sorted(repr(tuple(r)) for r in found.collect()) == oracle(name, tmp_path)

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bm25 import counted
+from .bm25 import Best, counted
 
 #: Query vectors that travel to the tasks at once, and rows that meet them at a time (160 MB of distances).
 BLOCK_QUERIES, BLOCK_ROWS = 10_000, 1_024
@@ -76,34 +76,42 @@ def read_store(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def signatures(df: DataFrame, vector: str, dims: int, bits: int = 8, tables: int = 8, seed: int = 1, probe: bool = False) -> DataFrame:
-    """df with (table, bucket): the signs of random projections, for each of several tables; with ``probe``
-    also the buckets that differ in one sign."""
-    planes = np.random.default_rng(seed).standard_normal((dims, tables * bits))
+def signatures(x: np.ndarray, planes: np.ndarray, tables: int) -> np.ndarray:
+    """(tables, rows): the signs of random projections as numbers, for each of several tables."""
+    signs = (x @ planes > 0).reshape(len(x), tables, planes.shape[1] // tables)
+    return (signs @ (1 << np.arange(signs.shape[2]))).T.copy()
+
 
-    @F.pandas_udf("array<int>")
-    def codes(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype=object)
-        signs = np.stack([np.zeros(dims) if v is None else v for v in vectors]).astype(float) @ planes > 0
-        return pd.Series(list(signs.reshape(-1, tables, bits) @ (1 << np.arange(bits))))
-
-    own = df.select("*", F.posexplode(codes(vector)).alias("table", "bucket"))
-    if not probe:
-        return own
-    near = F.array("bucket", *(F.col("bucket").bitwiseXOR(F.lit(1 << b)) for b in range(bits)))
-    return own.withColumn("bucket", F.explode(near))
-
-
-def approximate_top_k(corpus: DataFrame, queries: DataFrame, k: int, dims: int, probe: bool = False, **options) -> DataFrame:
-    """Like top_k() on (id, vector) and (qid, vector), among rows that share a bucket with the query; with
-    ``probe`` also rows whose bucket differs from the query's in one sign."""
-    corpus, queries = corpus.filter("vector is not null"), queries.filter("vector is not null")
-    c = signatures(corpus.select("id", "vector"), "vector", dims, **options).select("id", "table", "bucket")
-    q = signatures(queries.select("qid", "vector"), "vector", dims, probe=probe, **options).select("qid", "table", "bucket")
-    pairs = c.join(q, ["table", "bucket"]).select("qid", "id").distinct()
-    full = pairs.join(corpus.select("id", F.col("vector").alias("v")), "id").join(queries.select("qid", F.col("vector").alias("qv")), "qid")
-    return _ranked(full.select("qid", "id", distance(F.col("v"), F.col("qv")).alias("distance")), k)
+def approximate_top_k(corpus: DataFrame, queries: DataFrame, k: int, dims: int, probe: bool = False, bits: int = 8, tables: int = 8, seed: int = 1) -> DataFrame:
+    """Like top_k() on (id, vector) and (qid, vector), among rows that share a bucket with the query in one of the tables;
+    with ``probe`` also rows whose bucket differs from the query's in one sign. As in top_k() the queries travel, block by
+    block, and a task gives out its k best rows of each; pairs and vectors are not exchanged."""
+    planes = np.random.default_rng(seed).standard_normal((dims, tables * bits))
+    q = queries.select(F.col("qid").cast("long").alias("qid"), F.col("vector").alias("qv")).filter("qv is not null")
+    c = corpus.select(F.col("id").cast("long").alias("id"), F.col("vector").alias("v")).filter("v is not null")
+    blocks = max(1, -(-q.count() // BLOCK_QUERIES))
+    found = None
+    for block in range(blocks):
+        asked = (q if blocks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)).collect()
+        ids = np.array([r.qid for r in asked], dtype=np.int64)
+        matrix = np.array([r.qv for r in asked], dtype=float).reshape(len(asked), dims)
+
+        def near(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
+            best, squares, own = Best(ids, k), (matrix**2).sum(axis=1)[None, :], signatures(matrix, planes, tables)
+            for pdf in batches:
+                for at in range(0, len(pdf) if len(ids) else 0, BLOCK_ROWS):
+                    rows = np.stack(pdf["v"].to_numpy()[at : at + BLOCK_ROWS]).astype(float)
+                    held = np.zeros((len(rows), len(ids)), dtype=bool)
+                    for mine, theirs in zip(signatures(rows, planes, tables), own):
+                        differ = mine[:, None] ^ theirs[None, :]
+                        held |= (differ & (differ - 1) if probe else differ) == 0
+                    d = np.maximum((rows**2).sum(axis=1)[:, None] + squares - 2 * rows @ matrix.T, 0)
+                    best.add(pdf["id"].to_numpy()[at : at + BLOCK_ROWS], -d, held)
+            yield pd.DataFrame({"qid": ids[best.question], "id": best.id, "distance": -best.score})
+
+        part = c.mapInPandas(near, "qid long, id long, distance double")
+        found = part if found is None else found.unionByName(part)
+    return _ranked(found, k)
 
 
 def hashed_embedding(df: DataFrame, row_id: str, text: str, dims: int = 256) -> DataFrame:

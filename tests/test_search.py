@@ -117,3 +117,24 @@ def test_blank_documents_count_in_the_statistics(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = catalogue.QUERIES["corpus_stats"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect()), key=str) == [("s", 3, 3), ("t", 1, 2), (None, 0, 1)]
+
+
+@pytest.mark.parametrize("probe", [False, True])
+def test_candidates_are_those_of_the_buckets_and_do_not_travel(spark, monkeypatch, no_small_tables, probe):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((150, 6))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "id long, vector array<double>")
+    asked = rows.filter("id % 10 = 0").withColumnRenamed("id", "qid")
+    signs = (x @ np.random.default_rng(5).standard_normal((6, 8)) > 0).reshape(150, 2, 4)
+    want = []
+    for q in range(0, 150, 10):
+        near = [i for i in range(150) if ((signs[i] != signs[q]).sum(axis=1) <= probe).any()]
+        order = sorted(near, key=lambda i: (round(float(((x[i] - x[q]) ** 2).sum()), 6), i))[:4]
+        want += [(q, r, i) for r, i in enumerate(order, 1)]
+    monkeypatch.setattr(vector, "BLOCK_QUERIES", 6)
+    monkeypatch.setattr(vector, "BLOCK_ROWS", 40)
+    found = vector.approximate_top_k(rows, asked, 4, 6, probe=probe, bits=4, tables=2, seed=5)
+    assert sorted((r.qid, r["rank"], r.id) for r in found.collect()) == sorted(want)
+    assert "Join" not in physical(found)

@@ -18,6 +18,11 @@ def range_of(df: DataFrame, names: list[str]) -> Column:
     # The borders travel as one row: every size-th of the sorted sample.
     size = F.greatest(F.lit(1), F.floor(F.size("all") / ranges)).cast("int")
     borders = some.select(F.filter("all", lambda _, i: (i > 0) & (i % size == 0)).alias("borders")).first().borders
+    return place(df, names, borders)
+
+
+def place(df: DataFrame, names: list[str], borders: list) -> Column:
+    """How many of the sorted borders, rows of ``names``, are not above a row, as a column."""
     schema = df.select(*names).schema
     own = F.struct(*names)
     literal = F.array(*(F.struct(*(F.lit(v).cast(schema[n].dataType).alias(n) for n, v in zip(names, b))) for b in borders)) if borders else None

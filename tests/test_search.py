@@ -138,3 +138,41 @@ def test_candidates_are_those_of_the_buckets_and_do_not_travel(spark, monkeypatc
     found = vector.approximate_top_k(rows, asked, 4, 6, probe=probe, bits=4, tables=2, seed=5)
     assert sorted((r.qid, r["rank"], r.id) for r in found.collect()) == sorted(want)
     assert "Join" not in physical(found)
+
+
+def test_windows_that_tasks_cut_are_put_together(spark, tmp_path, monkeypatch):
+    """Blocks dealt at random, a few at a time: nearly no window is whole anywhere."""
+    index = bm25.build(spark.createDataFrame(list(enumerate(words(200, 7))), "id long, text string"), "id", "text")
+    terms = bm25.question_terms(spark.createDataFrame(list(enumerate(words(6, 8))), "qid long, q string"), "qid", "q")
+    blockmax.store(index, str(tmp_path / "own"))
+    best, read = (f(spark, str(tmp_path / "own"), terms, 5, 3) for f in (blockmax.search, blockmax.reading))
+    want = pairs(bm25.top(bm25.scores(index, terms), 5)), sorted(map(str, read.collect()))
+    assert pairs(best) == want[0] and read.filter("live_windows < windows").count() > 0
+    spark.read.parquet(str(tmp_path / "own" / "terms")).write.parquet(str(tmp_path / "cut" / "terms"))
+    spark.read.parquet(str(tmp_path / "own" / "blocks")).repartition(5).write.parquet(str(tmp_path / "cut" / "blocks"))
+    monkeypatch.setattr(blockmax, "CELLS", 20)
+    monkeypatch.setattr(bm25, "BLOCK_TERMS", 12)
+    cut = str(tmp_path / "cut")
+    assert (pairs(blockmax.search(spark, cut, terms, 5, 3)), sorted(map(str, blockmax.reading(spark, cut, terms, 5, 3).collect()))) == want
+
+
+def test_blocks_are_exchanged_once_and_not_at_all_by_a_search(spark, tmp_path, no_small_tables):
+    index = bm25.build(spark.createDataFrame(list(enumerate(words(60, 4))), "id long, text string"), "id", "text")
+    terms = bm25.question_terms(spark.createDataFrame([(1, "the dog")], "qid long, q string"), "qid", "q")
+    blockmax.store(index, str(tmp_path))
+    plan = physical(blockmax.search(spark, str(tmp_path), terms))
+    assert "Join" not in plan and "term" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
+@pytest.mark.parametrize("name", ["bm25_pruned_topk", "bm25_postings_read"])
+def test_blocks_of_odd_tables_give_the_rows_of_the_sql(spark, tables, name):
+    found = catalogue.QUERIES[name](spark, tables)
+    assert sorted(repr(tuple(r)) for r in found.collect()) == oracle(name, tables)
+
+
+def test_texts_without_an_asked_word_are_scored_too(spark):
+    """A task that meets no term of any question, and a target among its documents."""
+    index = bm25.build(spark.createDataFrame([(1, "a"), (2, "b"), (3, "")], "id long, text string").repartition(3), "id", "text")
+    terms = spark.createDataFrame([(1, "a", 1)], "qid long, term string, qtf long")
+    targets = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "qid long, target long")
+    assert sorted((r.target, r["rank"]) for r in bm25.ranks(index, terms, targets).collect()) == [(1, 1), (2, None), (3, None)]
